@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from rollcall.llm.common import documents
+from rollcall.llm.exact import ORACLE as EXACT_SQL
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +20,20 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(documents(spark, sf_dir))
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from rollcall.llm.packing import pack
+
+    return pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rollcall.llm.exact import exact_duplicates
+
+    return exact_duplicates(documents(spark, sf_dir))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -27,5 +42,11 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_secret_scan, op7_byte_bpe)}
-ORACLE_SQL: dict[str, str] = {}
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rollcall.llm.sharding import report
+
+    return report(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_secret_scan, op4_packing, op6_exact_dedup, op7_byte_bpe, op9_sharding)}
+ORACLE_SQL: dict[str, str] = {"op6_exact_dedup": EXACT_SQL}
