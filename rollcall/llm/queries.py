@@ -20,6 +20,12 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(documents(spark, sf_dir))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rollcall.llm.langid import identify
+
+    return identify(documents(spark, sf_dir))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -48,5 +54,5 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_secret_scan, op4_packing, op6_exact_dedup, op7_byte_bpe, op9_sharding)}
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_secret_scan, op3_language_id, op4_packing, op6_exact_dedup, op7_byte_bpe, op9_sharding)}
 ORACLE_SQL: dict[str, str] = {"op6_exact_dedup": EXACT_SQL}
