@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rollcall.llm.common import documents
+from rollcall.llm.common import documents, prepare
 from rollcall.llm.exact import ORACLE as EXACT_SQL
+from rollcall.llm.hamming import ORACLE as HAMMING_SQL
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,6 +35,12 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op5_hamming_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rollcall.llm.hamming import search_embeddings
+
+    return search_embeddings(prepare(spark).read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from rollcall.llm.exact import exact_duplicates
 
@@ -48,11 +55,18 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op8_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rollcall.llm.sentences import remove_repeats
+
+    return remove_repeats(documents(spark, sf_dir))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from rollcall.llm.sharding import report
 
     return report(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_secret_scan, op3_language_id, op4_packing, op6_exact_dedup, op7_byte_bpe, op9_sharding)}
-ORACLE_SQL: dict[str, str] = {"op6_exact_dedup": EXACT_SQL}
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_secret_scan, op3_language_id, op4_packing, op5_hamming_top_k,
+                                  op6_exact_dedup, op7_byte_bpe, op8_sentence_spans, op9_sharding)}
+ORACLE_SQL: dict[str, str] = {"op5_hamming_top_k": HAMMING_SQL, "op6_exact_dedup": EXACT_SQL}
