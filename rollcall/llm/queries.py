@@ -67,6 +67,12 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(documents(spark, sf_dir))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rollcall.llm.suffix import remove_repeats
+
+    return remove_repeats(documents(spark, sf_dir))
+
+
 QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_secret_scan, op3_language_id, op4_packing, op5_hamming_top_k,
-                                  op6_exact_dedup, op7_byte_bpe, op8_sentence_spans, op9_sharding)}
+                                  op6_exact_dedup, op7_byte_bpe, op8_sentence_spans, op9_sharding, op10_suffix_dedup)}
 ORACLE_SQL: dict[str, str] = {"op5_hamming_top_k": HAMMING_SQL, "op6_exact_dedup": EXACT_SQL}
