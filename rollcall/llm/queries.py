@@ -73,6 +73,12 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(documents(spark, sf_dir))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_secret_scan, op3_language_id, op4_packing, op5_hamming_top_k,
-                                  op6_exact_dedup, op7_byte_bpe, op8_sentence_spans, op9_sharding, op10_suffix_dedup)}
+                                  op6_exact_dedup, op7_byte_bpe, op8_sentence_spans, op9_sharding, op10_suffix_dedup, pipeline)}
 ORACLE_SQL: dict[str, str] = {"op5_hamming_top_k": HAMMING_SQL, "op6_exact_dedup": EXACT_SQL}

@@ -1,0 +1,29 @@
+import corpus_pipeline
+from rollcall.llm.langid import classify, fit
+
+
+def test_each_stage_takes_effect(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    first = docs.orderBy("doc_id").first()
+    more = spark.createDataFrame([(10001, "12345 !!", None, "s", 8), (10002, first.text, None, "s", 1), (10003, None, "en", "s", 0),
+                                  (10004, first.text + " token = abcdefghij", None, "s", 1)], docs.schema)
+    now, seen = docs.unionByName(more), {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, now, "").cache()
+        assert sorted(out.columns) == sorted(docs.columns)
+        seen[name] = {r.doc_id: r.text for r in out.collect()}
+        now = out
+    assert not {10001, 10003} & set(seen["language_id"]) and 10002 in seen["language_id"]
+    assert len(seen["language_id"]) == docs.count() + 2
+    assert 10002 not in seen["exact_dedup"] and first.doc_id in seen["exact_dedup"]
+    assert len(seen["exact_dedup"]) == len({"".join(t.split()) for t in seen["language_id"].values()})
+    assert 10004 not in seen["secret_scan"] or seen["secret_scan"][10004].endswith("[secret]")
+    assert seen["secret_scan"].keys() == seen["simhash_near_dedup"].keys()
+    packed = corpus_pipeline.STAGES[-1][1](spark, now, "")
+    assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == set(seen["secret_scan"])
+    assert packed.selectExpr("sum(length)").first()[0] == packed.select("doc_id", "doc_tokens").distinct().selectExpr("sum(doc_tokens)").first()[0]
+
+
+def test_language_model_is_from_text_alone(spark):
+    model = fit(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))
+    assert classify("", model) == ("und", 0.0)
