@@ -184,6 +184,7 @@ def report(df: DataFrame) -> DataFrame:
     found = find_secrets(df)
     written = lambda a: F.array_join(F.transform(a, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     base = F.filter("secrets", lambda s: s["kind"].isin(*BASE))
-    many = [F.size(F.filter("secrets", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in BASE]
+    of = lambda k: F.filter("secrets", lambda s: s["kind"] == k)
+    many = [F.size(of(k)).cast("long").alias(f"n_{k}") for k in BASE]
     return found.select("doc_id", *many, F.sha2(written(base).cast("binary"), 256).alias("base_sha256"), written(F.col("secrets")).alias("spans"))
 
