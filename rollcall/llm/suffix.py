@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from rollcall.llm.common import filled, prepare, saved
 
-LENGTH, GRAM, HOT = 50, 16, 8192
+LENGTH, GRAM, HOT = 50, 16, 1 << 16
 REACH = LENGTH - GRAM
 LAST = (1 << 63) - 1
 _A, _B = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
@@ -66,25 +66,42 @@ def sliding(a: np.ndarray, width: int, f: np.ufunc) -> np.ndarray:
 
 
 class Scan:
-    """Of one text: ``lowest[s]`` is the hash of the anchor of the window that starts at s."""
+    """Of one text: the anchors of its windows, as runs of window starts with one hash."""
 
     def __init__(self, raw: bytes) -> None:
         self.raw = np.frombuffer(raw, np.uint8)
         self.grams = rolling(self.raw, GRAM, _A)
-        self.lowest = sliding(self.grams, REACH + 1, np.minimum) if len(raw) >= LENGTH else np.zeros(0, np.uint64)
+        lowest = sliding(self.grams, REACH + 1, np.minimum) if len(raw) >= LENGTH else np.zeros(0, np.uint64)
+        self.starts = np.flatnonzero(np.concatenate((lowest[:1] == lowest[:1], lowest[1:] != lowest[:-1])))
+        self.stops = np.append(self.starts[1:], len(lowest))[:len(self.starts)]
+        self.value = lowest[self.starts]
 
     def hashes(self) -> np.ndarray:
-        return np.unique(self.lowest)
+        return np.unique(self.value)
 
-    def anchor(self, starts: np.ndarray) -> np.ndarray:
-        """Place of the anchor of the window at each start."""
-        want, at = self.lowest[starts], starts.copy()
+    def _anchor(self, starts: np.ndarray, want: np.ndarray) -> np.ndarray:
+        at = starts.copy()
         todo = np.flatnonzero(self.grams[at] != want)
         while len(todo):
             at[todo] += 1
             todo = todo[self.grams[at[todo]] != want[todo]]
         return at
 
+    def runs(self, wanted: list[int] | None) -> list[tuple[int, int, int, int]]:
+        """(hash, anchor, first start, last start) of the windows whose anchor has a wanted hash."""
+        if not wanted:
+            return []
+        found = np.flatnonzero(np.isin(self.value, np.array(wanted, np.int64).view(np.uint64)))
+        lo, hi, want = self.starts[found], self.stops[found] - 1, self.value[found]
+        out = []
+        for h, a, s, z in zip(want.view(np.int64).tolist(), self._anchor(lo, want).tolist(), lo.tolist(), hi.tolist()):
+            while a < z:  # the same string again within reach: later windows have the later one
+                out.append((h, a, s, a))
+                s = a + 1
+                a = int(self._anchor(np.array([s]), np.array([h], np.int64).view(np.uint64))[0])
+            out.append((h, a, s, z))
+        return out
+
 
 def _signed(h: np.ndarray) -> pa.Array:
     return pa.array(h.view(np.int64), pa.int64())
@@ -111,18 +128,12 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         rows, hot_rows = [], []
         for doc, body, raw, cold, hot in zip(*(c.to_pylist() for c in b.columns)):
-            scan = Scan(raw)
-            found = np.flatnonzero(np.isin(scan.lowest, np.array(cold or [], np.int64).view(np.uint64)))
-            if len(found):
-                at, h = scan.anchor(found), scan.lowest[found].view(np.int64)
-                new = np.flatnonzero(np.concatenate(([True], (np.diff(found) != 1) | (np.diff(at) != 0))))
-                lo, hi = found[new], found[np.append(new[1:], len(found)) - 1]
-                places: dict[tuple[int, int, bytes], list[int]] = {}
-                for k, left, a, z in zip(h[new].tolist(), (at[new] - lo).tolist(), lo.tolist(), hi.tolist()):
-                    places.setdefault((k, left, raw[a:z + LENGTH]), []).append(a)
-                rows += [(k, doc, body, left, context, starts) for (k, left, context), starts in places.items()]
-            found = np.flatnonzero(np.isin(scan.lowest, np.array(hot or [], np.int64).view(np.uint64)))
-            if len(found):
+            scan, places = Scan(raw), {}
+            for h, at, lo, hi in scan.runs(cold):
+                places.setdefault((h, at - lo, raw[lo:hi + LENGTH]), []).append(lo)
+            rows += [(h, doc, body, left, context, starts) for (h, left, context), starts in places.items()]
+            if wide := scan.runs(hot):
+                found = np.concatenate([np.arange(lo, hi + 1) for _, _, lo, hi in wide])
                 w1, w2 = (rolling(scan.raw, LENGTH, x)[found].view(np.int64) for x in (_A, _B))
                 hot_rows.append((np.full(len(found), doc), np.full(len(found), body), w1, w2, found))
         cols = list(zip(*rows)) or [[]] * 6
