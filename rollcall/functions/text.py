@@ -11,6 +11,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def squeeze(c: Column) -> Column:
@@ -22,7 +23,7 @@ def canonical(c: Column) -> Column:
     return F.lower(squeeze(F.translate(c, "ёЁ", "еЕ")))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc(s: pd.Series) -> pd.Series:
     """Compatibility composition, which no built-in function offers."""
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
@@ -68,7 +69,7 @@ def by_suffix(c: Column, rules: Sequence[tuple[str, str]], default: str) -> Colu
 def clean_title(c: Column) -> Column:
     """Without online markers in brackets, clock times at the end and a last full stop."""
     t = F.regexp_replace(c, r"(?i)\s*[\(\[](online|онлайн|zoom)[\)\]]", "")
-    t = F.regexp_replace(t, r"\s*\d{1,2}[:.]\d{2}\s*([-–—]\s*\d{1,2}[:.]\d{2})?\s*$", "")
+    t = F.regexp_replace(t, r"\s*\d{1,2}[:.]\d{2}\s*([-–—]\s*\d{1,2}[:.]\d{2})?\s*\.?\s*$", "")
     return F.regexp_replace(squeeze(t), r"\.$", "")
 
 
@@ -154,8 +155,8 @@ def month_day(c: Column, year: Column, months: dict[str, int]) -> Column:
     day = F.regexp_extract(F.lower(c), r"(\d{1,2}) (" + "|".join(months) + ")", 1)
     number = F.element_at(F.create_map(*[F.lit(x) for kv in months.items() for x in kv]), F.when(name != "", name))
     d2, m2 = (F.regexp_extract(c, r"(\d{1,2})\.(\d{2})", i) for i in (1, 2))
-    return F.coalesce(F.try_make_date(year, number, F.when(day != "", day).cast("int")) if hasattr(F, "try_make_date") else F.make_date(year, number, F.when(day != "", day).cast("int")),
-                      F.try_to_date(F.concat_ws("-", year, m2, F.when(d2 != "", F.lpad(d2, 2, "0")))))
+    named = F.concat(year, F.lit("-"), number, F.lit("-"), F.when(day != "", day))
+    return F.coalesce(F.try_to_date(named, "yyyy-M-d"), F.try_to_date(F.concat(year, F.lit("-"), m2, F.lit("-"), F.when(d2 != "", d2)), "yyyy-MM-d"))
 
 
 def shorten(c: Column, limit: int = 155) -> Column:
@@ -196,7 +197,7 @@ def coauthors(c: Column) -> Column:
     return F.split(F.trim(c), r"\s*,\s*(?=[A-ZА-ЯЁ])")
 
 
-@F.pandas_udf("struct<speakers:array<string>,title:string>")
+@F.pandas_udf(T.StructType([T.StructField("speakers", T.ArrayType(T.StringType())), T.StructField("title", T.StringType())]))
 def talk_line(s: pd.Series) -> pd.DataFrame:
     """Speakers and title of a programme line: "Name, Name (City). Title", "Name: Title" or
     "Name — Title"; a line of no such layout is all title."""
@@ -219,7 +220,7 @@ def talk_line(s: pd.Series) -> pd.DataFrame:
 
 def packed_lines(c: Column) -> Column:
     """A line that holds several talks, split where a clock time starts the next."""
-    return F.filter(F.transform(F.split(c, r"\s+(?=\d{1,2}[:.]\d{2}\s)"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(c, r"\s+(?=\d{1,2}[:.]\d{2}\s)"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def capped_score(signals: Sequence[tuple[Column, float]], top: float = 1.0) -> Column:

@@ -8,6 +8,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
@@ -43,10 +44,10 @@ def markdown_csv(texts: DataFrame, text: str, name: str, schema: str) -> DataFra
     return rows.select(F.from_csv("row", F.lit(schema), {"mode": "PERMISSIVE"}).alias("r")).select("r.*")
 
 
-def wrapped_json(texts: DataFrame, text: str, schema: str) -> DataFrame:
+def unwrapped(text: str, schema: str) -> Column:
     """JSON between "const X =" and ";"."""
     body = F.regexp_replace(F.regexp_replace(F.col(text), r"^\s*(?:const|var|let)\s+\w+\s*=\s*", ""), r";\s*$", "")
-    return texts.select(F.from_json(body, schema).alias("r")).select("r.*")
+    return F.from_json(body, schema)
 
 
 def fenced_jsonl(texts: DataFrame, text: str, schema: str) -> DataFrame:
@@ -85,7 +86,7 @@ class _Text(HTMLParser):
         self.parts.append(data)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def html_text(s: pd.Series) -> pd.Series:
     """Text of a page, block elements as one line end each."""
 
