@@ -60,7 +60,7 @@ def drift(df: DataFrame, key: str, text: str, expected: str, tolerance: float =
     """Numbers of a text against the expected one: found anywhere within tolerance or not."""
     numbers = F.transform(F.regexp_extract_all(F.col(text), F.lit(r"(\d+(?:\.\d+)?)"), F.lit(1)), lambda x: x.cast("double"))
     ok = F.exists(numbers, lambda x: F.abs(x - F.col(expected)) <= tolerance)
-    return df.select(key, expected, F.size(numbers).alias("numbers"), F.coalesce(ok, F.lit(False)).alias("agrees"))
+    return df.select(key, expected, F.size(numbers).cast("long").alias("numbers"), F.coalesce(ok, F.lit(False)).alias("agrees"))
 
 
 def match_rates(df: DataFrame, group: str, matched: Column) -> DataFrame:
