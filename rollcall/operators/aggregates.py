@@ -20,44 +20,54 @@ def activity(df: DataFrame, person: str, item: str, series: str, year: str, a: s
         F.sum(F.when(F.col(series) == b, 1).otherwise(0)).alias("b_rows"), F.min(year).alias("first_year"), F.max(year).alias("last_year"))
 
 
+def _counted(df: DataFrame, group: Sequence[str], value: str) -> DataFrame:
+    """(group, v, k, b, n): rows of each value, rows below it, rows of the group. Equal values
+    meet in an aggregate first, so that windows see distinct values only."""
+    c = df.where(F.col(value).isNotNull()).groupBy(*group, F.col(value).alias("v")).agg(F.count("*").alias("k"))
+    w = Window.partitionBy(*group)
+    below = F.sum("k").over(w.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)) - F.col("k")
+    return c.withColumn("b", below).withColumn("n", F.sum("k").over(w))
+
+
+def _has(rank: Column) -> Column:
+    """The value stands at this rank, counted from 1."""
+    return (F.col("b") < rank) & (rank <= F.col("b") + F.col("k"))
+
+
 def distribution(df: DataFrame, group: Sequence[str], value: str) -> DataFrame:
     """n, mean, median, extremes and exclusive quartiles by group.
 
     Quartile i stands at i (n + 1) / 4 of the sorted values, between neighbours in
-    proportion; groups under four values give their extremes. Ranks come from a window, so
-    a large group spills instead of being collected into one array.
+    proportion; groups under four values give their extremes.
     """
-    w = Window.partitionBy(*group)
-    ranked = df.where(F.col(value).isNotNull()).select(*group, F.col(value).cast("double").alias("v"))
-    ranked = ranked.withColumn("r", F.row_number().over(w.orderBy("v"))).withColumn("n", F.count("*").over(w))
+    ranked = _counted(df.withColumn(value, F.col(value).cast("double")), group, value)
 
     def quartile(i: int) -> Column:
         at = i * (F.col("n") + 1) / 4.0
         lo = F.greatest(F.lit(1), F.floor(at))
         share = at - lo
-        part = F.when(F.col("r") == lo, F.col("v") * (1 - share)).when(F.col("r") == F.least(lo + 1, F.col("n")), F.col("v") * share)
-        return F.sum(part)
+        return F.sum(F.when(_has(lo), F.col("v") * (1 - share)).otherwise(0.0) + F.when(_has(F.least(lo + 1, F.col("n"))), F.col("v") * share).otherwise(0.0))
 
-    middle = F.avg(F.when((F.col("r") == F.floor((F.col("n") + 1) / 2)) | (F.col("r") == F.floor((F.col("n") + 2) / 2)), F.col("v")))
-    out = ranked.groupBy(*group).agg(F.max("n").alias("n"), F.avg("v").alias("mean"), middle.alias("median"), F.min("v").alias("lo"), F.max("v").alias("hi"),
-                                     quartile(1).alias("q1"), quartile(3).alias("q3"))
+    middle = F.sum(F.when(_has(F.floor((F.col("n") + 1) / 2)), F.col("v") / 2).otherwise(0.0) + F.when(_has(F.floor((F.col("n") + 2) / 2)), F.col("v") / 2).otherwise(0.0))
+    out = ranked.groupBy(*group).agg(F.max("n").alias("n"), (F.sum(F.col("v") * F.col("k")) / F.max("n")).alias("mean"), middle.alias("median"), F.min("v").alias("lo"),
+                                     F.max("v").alias("hi"), quartile(1).alias("q1"), quartile(3).alias("q3"))
     return out.withColumns({"q1": F.when(F.col("n") < 4, F.col("lo")).otherwise(F.col("q1")), "q3": F.when(F.col("n") < 4, F.col("hi")).otherwise(F.col("q3"))})
 
 
 def at_rank(df: DataFrame, group: Sequence[str], value: str, places: dict[str, float]) -> DataFrame:
     """Values at index floor(n q) (from 0, at most n - 1) of the sorted group: floor-index
     quantiles; 0.5 is the low-index, upper-middle median."""
-    w = Window.partitionBy(*group)
-    ranked = df.where(F.col(value).isNotNull()).withColumn("_i", F.row_number().over(w.orderBy(value)) - 1).withColumn("_n", F.count("*").over(w))
-    picks = [F.max(F.when(F.col("_i") == F.least(F.floor(F.col("_n") * q), F.col("_n") - 1), F.col(value))).alias(k) for k, q in places.items()]
-    return ranked.groupBy(*group).agg(F.max("_n").alias("n"), *picks)
+    picks = [F.max(F.when(_has(F.least(F.floor(F.col("n") * q), F.col("n") - 1) + 1), F.col("v"))).alias(k) for k, q in places.items()]
+    return _counted(df, group, value).groupBy(*group).agg(F.max("n").alias("n"), *picks)
 
 
 def gini(df: DataFrame, group: Sequence[str], value: str) -> DataFrame:
-    """2 sum(i x) / (n sum(x)) - (n + 1) / n over ascending ranks; 0 where the sum is 0."""
-    w = Window.partitionBy(*group).orderBy(value)
-    ranked = df.withColumn("_i", F.row_number().over(w))
-    sums = ranked.groupBy(*group).agg(F.count("*").alias("n"), F.sum(value).alias("s"), F.sum(F.col("_i") * F.col(value)).alias("t"))
+    """2 sum(i x) / (n sum(x)) - (n + 1) / n over ascending ranks i; 0 where the sum is 0.
+
+    k equal values after b smaller ones have the rank sum k b + k (k + 1) / 2.
+    """
+    k, v = F.col("k"), F.col("v")
+    sums = _counted(df, group, value).groupBy(*group).agg(F.max("n").alias("n"), F.sum(k * v).alias("s"), F.sum(v * (k * F.col("b") + k * (k + 1) / 2)).alias("t"))
     g = F.when(F.col("s") != 0, 2.0 * F.col("t") / (F.col("n") * F.col("s")) - (F.col("n") + 1.0) / F.col("n")).otherwise(F.lit(0.0))
     return sums.select(*group, "n", F.round(g, 6).alias("gini"))
 

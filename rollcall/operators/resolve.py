@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rollcall.session import saved
+
 
 def fold_aliases(df: DataFrame, key: str, aliases: DataFrame, overrides: DataFrame, out: str = "person_key") -> DataFrame:
     """Key replaced by its alias's target; an override of the resulting key wins over both."""
@@ -35,7 +37,7 @@ def numbered_rows(df: DataFrame, order: Sequence[str], out: str = "number") -> D
     Rows are range partitioned and sorted; a table of rows by partition, one number each,
     gives every partition its offset.
     """
-    parts = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
+    parts = saved(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()))
     parts = parts.withColumn("_part", F.shiftright("_id", 33)).withColumn("_at", F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)))
     sizes = parts.groupBy("_part").agg(F.count("*").alias("_n"))
     before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))

@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from rollcall.session import saved
+
 
 def gamma_tail(a: float, x: float) -> float:
     """Upper regularised incomplete gamma function Q(a, x), by series or continued fraction."""
@@ -86,7 +88,7 @@ def average_ranks(df: DataFrame, value: str, out: str) -> DataFrame:
     Distinct values are range partitioned; offsets of partitions are one number each.
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("_k"))
-    parts = counts.repartitionByRange(value).sortWithinPartitions(value).withColumn("_p", F.spark_partition_id())
+    parts = saved(counts.repartitionByRange(value).withColumn("_p", F.spark_partition_id()))
     before = F.sum("_k").over(Window.partitionBy("_p").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)) - F.col("_k")
     parts = parts.withColumn("_b", before)
     sizes = parts.groupBy("_p").agg(F.sum("_k").alias("_n"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rollcall.operators.aggregates import pct
+from rollcall.session import saved
 
 
 def first_seen(df: DataFrame, person: str, year: str, value: str) -> DataFrame:
@@ -82,3 +83,15 @@ def carried(df: DataFrame, group: str, order: Sequence[str], value: Column, out:
     """Last non-null value so far, carried down the ordered rows."""
     w = Window.partitionBy(group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return df.withColumn(out, F.last(value, ignorenulls=True).over(w))
+
+
+def cumulative(df: DataFrame, order: Sequence[str], value: str, out: str = "running") -> DataFrame:
+    """Running sum in a total order over all rows, without one task that sees them all: rows
+    are range partitioned, and a table of sums by partition gives each its offset."""
+    parts = saved(df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()))
+    run = F.sum(value).over(Window.partitionBy("_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    parts = parts.withColumn("_s", run)
+    sums = parts.groupBy("_p").agg(F.max_by("_s", F.struct(*order)).alias("_t"))
+    before = F.sum("_t").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))  # a row a partition
+    offset = sums.select("_p", F.coalesce(before, F.lit(0)).alias("_o"))
+    return parts.join(F.broadcast(offset), "_p").withColumn(out, F.col("_s") + F.col("_o")).drop("_p", "_s", "_o")

@@ -361,7 +361,7 @@ def w10_duplicates(d):
 @query(f"""with {TAKING_PART}, k as (select person, count(*) as x from taking_part group by 1) select person, x, cast(sum(x) over (order by x, person rows unbounded preceding) as bigint) as running from k where person % 10 = 0""")
 def w11_cumulative(d):
     k = d.taking_part.where("person % 10 = 0").groupBy("person").agg(F.count("*").alias("x"))
-    return k.withColumn("running", F.sum("x").over(Window.orderBy("x", "person").rowsBetween(Window.unboundedPreceding, 0)))
+    return temporal.cumulative(k, ["x", "person"], "x")
 
 
 @query("""select cast(floor((row_number() over (order by doc_id) - 1) / 50) as bigint) as batch, doc_id from documents where doc_id not in (select doc_id from labels)""")

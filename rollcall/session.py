@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(master: str | None = None, shuffle_partitions: int | None = None, **conf: str) -> SparkSession:
@@ -16,3 +18,12 @@ def session(master: str | None = None, shuffle_partitions: int | None = None, **
     if shuffle_partitions:
         fixed["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     return b.config(map=fixed | conf).getOrCreate()
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """The rows as they are now, written to the checkpoint folder: what follows may read them
+    twice and, after a lost executor, again, and always sees the same partitions."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="rollcall-"))
+    return df.checkpoint(eager=True)
