@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rollcall.llm.common import filled, prepare
+from rollcall.llm.common import filled, prepare, release, saved
 
 RUN = 3
 #: A sentence ends at . ! ? or a line end, together with what white space follows.
@@ -76,8 +76,12 @@ def repeated_runs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     spans = _prepared(df, id_col, text_col).mapInArrow(spread, "k1 long, k2 long, doc_id long, body long, at int")
     first = spans.groupBy("k1", "k2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("last > first").drop("last")
+    first = saved(first)
+    release(df.sparkSession)
     later = spans.join(first, ["k1", "k2"]).where("doc_id > first")
-    return later.groupBy("doc_id", "body").agg(F.collect_set("at").alias("places"))
+    places = saved(later.groupBy("doc_id", "body").agg(F.collect_set("at").alias("places")))
+    release(df.sparkSession)
+    return places
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN, keep_text: bool = False) -> DataFrame:
