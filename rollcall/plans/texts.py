@@ -391,6 +391,11 @@ def t17_topics(d):
     return model.transform(counts).select("doc_id", (F.array_position(mix, F.array_max(mix)) - 1).alias("topic"), F.round(F.array_max(mix), 4).alias("share"))
 
 
+@query()
+def t17_nmf_topics(d):
+    return lexical.nmf_topics(lexical.tf_idf(_docs(d), "doc_id", "words"), "doc_id")
+
+
 @query(f"""with {DOCS}, {TFIDF}, s as (select q.doc_id as query_id, d.doc_id as doc_id, round(sum(q.weight * d.weight), 4) as score from v q join v d using (term) where q.doc_id % 100 = 0 and d.doc_id % 100 <> 0 group by 1, 2 having round(sum(q.weight * d.weight), 4) > 0),
 r as (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from s) select query_id, doc_id, score, cast(rank as integer) as rank from r where rank <= 3""")
 def t18_query_cosine(d):

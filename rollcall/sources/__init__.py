@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 from collections.abc import Sequence
 from html.parser import HTMLParser
 
@@ -132,3 +133,28 @@ def preferred(key: str, *parts: DataFrame) -> DataFrame:
 def values(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
     """Seed rows and rule tables."""
     return spark.createDataFrame(rows, schema)
+
+
+def pdf_text(files: DataFrame) -> DataFrame:
+    """(path, text) of a ``binaryFile`` table: the pages' texts, one line end between them.
+
+    Needs the optional library pypdf on the workers; without it, and for files that are no
+    PDF, the text is null, so that a next source can stand in (see ``preferred``).
+    """
+
+    @F.pandas_udf(T.StringType())
+    def run(contents: pd.Series) -> pd.Series:
+        try:
+            from pypdf import PdfReader
+        except ImportError:
+            return pd.Series([None] * len(contents), dtype="object")
+
+        def one(data: bytes | None) -> str | None:
+            try:
+                return "\n".join(page.extract_text() or "" for page in PdfReader(io.BytesIO(data)).pages)
+            except Exception:  # a broken file must not end the job
+                return None
+
+        return contents.map(one)
+
+    return files.select("path", run("content").alias("text"))

@@ -146,3 +146,9 @@ def test_stream_equals_batch(spark, tmp_path):
 def test_repeated_events_go(spark):
     rows = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b")], "k int, v string").withColumn("ts", F.current_timestamp())
     assert events.deduplicated(rows, "ts", "k").count() == 2
+
+
+def test_pdf_is_optional(spark, tmp_path):
+    (tmp_path / "a.pdf").write_bytes(b"no pdf")
+    files = spark.read.format("binaryFile").load(str(tmp_path))
+    assert [r.text for r in sources.pdf_text(files).collect()] == [None]
