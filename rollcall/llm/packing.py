@@ -11,6 +11,7 @@ and its last tokens go to sequences of a power of two.
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -32,6 +33,10 @@ _LETTER = "a-zªµºß-öø-ÿ"
 _PLAIN = re.compile(r"[\t-\r\x20-\x7e\xa0-\xac\xae-\xff–—‘’“”…€]*")
 _WORD = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^\s{_LETTER}{_NUMBER}]+")
 
+#: Byte-level vocabularies write a byte as the character of that number where it shows, and
+#: the others, in order, as the characters from 256 on.
+_BYTE_CHARS = {b: 256 + i for i, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174))}
+
 
 class WordEncoder:
     """Ids of a text as little-endian 32-bit bytes, the same as the library's.
@@ -48,6 +53,12 @@ class WordEncoder:
     def _ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _word(self, word: str) -> bytes:
+        """Straight to the merges: a plain word is normalised and split already."""
+        shown = word if word.isascii() else word.encode().decode("latin-1").translate(_BYTE_CHARS)
+        ids = [t.id for t in self.tokenizer.model.tokenize(shown)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
     def encode(self, text: str) -> bytes:
         if not _PLAIN.fullmatch(text):
             return self._ids(text)
@@ -56,7 +67,7 @@ class WordEncoder:
         if len(known) > CACHE:
             known.clear()
         for w in set(words).difference(known):
-            known[w] = self._ids(w)
+            known[w] = self._word(w)
         return b"".join(map(known.__getitem__, words))
 
 
