@@ -166,8 +166,9 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
         t = temperature(np.array([h[0] for h in held]).reshape(len(held), -1), np.array([h[1] for h in held], int))
         yield pa.RecordBatch.from_arrays([pa.array([w.tobytes()], pa.binary()), pa.array([t])], ["weights", "temperature"])
 
+    # the scan stays spread over tasks; only the bounded sample meets in one
     sample = drawn.select("doc_id", "text", "lang", F.col("fold").cast("long").alias("fold"))
-    made = sample.coalesce(1).mapInArrow(train, "weights binary, temperature double").first()
+    made = sample.repartition(1).mapInArrow(train, "weights binary, temperature double").first()
     w = np.frombuffer(bytes(made["weights"]), np.float32).reshape(1 << BUCKET_BITS, len(names))
     return {"names": names, "idf": idf, "weights": w, "temperature": made["temperature"]}
 
