@@ -16,23 +16,20 @@ so equal windows have their anchors at the same place, wherever they occur. The
 
 from __future__ import annotations
 
-import gc
 import hashlib
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rollcall.llm.common import filled, prepare, saved
+from rollcall.llm.common import filled, prepare, release, saved
 
 LENGTH, GRAM, HOT = 50, 16, 1 << 16
 REACH = LENGTH - GRAM
 LAST = (1 << 63) - 1
 _A, _B = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
-_MASK = (1 << 64) - 1
 CHUNK_ROWS = 20_000
 
 
@@ -80,27 +77,37 @@ class Scan:
         return np.unique(self.value)
 
     def _anchor(self, starts: np.ndarray, want: np.ndarray) -> np.ndarray:
-        at = starts.copy()
-        todo = np.flatnonzero(self.grams[at] != want)
-        while len(todo):
-            at[todo] += 1
-            todo = todo[self.grams[at[todo]] != want[todo]]
-        return at
-
-    def runs(self, wanted: list[int] | None) -> list[tuple[int, int, int, int]]:
-        """(hash, anchor, first start, last start) of the windows whose anchor has a wanted hash."""
-        if not wanted:
-            return []
-        found = np.flatnonzero(np.isin(self.value, np.array(wanted, np.int64).view(np.uint64)))
+        near = np.lib.stride_tricks.sliding_window_view(self.grams, REACH + 1)[starts]
+        return starts + (near == want[:, None]).argmax(1)
+
+    def runs(self, wanted: np.ndarray) -> np.ndarray:
+        """Rows (hash, anchor, first start, last start) of windows whose anchor has a wanted hash."""
+        if not len(wanted) or not len(self.value):
+            return np.zeros((0, 4), np.int64)
+        found = np.flatnonzero(np.isin(self.value, wanted.view(np.uint64)))
         lo, hi, want = self.starts[found], self.stops[found] - 1, self.value[found]
-        out = []
-        for h, a, s, z in zip(want.view(np.int64).tolist(), self._anchor(lo, want).tolist(), lo.tolist(), hi.tolist()):
-            while a < z:  # the same string again within reach: later windows have the later one
-                out.append((h, a, s, a))
+        out = np.stack((want.view(np.int64), self._anchor(lo, want), lo, hi), 1)
+        again = out[:, 1] < hi  # the same string again within reach: later windows have the later one
+        if not again.any():
+            return out
+        more = []
+        for h, a, s, z in out[again].tolist():
+            while a < z:
+                more.append((h, a, s, a))
                 s = a + 1
                 a = int(self._anchor(np.array([s]), np.array([h], np.int64).view(np.uint64))[0])
-            out.append((h, a, s, z))
-        return out
+            more.append((h, a, s, z))
+        return np.concatenate((out[~again], np.array(more, np.int64)))
+
+
+def _binary(sizes: np.ndarray, data: np.ndarray) -> pa.Array:
+    offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def _within(sizes: np.ndarray) -> np.ndarray:
+    """0, 1, … within each of consecutive stretches of the given sizes."""
+    return np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
 
 
 def _signed(h: np.ndarray) -> pa.Array:
@@ -123,48 +130,64 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                          ["h", "doc", "body"])
 
 
+def _lists(column: pa.Array) -> list[np.ndarray]:
+    flat, at = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+    return [flat[a:z] for a, z in zip(at[:-1], at[1:])]
+
+
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(h, doc, body, left, context, starts, w1, w2, start): suffixes of cold anchors, windows of hot ones."""
+    """(h, doc, body, left, context, starts): for each anchor of ``cold`` the suffix from it and
+    ``left`` bytes before it, with the 32-bit starts at which the text has exactly this."""
+    for b in batches:
+        made = []
+        for doc, body, raw, cold in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), _lists(b.column(3))):
+            scan = Scan(raw)
+            run = scan.runs(cold)
+            if not len(run):
+                continue
+            h, at, lo, hi = run.T
+            starts = [lo.astype("<i4"), np.full(len(run), 4)]
+            if len(np.unique(h)) < len(h):  # a repeating text gives each different context once
+                seen: dict[tuple[int, int, bytes], list[int]] = {}
+                for i, (k, a, s, z) in enumerate(run.tolist()):
+                    seen.setdefault((k, a - s, raw[s:z + LENGTH]), []).append(i)
+                groups = list(seen.values())
+                starts = [np.concatenate([lo[g] for g in groups]).astype("<i4"), np.array([4 * len(g) for g in groups])]
+                h, at, lo, hi = run[[g[0] for g in groups]].T
+            size = hi - lo + LENGTH
+            made.append((h, np.full(len(h), doc), np.full(len(h), body), at - lo, size, scan.raw[np.repeat(lo, size) + _within(size)], starts[1], starts[0]))
+        if made:
+            h, docs, bodies, left, size, text, counts, starts = (np.concatenate(c) for c in zip(*made))
+            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(docs, pa.int64()), pa.array(bodies, pa.int64()), pa.array(left, pa.int32()), _binary(size, text),
+                                              _binary(counts, starts.view(np.uint8))], ["h", "doc", "body", "left", "context", "starts"])
+
+
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc, body, w1, w2, start): two hashes of each window whose anchor is in ``hot``."""
     for b in batches:
-        rows, hot_rows = [], []
-        for doc, body, raw, cold, hot in zip(*(c.to_pylist() for c in b.columns)):
-            scan, places = Scan(raw), {}
-            for h, at, lo, hi in scan.runs(cold):
-                places.setdefault((h, at - lo, raw[lo:hi + LENGTH]), []).append(lo)
-            rows += [(h, doc, body, left, context, starts) for (h, left, context), starts in places.items()]
-            if wide := scan.runs(hot):
-                found = np.concatenate([np.arange(lo, hi + 1) for _, _, lo, hi in wide])
-                w1, w2 = (rolling(scan.raw, LENGTH, x)[found].view(np.int64) for x in (_A, _B))
-                hot_rows.append((np.full(len(found), doc), np.full(len(found), body), w1, w2, found))
-        cols = list(zip(*rows)) or [[]] * 6
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int32()))
-        empty = [pa.nulls(len(rows), k) for k in (pa.int64(), pa.int64(), pa.int32())]
-        yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(cols, kinds)), *empty], CONTEXT_NAMES)
-        for doc, body, w1, w2, start in hot_rows:
-            n = len(doc)
-            yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.array(doc, pa.int64()), pa.array(body, pa.int64()), pa.nulls(n, pa.int32()),
-                                              pa.nulls(n, pa.binary()), pa.nulls(n, kinds[5]), pa.array(w1), pa.array(w2), pa.array(start, pa.int32())], CONTEXT_NAMES)
-
-
-CONTEXT_NAMES = ["h", "doc", "body", "left", "context", "starts", "w1", "w2", "start"]
-CONTEXTS = "h long, doc long, body long, left int, context binary, starts array<int>, w1 long, w2 long, start int"
-
-
-def _again(keys: list[tuple[int, int, int, bytes]]) -> np.ndarray:
+        made = []
+        for doc, body, raw, hot in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), _lists(b.column(3))):
+            scan = Scan(raw)
+            run = scan.runs(hot)
+            size = run[:, 3] - run[:, 2] + 1
+            found = np.repeat(run[:, 2], size) + _within(size)
+            w1, w2 = (rolling(scan.raw, LENGTH, x)[found].view(np.int64) for x in (_A, _B))
+            made.append((np.full(len(found), doc), np.full(len(found), body), w1, w2, found))
+        if made:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), k) for c, k in zip(zip(*made), (*[pa.int64()] * 4, pa.int32()))], ["doc", "body", "w1", "w2", "start"])
+
+
+def _again(h: np.ndarray, doc: np.ndarray, left: np.ndarray, size: np.ndarray, data: np.ndarray) -> np.ndarray:
     """For each row and window offset, whether a smaller document has the same window.
 
-    keys: (anchor hash, doc, bytes before the anchor, context). Rows are laid out with their
-    anchors below each other; windows of one offset are sorted and compared within.
+    Rows are laid out with their anchors below each other; windows of one offset are sorted
+    and compared within.
     """
-    n = len(keys)
+    n = len(h)
     text = np.zeros((n, REACH + LENGTH), np.uint8)
-    first, many = np.empty(n, np.int64), np.empty(n, np.int64)
-    for i, (_, _, left, context) in enumerate(keys):
-        first[i], many[i] = REACH - left, len(context) - LENGTH + 1
-        text[i, REACH - left:REACH - left + len(context)] = np.frombuffer(context, np.uint8)
-    h, doc = np.array([k[0] for k in keys], np.int64), np.array([k[1] for k in keys], np.int64)
-    out = np.zeros((n, REACH + 1), bool)
-    hashes = np.stack([rolling(row, LENGTH, _A) for row in text]) if n < 64 else _row_hashes(text)
+    first, many = REACH - left, size - LENGTH + 1
+    text[np.repeat(np.arange(n), size), np.repeat(first, size) + _within(size)] = data
+    out, hashes = np.zeros((n, REACH + 1), bool), _row_hashes(text)
     for c in range(REACH + 1):
         rows = np.flatnonzero((first <= c) & (c < first + many))
         if len(rows) < 2:
@@ -203,33 +226,36 @@ def _row_hashes(text: np.ndarray) -> np.ndarray:
 
 
 def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc, body, lo, hi): first and last start of runs of repeated windows. Rows come by h."""
-
-    def solved(held: list[tuple]) -> pa.RecordBatch:
-        out = []
-        if held:
-            again = _again([(r[0], r[1], r[3], r[4]) for r in held])
-            edge = np.diff(np.pad(again, ((0, 0), (1, 1))).astype(np.int8), axis=1)
-            for (i, lo), (_, hi) in zip(np.argwhere(edge == 1).tolist(), np.argwhere(edge == -1).tolist()):
-                _, doc, body, left, _, starts = held[i]
-                out += [(doc, body, s + lo - REACH + left, s + hi - 1 - REACH + left) for s in starts]
-        cols = list(zip(*out)) or [[]] * 4
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], ["doc", "body", "lo", "hi"])
-
-    held: list[tuple] = []
+    """(doc, body, lo, hi): first and last start of runs of repeated windows. Rows come by h,
+    and are worked on a few thousand at a time, all rows of a hash together."""
+
+    def solved(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(parts).combine_chunks()
+        h, doc, body, left = (t.column(i).to_numpy() for i in range(4))
+        context, starts = (pa.concat_arrays(t.column(i).chunks) for i in (4, 5))
+        (at, data), (place, start) = ((np.frombuffer(c.buffers()[1], np.int32)[c.offset:c.offset + len(c) + 1].astype(np.int64), np.frombuffer(c.buffers()[2] or b"", np.uint8)) for c in (context, starts))
+        again = _again(h, doc, left.astype(np.int64), np.diff(at), data[at[0]:at[-1]])
+        edge = np.diff(np.pad(again, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+        (row, lo), (_, hi) = np.nonzero(edge == 1), np.nonzero(edge == -1)
+        count = np.diff(place)[row] // 4
+        which = np.repeat(row, count)
+        base = start.view("<i4")[np.repeat(place[:-1][row] // 4, count) + _within(count)] - REACH + left[which]
+        return pa.RecordBatch.from_arrays([pa.array(doc[which]), pa.array(body[which]), pa.array(base + np.repeat(lo, count), pa.int32()), pa.array(base + np.repeat(hi, count) - 1, pa.int32())],
+                                          ["doc", "body", "lo", "hi"])
+
+    held: list[pa.RecordBatch] = []
     for b in batches:
-        for row in zip(*(c.to_pylist() for c in b.columns)):
-            if len(held) >= CHUNK_ROWS and row[0] != held[-1][0]:
-                yield solved(held)
-                held = []
-            held.append(row)
-    yield solved(held)
-
-
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of what is saved by now."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+        if not b.num_rows:
+            continue
+        h = b.column(0).to_numpy()
+        if held and sum(x.num_rows for x in held) >= CHUNK_ROWS:
+            cut = int(np.searchsorted(h != held[-1].column(0)[-1].as_py(), True)) if h[0] == held[-1].column(0)[-1].as_py() else 0
+            if cut < len(h):
+                yield solved([*held, b.slice(0, cut)] if cut else held)
+                held, b = [], b.slice(cut)
+        held.append(b)
+    if held:
+        yield solved(held)
 
 
 def repeated_windows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
@@ -239,20 +265,21 @@ def repeated_windows(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     anchors = rows.select("doc", "body", "raw").mapInArrow(_anchors, "h long, doc long, body long")
     counts = saved(anchors.groupBy("h").count().where("count > 1"))
     release(spark)
-    marked = anchors.join(counts, "h").groupBy("doc", "body").agg(
-        F.collect_list(F.when(F.col("count") <= hot, F.col("h"))).alias("cold"), F.collect_list(F.when(F.col("count") > hot, F.col("h"))).alias("hot"))
-    marked = saved(marked)
+    is_hot = F.col("count") > hot
+    marked = saved(anchors.join(counts, "h").groupBy("doc", "body").agg(F.collect_list(F.when(~is_hot, F.col("h"))).alias("cold"), F.collect_list(F.when(is_hot, F.col("h"))).alias("hot")))
     release(spark)
-    path = f"{spark.sparkContext.getCheckpointDir()}/suffixes-{uuid.uuid4().hex}"
-    rows.join(marked, ["doc", "body"]).select("doc", "body", "raw", "cold", "hot").mapInArrow(_contexts, CONTEXTS).write.option("compression", "zstd").parquet(path)
-    release(spark)
-    made = spark.read.schema(CONTEXTS).parquet(path)
-    cold = made.where("h is not null").select("h", "doc", "body", "left", "context", "starts")
-    cold = cold.repartition("h").sortWithinPartitions("h").mapInArrow(_gathered, "doc long, body long, lo int, hi int")
-    each = made.where("w1 is not null")
+
+    def texts(kind: str) -> DataFrame:
+        return rows.join(marked.where(F.size(kind) > 0).select("doc", "body", kind), ["doc", "body"]).select("doc", "body", "raw", kind)
+
+    cold = texts("cold").mapInArrow(_contexts, "h long, doc long, body long, left int, context binary, starts binary")
+    found = cold.repartition("h").sortWithinPartitions("h").mapInArrow(_gathered, "doc long, body long, lo int, hi int")
+    if marked.where(F.size("hot") > 0).isEmpty():
+        return found
+    each = texts("hot").mapInArrow(_windows, "doc long, body long, w1 long, w2 long, start int")
     first = each.groupBy("w1", "w2").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("last > first").drop("last")
     warm = each.join(first, ["w1", "w2"]).where("doc > first").select("doc", "body", F.col("start").alias("lo"), F.col("start").alias("hi"))
-    return cold.unionByName(warm)
+    return found.unionByName(warm)
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, keep_text: bool = False) -> DataFrame:
