@@ -309,7 +309,9 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * keep_text
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text
-    runs = saved(repeated_windows(df, id_col, text_col, hot).groupBy("doc", "body").agg(F.collect_list(F.struct("lo", "hi")).alias("runs")))
+    found = repeated_windows(df, id_col, text_col, hot)
+    release(df.sparkSession)  # the counts of anchors are not needed any more
+    runs = saved(found.groupBy("doc", "body").agg(F.collect_list(F.struct("lo", "hi")).alias("runs")))
     release(df.sparkSession)
     joined = _prepared(df, id_col, text_col).join(runs, ["doc", "body"], "left")
     return joined.select("doc_id", "raw", "runs").mapInArrow(cut, schema)
