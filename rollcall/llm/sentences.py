@@ -1,6 +1,9 @@
 """Substring dedup by sliding sentence spans.
 
-Every run of RUN consecutive sentences of every text is hashed to 128 bits. The first
+Every run of RUN consecutive sentences of every text is hashed to 128 bits, and so is a
+shorter run once it holds enough words: PAIR for more than one sentence (fewer are mostly
+abbreviations such as "e.g."), ALONE for one. A text of fewer than RUN sentences is a run of
+its own whatever its words, so that a full copy of it is found. The first
 document (smallest id) that holds a run keeps it; in every other document, and at every later
 place in the same one, the run's sentences are removed. The global step joins hashes with the
 smallest id of each, an aggregate that combines before its shuffle, so a run in a third of
@@ -20,7 +23,7 @@ from pyspark.sql import functions as F
 
 from rollcall.llm.common import filled, prepare, release, saved
 
-RUN = 3
+RUN, PAIR, ALONE = 3, 8, 50
 #: A sentence ends at . ! ? or a line end, together with what white space follows.
 SENTENCE = re.compile(r"[^.!?\n]*[.!?\n]+\s*|[^.!?\n]+")
 LAST = (1 << 63) - 1
@@ -31,19 +34,24 @@ def sentences(text: str | None) -> list[str]:
     return SENTENCE.findall(text or "")
 
 
-def run_hashes(parts: list[str], run: int = RUN) -> list[bytes]:
-    """A hash for each run of ``run`` sentences, white space collapsed; none for shorter texts."""
-    keys = [" ".join(p.split()) for p in parts]
-    digest = xxhash.xxh3_128_digest
-    return [digest("\n".join(keys[i:i + run]).encode("utf-8", "surrogatepass")) for i in range(len(keys) - run + 1)]
+def run_hashes(parts: list[str], run: int = RUN) -> list[tuple[int, int, bytes]]:
+    """(start, length, hash) of the runs of at most ``run`` sentences that are compared, white space collapsed."""
+    words = [p.split() for p in parts]
+    keys, sizes = [" ".join(w) for w in words], [len(w) for w in words]
+    digest, n, out = xxhash.xxh3_128_digest, len(parts), []
+    for i in range(n):
+        for k in range(1, min(run, n - i) + 1):
+            if k == run or k == n or sum(sizes[i:i + k]) >= (ALONE if k == 1 else PAIR):
+                out.append((i, k, digest("\n".join(keys[i:i + k]).encode("utf-8", "surrogatepass"))))
+    return out
 
 
-def _again(hashes: list[bytes]) -> list[int]:
-    """Places of runs that the text itself has had before."""
+def _again(runs: list[tuple[int, int, bytes]]) -> list[tuple[int, int]]:
+    """Places and lengths of runs that the text itself has had before."""
     seen, out = set(), []
-    for i, h in enumerate(hashes):
+    for i, k, h in runs:
         if h in seen:
-            out.append(i)
+            out.append((i, k))
         seen.add(h)
     return out
 
@@ -55,7 +63,8 @@ def _prepared(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def repeated_runs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN) -> DataFrame:
-    """(doc_id, body, places array<int>): runs that an earlier document holds, by document.
+    """(doc_id, body, places array<int>): runs that an earlier document holds, by document; a
+    place is the first sentence times ``run``, plus the length, less one.
 
     ``body`` is a hash of the text, so that rows sharing an id but not a text stay apart.
     """
@@ -65,11 +74,11 @@ def repeated_runs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             rows = []
             for i, t, h in zip(*(c.to_pylist() for c in b.columns)):
                 seen = set()
-                for at, x in enumerate(run_hashes(sentences(t), run)):
+                for at, k, x in run_hashes(sentences(t), run):
                     if x not in seen:
                         seen.add(x)
                         rows.append((int.from_bytes(x[:8], "little", signed=True), int.from_bytes(x[8:], "little", signed=True),
-                                     LAST if i is None else i, h, at))
+                                     LAST if i is None else i, h, at * run + k - 1))
             cols = list(zip(*rows)) or [[]] * 5
             kinds = (pa.int64(),) * 4 + (pa.int32(),)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["k1", "k2", "doc_id", "body", "at"])
@@ -88,7 +97,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(doc_id, n_sentences, n_removed, removed, kept_sha256[, kept]): one row per input row.
 
     ``removed`` lists removed sentences as start-end ranges, end exclusive. A null or empty
-    text has no sentence; one of fewer than ``run`` sentences has no run and stays whole;
+    text has no sentence; one of fewer than ``run`` sentences is compared whole, too;
     texts of any length are read whole. Rows that share a doc_id are one document and do not
     remove from each other; rows without one come after all others. An empty table gives an
     empty result; other columns are not read.
@@ -99,7 +108,8 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             rows = []
             for i, t, places in zip(*(c.to_pylist() for c in b.columns)):
                 parts = sentences(t)
-                gone = {s + j for s in [*(places or ()), *_again(run_hashes(parts, run))] for j in range(run)}
+                found = [(p // run, p % run + 1) for p in places or ()] + _again(run_hashes(parts, run))
+                gone = {s + j for s, k in found for j in range(k)}
                 kept = "".join(p for j, p in enumerate(parts) if j not in gone)
                 starts = sorted(s for s in gone if s - 1 not in gone)
                 ends = sorted(s + 1 for s in gone if s + 1 not in gone)
