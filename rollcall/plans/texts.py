@@ -383,7 +383,7 @@ def t17_topics(d):
     from pyspark.ml.clustering import LDA
     from pyspark.ml.feature import CountVectorizer
 
-    counts = CountVectorizer(inputCol="words", outputCol="features", vocabSize=2000, minDF=2.0).fit(_docs(d)).transform(_docs(d))
+    counts = CountVectorizer(inputCol="words", outputCol="features", vocabSize=2000, minDF=2.0).fit(_docs(d, 1)).transform(_docs(d, 1))
     model = LDA(k=6, maxIter=5, seed=42, featuresCol="features").fit(counts)
     from pyspark.ml.functions import vector_to_array
 
