@@ -15,18 +15,19 @@ from pyspark.sql import types as T
 
 
 def squeeze(c: Column) -> Column:
-    return F.trim(F.regexp_replace(c, r"[ \t\r\n\x0B\f ​]+", " "))
-
-
-def canonical(c: Column) -> Column:
-    """Lower case, ё as е, white space (no-break and zero-width included) collapsed."""
-    return F.lower(squeeze(F.translate(c, "ёЁ", "еЕ")))
+    return F.trim(F.regexp_replace(c, r"[ \t\r\n\x0B\f\u00A0\u200B]+", " "))
 
 
 @F.pandas_udf(T.StringType())
 def nfkc(s: pd.Series) -> pd.Series:
     """Compatibility composition, which no built-in function offers."""
-    return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
+    return s.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFKC", x))
+
+
+def canonical(c: Column) -> Column:
+    """Compatibility forms composed, lower case, ё as е, white space (no-break and zero-width
+    included) collapsed."""
+    return F.lower(squeeze(F.translate(nfkc(c), "ёЁ", "еЕ")))
 
 
 def stable_hash(parts: Sequence[Column], length: int = 10) -> Column:
@@ -197,30 +198,74 @@ def coauthors(c: Column) -> Column:
     return F.split(F.trim(c), r"\s*,\s*(?=[A-ZА-ЯЁ])")
 
 
-@F.pandas_udf(T.StructType([T.StructField("speakers", T.ArrayType(T.StringType())), T.StructField("title", T.StringType())]))
-def talk_line(s: pd.Series) -> pd.DataFrame:
-    """Speakers and title of a programme line: "Name, Name (City). Title", "Name: Title" or
-    "Name — Title"; a line of no such layout is all title."""
-    name = r"[A-ZА-ЯЁ][^\W\d_]*(?:[ .-]+[A-ZА-ЯЁ][^\W\d_]*\.?)*"
-    block = rf"(?P<who>{name}(?:\s*,\s*{name})*)\s*(?:\([^)]*\))?"
-    layouts = [re.compile(rf"^{block}\s*[:—–]\s*(?P<title>\S.*)$"), re.compile(rf"^{block}\.\s+(?P<title>\S.*)$")]
+_UP, _LOW = "A-ZА-ЯЁ", "a-zа-яё"
+_WORD = f"[{_UP}][{_LOW}-]+"
+#: "Given Second Surname", "G. S. Surname" or "Surname G. S.".
+AUTHOR = rf"(?:(?:[{_UP}]\.\s*){{1,2}}{_WORD}|{_WORD}\s+(?:[{_UP}]\.\s*){{1,2}}|{_WORD}(?:\s+{_WORD}){{1,3}})"
+INITIALLED = rf"(?:(?:[{_UP}]\.\s*){{1,2}}{_WORD}|{_WORD}\s+(?:[{_UP}]\.\s*){{1,2}})"
+#: A bracket after a name that says where someone is from: not the years of a life.
+PLACE = r"\((?!\s*\d{4}\s*[–—-])[^()]+\)"
+#: Parts of place names (fixed values): such a bracket makes initials before it a speaker
+#: even where no full stop ends the title before.
+PLACES = ("москв", "спб", "петербург", "обнинск", "казан", "пенза", "краснодар", "новосибирск", "вильнюс", "гамбург", "маврики", "гент", "онлайн")
 
-    def one(line: str | None) -> tuple[list[str] | None, str | None]:
+
+@F.pandas_udf(T.StructType([T.StructField("speakers", T.ArrayType(T.StringType())), T.StructField("places", T.ArrayType(T.StringType())), T.StructField("title", T.StringType())]))
+def talk_line(s: pd.Series) -> pd.DataFrame:
+    """Speakers, the place of each (null without one) and title of a programme line.
+
+    Groups of authors, "Name, Name (Place)", are read off one after another; a further group
+    belongs to the speakers only if it has a place, else the title has begun. Without any
+    place, authors must be set off by a colon, a dash or, if written with initials, a full
+    stop. A line of no such layout is all title; null gives nulls.
+    """
+    group = re.compile(rf"\[?(?P<who>{AUTHOR}(?:\s*,\s*{AUTHOR})*)\]?\s*(?P<place>{PLACE})?")
+    initialled = re.compile(rf"{INITIALLED}(?:\s*,\s*{INITIALLED})*\s*")
+    degree = re.compile(r"(?i)^(?:акад|проф|prof)\.\s*")
+
+    def one(line: str | None) -> tuple[list[str] | None, list[str | None] | None, str | None]:
         if line is None:
-            return None, None
-        text = " ".join(line.split())
-        for p in layouts:
-            if m := p.match(text):
-                return [w.strip() for w in re.split(r"\s*,\s*(?=[A-ZА-ЯЁ])", m["who"])], m["title"].rstrip(".")
-        return [], text
+            return None, None, None
+        text, who, where, at = degree.sub("", " ".join(line.split())), [], [], 0
+        while m := group.match(text, at):
+            names = [" ".join(w.split()) for w in re.split(r"\s*,\s*", m["who"])]
+            rest = text[m.end():]
+            if m["place"]:
+                who, where, at = who + names, where + [m["place"][1:-1].strip()] * len(names), m.end() + len(rest) - len(rest.lstrip(" .,"))
+                continue
+            mark = re.match(r"\s*[:—–]\s*|\s*\.\s*" if initialled.fullmatch(m["who"]) or m["who"].endswith(".") else r"\s*[:—–]\s*", rest)
+            if not who and (mark or m["who"].endswith(".") and rest):
+                who, where, at = names, [None] * len(names), m.end() + (mark.end() if mark else 0)
+            break
+        if who:
+            lead = re.match(r"[\s.,:—–]*", text[at:])
+            return who, where, text[at + lead.end():].rstrip(". ")
+        return [], [], " ".join(line.split())
 
     made = [one(x) for x in s]
-    return pd.DataFrame({"speakers": [m[0] for m in made], "title": [m[1] for m in made]})
+    return pd.DataFrame({"speakers": [m[0] for m in made], "places": [m[1] for m in made], "title": [m[2] for m in made]})
 
 
 def packed_lines(c: Column) -> Column:
-    """A line that holds several talks, split where a clock time starts the next."""
-    return F.filter(F.transform(F.split(c, r"\s+(?=\d{1,2}[:.]\d{2}\s)"), lambda x: F.trim(x)), lambda x: x != "")
+    """A line that holds several talks, split where the next begins: at a clock time, at a
+    name with its place after the full stop of a title, and at initials with a known place.
+
+    Two authors in a row, each with a place, are one talk; a stop that belongs to initials,
+    or a name after a comma, begins none.
+    """
+    cut, name = "\u0001", rf"{AUTHOR}\s*{PLACE}"
+    place = rf"\((?iu:[^()]*(?:{'|'.join(PLACES)})[^()]*)\)"
+    together = rf"^\s*{AUTHOR}\s*{PLACE}\s*\.\s*{AUTHOR}\s*{PLACE}"
+    t = F.regexp_replace(c, r"\s+(?=\d{1,2}[:.]\d{2}\s)", cut)
+    split = F.regexp_replace(t, rf"(?<=[^{_UP}][.!?])\s*(?={name})", cut)
+    split = F.regexp_replace(split, rf"(?<=[^,.\s\u0001])\s+(?={INITIALLED}\s*{place})", cut)
+    out = F.split(F.when(c.rlike(together), t).otherwise(split), cut)
+    return F.filter(F.transform(out, lambda x: F.trim(x)), lambda x: x != "")
+
+
+#: How an entry of a programme begins, and lines that are headings (fixed words).
+STARTS = rf"^\s*(?:{AUTHOR}\s*(?:[,(.]|$)|(?:[{_UP}]\.\s*){{1,2}}$|\d{{1,2}}[:.]\d{{2}}\s)"
+HEADING = r"(?iu)заседание|секция|перерыв|начало в |session|break|\d{1,2}[:.]\d{2}\s*[-—–]\s*\d{1,2}[:.]\d{2}|^\s*\d{1,2}\s*(?:[—–-]\s*\d{1,2}\s*)?(?:мая|may)"
 
 
 def capped_score(signals: Sequence[tuple[Column, float]], top: float = 1.0) -> Column:

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rollcall.session import saved
+
 
 def typed_nodes(df: DataFrame, kinds: dict[str, str]) -> DataFrame:
     """(kind, id, weight): rows by value of each column, columns named by kind."""
@@ -40,7 +42,8 @@ def co_presence(df: DataFrame, group: str, person: str, period: str | None = Non
     if item:
         pairs = pairs.where(F.col(f"a_{item}") != F.col(f"b_{item}"))
     years = [F.array_join(F.array_sort(F.collect_set(f"a_{period}")), ",").alias("periods")] if period else []
-    return pairs.groupBy("a", "b").agg(F.countDistinct(group).alias("weight"), *years)
+    once = F.count("*") if not extra else F.countDistinct(group)  # without extra columns a group gives a pair once
+    return pairs.groupBy("a", "b").agg(once.alias("weight"), *years)
 
 
 def pruned(edges: DataFrame, least: int, enough: int) -> DataFrame:
@@ -61,23 +64,29 @@ def degrees(edges: DataFrame) -> DataFrame:
     return ends.groupBy("node").agg(F.countDistinct("other").alias("degree"), F.sum("weight").alias("strength"))
 
 
-def betweenness(edges: DataFrame, limit: int = 2_000_000) -> DataFrame:
+def betweenness(edges: DataFrame, limit: int = 2_000_000, batch: int = 256) -> DataFrame:
     """(node, betweenness): shortest-path betweenness of an unweighted graph (Brandes 2001),
     each pair counted from both ends and scaled by 1 / ((n - 1)(n - 2)).
 
-    Sources are spread over tasks; each needs the whole graph, so it has to fit a worker:
-    more than ``limit`` edges raise an error instead of being sampled.
+    A graph of up to ``limit`` edges goes to every worker, and sources are spread over tasks.
+    A larger one stays distributed: searches from ``batch`` sources at a time advance level by
+    level as joins with the edges. Both are exact.
     """
-    pairs = edges.select("a", "b").where("a <> b").distinct()
-    many = pairs.limit(limit + 1).count()
-    if many > limit:
-        raise ValueError(f"more than {limit} edges: betweenness keeps the graph in every task")
+    pairs = saved(edges.select("a", "b").where("a <> b").distinct())
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    nodes = both.select(F.col("a").alias("node")).distinct()
+    n = nodes.count()
+    sums = _searched_in_tasks(pairs, nodes) if pairs.count() <= limit else _searched_by_joins(both, nodes, n, batch)
+    scale = 1.0 / ((n - 1) * (n - 2)) if n > 2 else 0.0
+    return nodes.join(sums, "node", "left").select("node", F.round(F.coalesce("s", F.lit(0.0)) * scale, 8).alias("betweenness"))
+
+
+def _searched_in_tasks(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     near: dict[object, list[object]] = {}
     for a, b in pairs.toPandas().itertuples(index=False):
         near.setdefault(a, []).append(b)
         near.setdefault(b, []).append(a)
-    n = len(near)
-    shared = edges.sparkSession.sparkContext.broadcast({k: sorted(set(v)) for k, v in near.items()})
+    shared = pairs.sparkSession.sparkContext.broadcast({k: sorted(set(v)) for k, v in near.items()})
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         graph, total = shared.value, {}
@@ -103,11 +112,31 @@ def betweenness(edges: DataFrame, limit: int = 2_000_000) -> DataFrame:
                         total[w] = total.get(w, 0.0) + share[w]
         yield pd.DataFrame({"node": list(total), "part": list(total.values())}).astype({"part": "float64"})
 
-    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     kind = nodes.schema["node"].dataType.simpleString()
-    sums = nodes.repartition("node").mapInPandas(run, f"node {kind}, part double").groupBy("node").agg(F.sum("part").alias("s"))
-    scale = 1.0 / ((n - 1) * (n - 2)) if n > 2 else 0.0
-    return nodes.join(sums, "node", "left").select("node", F.round(F.coalesce("s", F.lit(0.0)) * scale, 8).alias("betweenness"))
+    return nodes.repartition("node").mapInPandas(run, f"node {kind}, part double").groupBy("node").agg(F.sum("part").alias("s"))
+
+
+def _searched_by_joins(both: DataFrame, nodes: DataFrame, n: int, batch: int) -> DataFrame:
+    many, total = -(-n // batch), None
+    step = both.select(F.col("a").alias("v"), F.col("b").alias("w"))
+    for i in range(many):
+        levels = [saved(nodes.where(F.pmod(F.xxhash64("node"), F.lit(many)) == i).select(F.col("node").alias("s"), F.col("node").alias("v"), F.lit(1.0).alias("paths")))]
+        while True:  # shortest paths by level; two levels back and beyond cannot be met again
+            reached = levels[-1].join(step, "v").groupBy("s", "w").agg(F.sum("paths").alias("paths")).withColumnRenamed("w", "v")
+            for seen in levels[-2:]:
+                reached = reached.join(seen.select("s", "v"), ["s", "v"], "left_anti")
+            reached = saved(reached)
+            if reached.isEmpty():
+                break
+            levels.append(reached)
+        share = levels[-1].select("s", "v", "paths", F.lit(0.0).alias("share"))
+        for upper in reversed(levels[:-1]):
+            found = share.where("s <> v").groupBy("v").agg(F.sum("share").alias("s"))
+            total = found if total is None else total.unionByName(found)
+            below = share.select("s", F.col("v").alias("w"), F.col("paths").alias("_p"), "share")
+            part = below.join(step, "w").join(upper, ["s", "v"]).groupBy("s", "v").agg(F.sum(F.col("paths") / F.col("_p") * (1 + F.col("share"))).alias("share"))
+            share = saved(upper.join(part, ["s", "v"], "left").select("s", "v", "paths", F.coalesce("share", F.lit(0.0)).alias("share")))
+    return total.groupBy(F.col("v").alias("node")).agg(F.sum("s").alias("s"))
 
 
 def balance(df: DataFrame, person: str, series: str, a: str, b: str) -> DataFrame:

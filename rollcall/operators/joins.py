@@ -70,23 +70,36 @@ def match_rules(df: DataFrame, text: str, rules: Sequence[tuple[str, str]]) -> D
     return df.withColumn("label", F.explode(F.array_compact(F.array(*hits))))
 
 
-def ratio(a: Column, b: Column) -> Column:
-    """Similarity of two texts as difflib counts it: twice the matching blocks over both lengths."""
+def ratio(a: Column, b: Column, least: float = 0.0) -> Column:
+    """Similarity of two texts as difflib counts it: twice the matching blocks over both
+    lengths. Null for a null text, and below ``least``, which two upper bounds (lengths, then
+    shared characters) mostly settle without looking for blocks."""
+
+    def one(p: str | None, q: str | None) -> float | None:
+        if p is None or q is None:
+            return None
+        m = SequenceMatcher(None, p, q)
+        if least and (m.real_quick_ratio() < least or m.quick_ratio() < least):
+            return None
+        r = m.ratio()
+        return r if r >= least else None
 
     @F.pandas_udf("double")
     def run(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([None if p is None or q is None else SequenceMatcher(None, p, q).ratio() for p, q in zip(x, y)], dtype="float64")
+        return pd.Series([one(p, q) for p, q in zip(x, y)], dtype="float64")
 
     return run(a, b)
 
 
 def best_match(left: DataFrame, right: DataFrame, block: str, left_id: str, right_id: str, left_text: str, right_text: str, threshold: float = 0.55) -> DataFrame:
     """For each left row the most similar right row of its block, at least ``threshold``.
-    Ties go to the smaller right id. Only pairs of a block are ever compared."""
+    Ties go to the smaller right id. Only pairs of a block are ever compared, and of these
+    only those whose lengths allow the threshold reach Python."""
     pairs = left.select(block, left_id, left_text).join(right.select(block, right_id, right_text), block)
-    scored = pairs.withColumn("score", ratio(F.col(left_text), F.col(right_text))).where(F.col("score") >= threshold)
-    best = scored.groupBy(left_id).agg(F.min_by(right_id, F.struct(-F.col("score"), F.col(right_id))).alias(right_id), F.max("score").alias("score"))
-    return best
+    n, m = F.char_length(left_text), F.char_length(right_text)
+    near = pairs.where((2 * F.least(n, m) >= threshold * (n + m)) & (n + m > 0))
+    scored = near.withColumn("score", ratio(F.col(left_text), F.col(right_text), threshold)).where("score is not null")
+    return scored.groupBy(left_id).agg(F.min_by(right_id, F.struct(-F.col("score"), F.col(right_id))).alias(right_id), F.max("score").alias("score"))
 
 
 def candidates(aliases: DataFrame, targets: DataFrame, block: str, alias: str, target: str, score: Column, n: int = 5) -> DataFrame:
@@ -98,11 +111,16 @@ def candidates(aliases: DataFrame, targets: DataFrame, block: str, alias: str, t
 
 
 def related(features: DataFrame, item: str, feature: str, weight: str, k: int) -> DataFrame:
-    """Top k others by summed weight of shared features, through the features, not all pairs."""
+    """Top k others by summed weight of shared features, through the features, not all pairs.
+
+    Each pair is summed once, from the smaller item, and then turned round; sums combine
+    before their shuffle, and adaptive execution splits the join of a common feature.
+    """
     f = features.select(item, feature, weight).distinct()
-    other = f.select(F.col(item).alias("other"), F.col(feature))
-    pairs = f.join(other, feature).where(F.col(item) != F.col("other"))
-    scored = pairs.groupBy(item, "other").agg(F.sum(weight).alias("score"))
+    pairs = f.join(f.select(F.col(item).alias("other"), F.col(feature)), feature).where(F.col(item) < F.col("other"))
+    half = pairs.groupBy(item, "other").agg(F.sum(weight).alias("score"))
+    both = F.explode(F.array(F.struct(F.col(item).alias("i"), F.col("other").alias("o")), F.struct(F.col("other").alias("i"), F.col(item).alias("o"))))
+    scored = half.select(both.alias("x"), "score").select(F.col("x.i").alias(item), F.col("x.o").alias("other"), "score")
     w = Window.partitionBy(item).orderBy(F.col("score").desc(), "other")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

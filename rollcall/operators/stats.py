@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rollcall.session import saved
@@ -48,21 +48,29 @@ def chi2_p(x: float | None, dof: int) -> float | None:
 
 
 def chi_square(df: DataFrame, row: str, column: str, yates: bool = True) -> DataFrame:
-    """chi2, dof, n, Cramér's V and p of the cross table; a 2 x 2 table gets Yates' correction."""
-    cells = df.where(F.col(row).isNotNull() & F.col(column).isNotNull()).groupBy(row, column).agg(F.count("*").alias("o"))
+    """chi2, dof, n, Cramér's V and p of the cross table; a 2 x 2 table gets Yates' correction.
+
+    Only cells that occur are visited: the sum over all cells of (o - e)^2 / e equals that of
+    o^2 / e over these, less n. In a 2 x 2 table |o - e| is the same in every cell, so one cell
+    and the margins give the corrected sum. With one category on a side dof is 0 and Cramér's
+    V and p are null; an empty table gives a row of zeros and nulls.
+    """
+    cells = df.where(F.col(row).isNotNull() & F.col(column).isNotNull()).groupBy(row, column).agg(F.count("*").cast("double").alias("o"))
     rows, columns = cells.groupBy(row).agg(F.sum("o").alias("_r")), cells.groupBy(column).agg(F.sum("o").alias("_c"))
-    n = cells.agg(F.sum("o").alias("_n"), F.countDistinct(row).alias("_i"), F.countDistinct(column).alias("_j"))
-    grid = rows.crossJoin(columns).join(cells, [row, column], "left").crossJoin(F.broadcast(n))  # margins: categories, not rows
-    e = F.col("_r") * F.col("_c") / F.col("_n")
-    gap = F.abs(F.coalesce("o", F.lit(0)) - e)
-    if yates:
-        gap = F.when((F.col("_i") == 2) & (F.col("_j") == 2), gap - F.least(F.lit(0.5), gap)).otherwise(gap)
-    out = grid.groupBy("_n", "_i", "_j").agg(F.sum(gap * gap / e).alias("x"))
+    n = cells.agg(F.sum("o").alias("_n")).crossJoin(rows.agg(F.count("*").alias("_i"), F.sum(1 / F.col("_r")).alias("_ir"))).crossJoin(columns.agg(F.count("*").alias("_j"), F.sum(1 / F.col("_c")).alias("_ic")))
+    e = F.col("_r") * F.col("_c")
+    sums = cells.join(rows, row).join(columns, column).agg(F.sum(F.col("o") * F.col("o") / e).alias("_q"), F.first(F.struct("o", e.alias("e"))).alias("_one"))
+    both = n.crossJoin(sums)  # three tables of one row
+    gap = F.abs(F.col("_one.o") - F.col("_one.e") / F.col("_n"))
+    corrected = F.pow(gap - F.least(F.lit(0.5), gap), 2) * F.col("_n") * F.col("_ir") * F.col("_ic")
+    plain = F.when(F.col("_n").isNotNull(), F.greatest(F.lit(0.0), F.col("_n") * F.col("_q") - F.col("_n")))
+    x = F.when((F.col("_i") == 2) & (F.col("_j") == 2), corrected).otherwise(plain) if yates else plain
     small = F.least("_i", "_j") - 1
-    dof = (F.col("_i") - 1) * (F.col("_j") - 1)
-    tail = F.pandas_udf(lambda x, d: pd.Series([chi2_p(a, int(b)) for a, b in zip(x, d)], dtype="float64"), "double")
-    return out.select(F.round("x", 4).alias("chi2"), dof.cast("int").alias("dof"), F.col("_n").alias("n"),
-                      F.round(F.sqrt(F.col("x") / (F.col("_n") * small)), 4).alias("cramers_v"), tail("x", dof).alias("p"))
+    dof = F.greatest(F.col("_i") - 1, F.lit(0)) * F.greatest(F.col("_j") - 1, F.lit(0))
+    tail = F.pandas_udf(lambda v, d: pd.Series([None if pd.isna(a) else chi2_p(a, int(b)) for a, b in zip(v, d)], dtype="float64"), "double")
+    out = both.withColumns({"x": x, "_dof": dof})
+    return out.select(F.round("x", 4).alias("chi2"), F.col("_dof").cast("int").alias("dof"), F.coalesce(F.col("_n").cast("long"), F.lit(0)).alias("n"),
+                      F.round(F.sqrt(F.try_divide("x", F.col("_n") * small)), 4).alias("cramers_v"), tail("x", F.col("_dof")).alias("p"))
 
 
 def fisher_exact(a: int, b: int, c: int, d: int) -> float:
@@ -104,108 +112,188 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
 
 
 def kruskal(df: DataFrame, group: str, value: str) -> DataFrame:
-    """Kruskal-Wallis H with tie correction, groups, n and p."""
+    """Kruskal-Wallis H with tie correction, groups, n and p. H and p are null where they are
+    not defined: all values equal, or no value at all."""
     rows = df.where(F.col(value).isNotNull() & F.col(group).isNotNull())
     ties = rows.groupBy(value).agg(F.count("*").alias("t")).agg(F.sum(F.pow(F.col("t").cast("double"), 3) - F.col("t")).alias("_t"))
-    sums = average_ranks(rows, value, "_r").groupBy(group).agg(F.sum("_r").alias("s"), F.count("*").alias("k"))
+    sums = average_ranks(rows, value, "_r").groupBy(F.col(group).alias("_g")).agg(F.sum("_r").alias("s"), F.count("*").alias("k"))
     h = sums.agg(F.sum(F.col("s") * F.col("s") / F.col("k")).alias("q"), F.sum("k").alias("n"), F.count("*").alias("groups")).crossJoin(F.broadcast(ties))
     n = F.col("n").cast("double")
-    stat = (12.0 / (n * (n + 1)) * F.col("q") - 3 * (n + 1)) / (1 - F.col("_t") / (n * n * n - n))
-    tail = F.pandas_udf(lambda x, g: pd.Series([chi2_p(a, int(b) - 1) for a, b in zip(x, g)], dtype="float64"), "double")
+    untied = 1 - F.try_divide("_t", n * n * n - n)
+    stat = F.try_divide(F.try_divide(12.0 * F.col("q"), n * (n + 1)) - 3 * (n + 1), untied)
+    tail = F.pandas_udf(lambda x, g: pd.Series([None if pd.isna(a) else chi2_p(a, int(b) - 1) for a, b in zip(x, g)], dtype="float64"), "double")
     return h.withColumn("_h", stat).select(F.round("_h", 4).alias("h"), "groups", "n", tail("_h", F.col("groups")).alias("p"))
 
 
-def overlap_permutation(df: DataFrame, person: str, series: str, a: str, b: str, times: int = 2000, seed: int = 20240101) -> DataFrame:
-    """Persons in both series against shuffles of the series labels over rows.
+def _bucketed(df: DataFrame, person: str, size: int = 50_000) -> tuple[DataFrame, dict[int, int]]:
+    """Rows by (person, bucket) with their number, and the rows of each bucket. Buckets hold
+    some ``size`` persons, so their number, which is all that the driver sees, stays small."""
+    each = saved(df.where(F.col(person).isNotNull()).groupBy(person).agg(F.count("*").alias("k"), F.count(F.when(F.col("_a"), 1)).alias("a")))
+    many = max(16, each.count() // size)
+    each = each.withColumn("bucket", F.pmod(F.xxhash64(F.col(person)), F.lit(many)).cast("int"))
+    return each, {r.bucket: r.n for r in each.groupBy("bucket").agg(F.sum("k").alias("n")).collect()}
 
-    The rows of two series come down to (person code, label) arrays; their number is checked
-    against what a task can hold. Each replicate is seeded by its own number, so a lost task
-    is recomputed to the same value.
-    """
-    rows = df.where(F.col(series).isin(a, b)).select(person, (F.col(series) == a).alias("is_a"))
-    if rows.limit(5_000_001).count() > 5_000_000:
-        raise ValueError("more than 5 million rows: permute a bounded set")
-    data = rows.toPandas().sort_values([person, "is_a"])
-    code, label = pd.factorize(data[person])[0], data["is_a"].to_numpy()
-    shared = df.sparkSession.sparkContext.broadcast((code, label))
 
-    def overlap(code: np.ndarray, label: np.ndarray) -> int:
-        n = code.max() + 1 if len(code) else 0
-        return int(((np.bincount(code[label], minlength=n) > 0) & (np.bincount(code[~label], minlength=n) > 0)).sum())
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        code, label = shared.value
-        for part in parts:
-            yield pd.DataFrame({"overlap": [overlap(code, np.random.default_rng([seed, i]).permutation(label)) for i in part["id"]]})
+def overlap_permutation(df: DataFrame, person: str, series: str, a: str, b: str, times: int = 20_000, seed: int = 20240101) -> DataFrame:
+    """Persons in both series against ``times`` shuffles of the series labels over rows:
+    (observed, null_mean, null_sd, p_lower).
 
-    seen = overlap(code, label)
-    null = df.sparkSession.range(times).mapInPandas(run, "overlap long")
-    return null.agg(F.lit(seen).cast("long").alias("observed"), F.avg("overlap").alias("null_mean"), F.stddev_samp("overlap").alias("null_sd"),
-                    ((F.count(F.when(F.col("overlap") <= seen, 1)) + 1) / F.lit(times + 1.0)).alias("p_lower"))
+    Shuffled exactly, but bucket by bucket: how many labels of ``a`` fall into each bucket of
+    persons is a draw from the multivariate hypergeometric distribution, the same in every
+    task because it is seeded by the replicate; inside a bucket the labels fall on persons by
+    the same law. A person counts with the number of their rows, so a busy person is one
+    entry; those with one row can never be in both and are drawn as one. Without rows of
+    either series the result is one row of zero and nulls.
+    """
+    rows = df.where(F.col(series).isin(a, b)).select(person, (F.col(series) == a).alias("_a"))
+    each, size = _bucketed(rows, person)
+    order = sorted(size)
+    sizes, labels = np.array([size[i] for i in order], np.int64), each.agg(F.coalesce(F.sum("a"), F.lit(0)).alias("n")).first().n
+    block = 64
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        here, k = order.index(int(part["bucket"].iloc[0])), np.sort(part["k"].to_numpy(np.int64))
+        own = np.concatenate(([np.int64((k == 1).sum())], k[k > 1]))
+        most, out = own[1:], np.zeros(times, np.int64)
+        for lo in range(0, times, block):
+            n = min(block, times - lo)
+            share = np.random.default_rng([seed, lo]).multivariate_hypergeometric(sizes, labels, n, method="marginals")[:, here]
+            inside = np.random.default_rng([seed, lo, here])
+            for i, m in enumerate(share.tolist()):
+                got = inside.multivariate_hypergeometric(own, m, method="marginals")[1:]
+                out[lo + i] = ((got > 0) & (got < most)).sum()
+        return pd.DataFrame({"replicate": np.arange(times), "overlap": out})
+
+    null = each.select("bucket", "k").groupBy("bucket").applyInPandas(run, "replicate int, overlap long").groupBy("replicate").agg(F.sum("overlap").alias("overlap"))
+    seen = each.agg(F.count(F.when((F.col("a") > 0) & (F.col("a") < F.col("k")), 1)).alias("observed"))
+    low = F.count(F.when(F.col("overlap") <= F.col("observed"), 1))
+    return null.crossJoin(F.broadcast(seen)).agg(F.coalesce(F.max("observed"), F.lit(0)).alias("observed"), F.avg("overlap").alias("null_mean"), F.stddev_samp("overlap").alias("null_sd"),
+                                                 F.when(F.count("*") > 0, (low + 1) / F.lit(times + 1.0)).alias("p_lower"))  # seen is one row
+
+
+def bootstrap_sums(df: DataFrame, group: str, value: str, key: str, times: int, seed: int = 1) -> DataFrame:
+    """(g, replicate, w, s): weights and weighted sums of a Poisson bootstrap, by group.
+
+    Every row draws its weights from a generator seeded by ``key``, so replicates need no
+    shared sample, do not depend on the partitions, and only sums by (group, replicate) are
+    shuffled. A worker holds one row's draws at a time and the sums of the groups it has seen.
+    """
+    each = df.where(F.col(value).isNotNull() & F.col(group).isNotNull()).select(F.col(group).alias("g"), F.col(value).cast("double").alias("v"), F.xxhash64(key).alias("k"))
+    many = 256  # groups whose sums a worker keeps at once
 
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[object, np.ndarray] = {}
 
-def bootstrap_mean(df: DataFrame, group: str, value: str, times: int = 1000, seed: int = 1) -> DataFrame:
-    """Percentile interval of a group's mean by Poisson bootstrap: every row draws its weight
-    in every replicate from its own hash, so replicates need no shared sample and only sums
-    by (group, replicate) are shuffled, combined before."""
-    each = df.where(F.col(value).isNotNull()).select(group, F.col(value).cast("double").alias("v"), F.monotonically_increasing_id().alias("_i"))
+        def out() -> pd.DataFrame:
+            made = pd.DataFrame({"g": np.repeat(np.array(list(sums), object), times), "replicate": np.tile(np.arange(times), len(sums)),
+                                 "w": np.concatenate([x[0] for x in sums.values()]), "s": np.concatenate([x[1] for x in sums.values()])})
+            sums.clear()
+            return made
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            for g, rows in part.groupby(group, sort=True):
-                w = np.stack([np.random.default_rng([seed, int(i) & 0x7FFFFFFF, int(i) >> 31]).poisson(1.0, times) for i in rows["_i"]])
-                yield pd.DataFrame({"g": g, "replicate": np.arange(times), "w": w.sum(0), "s": rows["v"].to_numpy() @ w})
+            for g, v, k in part.itertuples(index=False):
+                w = np.random.Generator(np.random.Philox(key=[seed, k & 0xFFFFFFFFFFFFFFFF])).poisson(1.0, times)
+                if g not in sums and len(sums) == many:
+                    yield out()
+                held = sums.setdefault(g, np.zeros((2, times)))
+                held[0] += w
+                held[1] += v * w
+        if sums:
+            yield out()
 
     kind = df.schema[group].dataType.simpleString()
-    sums = each.mapInPandas(run, f"g {kind}, replicate int, w double, s double").groupBy("g", "replicate").agg(F.sum("w").alias("w"), F.sum("s").alias("s")).where("w > 0")
-    ci = sums.groupBy("g").agg(F.expr("percentile(s / w, array(0.025, 0.975))").alias("ci"))
-    means = each.groupBy(group).agg(F.count("*").alias("n"), F.avg("v").alias("mean"))
+    return each.mapInPandas(run, f"g {kind}, replicate int, w double, s double").groupBy("g", "replicate").agg(F.sum("w").alias("w"), F.sum("s").alias("s")).where("w > 0")
+
+
+def bootstrap_mean(df: DataFrame, group: str, value: str, key: str, times: int = 10_000, seed: int = 1) -> DataFrame:
+    """(group, n, mean, lo, hi): percentile interval of each group's mean. Rows without a
+    value or a group are left out; ``key`` names a column that tells rows apart."""
+    ci = bootstrap_sums(df, group, value, key, times, seed).groupBy("g").agg(F.expr("percentile(s / w, array(0.025, 0.975))").alias("ci"))
+    means = df.where(F.col(value).isNotNull()).groupBy(group).agg(F.count("*").alias("n"), F.avg(F.col(value).cast("double")).alias("mean"))
     return means.join(ci, F.col(group) == F.col("g")).select(group, "n", "mean", F.col("ci")[0].alias("lo"), F.col("ci")[1].alias("hi"))
 
 
+def bootstrap_difference(df: DataFrame, group: str, value: str, key: str, a: object, b: object, times: int = 10_000, seed: int = 1) -> DataFrame:
+    """(difference, lo, hi, p): mean of group ``a`` less that of ``b``, its percentile interval
+    and the two-sided p, twice the smaller share of replicates on either side of zero, at most
+    1. Nulls where a group has no rows."""
+    two = df.where(F.col(group).isin(a, b))
+    mean = lambda x: F.sum(F.when(F.col("g") == x, F.col("s") / F.col("w")))
+    each = bootstrap_sums(two, group, value, key, times, seed).groupBy("replicate").agg((mean(a) - mean(b)).alias("d")).where("d is not null")
+    p = F.least(F.lit(1.0), 2 * F.least(F.avg((F.col("d") <= 0).cast("double")), F.avg((F.col("d") >= 0).cast("double"))))
+    found = each.agg(F.expr("percentile(d, array(0.025, 0.975))").alias("ci"), p.alias("p"))
+    seen = two.agg((F.avg(F.when(F.col(group) == a, F.col(value))) - F.avg(F.when(F.col(group) == b, F.col(value)))).alias("difference"))
+    return seen.crossJoin(F.broadcast(found)).select("difference", F.col("ci")[0].alias("lo"), F.col("ci")[1].alias("hi"), "p")  # one row each
+
+
 def kaplan_meier(df: DataFrame, group: str, time: str, event: str) -> DataFrame:
     """(group, time, at risk, events, survival, Greenwood standard error).
 
     Counts by (group, time) come first, so windows see distinct times, not persons. The
-    running product is an aggregate over the factors, which may be 0.
+    running product is the exponential of a running sum of logarithms, and 0 from the first
+    factor of 0 on. ``_survival`` is the product before rounding.
     """
     t = df.groupBy(group, time).agg(F.sum(F.col(event).cast("int")).alias("d"), F.count("*").alias("k"))
     w = Window.partitionBy(group).orderBy(time)
     t = t.withColumn("at_risk", F.sum("k").over(Window.partitionBy(group).orderBy(F.col(time).desc()).rowsBetween(Window.unboundedPreceding, 0)))
     run = w.rowsBetween(Window.unboundedPreceding, 0)
-    factors = F.collect_list(1.0 - F.col("d") / F.col("at_risk")).over(run)
-    t = t.withColumn("s", F.aggregate(factors, F.lit(1.0), lambda a, x: a * x))
     left = F.col("at_risk") - F.col("d")
+    logs = F.sum(F.when(left > 0, F.log(left / F.col("at_risk")))).over(run)
+    t = t.withColumn("s", F.when(F.max(left == 0).over(run), 0.0).otherwise(F.exp(F.coalesce(logs, F.lit(0.0)))))
     var = F.sum(F.when(left > 0, F.col("d") / (F.col("at_risk") * left)).otherwise(0.0)).over(run)
     out = t.withColumn("_v", var).where("d > 0")
-    return out.select(group, time, "at_risk", F.col("d").alias("events"), F.round("s", 6).alias("survival"), F.round(F.col("s") * F.sqrt("_v"), 6).alias("se"))
+    return out.select(group, time, "at_risk", F.col("d").alias("events"), F.round("s", 6).alias("survival"), F.round(F.col("s") * F.sqrt("_v"), 6).alias("se"), F.col("s").alias("_survival"))
 
 
 def median_survival(km: DataFrame, group: str, time: str) -> DataFrame:
-    """First time at which survival is at most one half; null if it never is."""
-    return km.groupBy(group).agg(F.min(F.when(F.col("survival") <= 0.5, F.col(time))).alias("median_time"))
+    """First time at which survival is at most one half, judged before rounding (to a part in
+    10^12, for a product of many factors); null if it never is."""
+    return km.groupBy(group).agg(F.min(F.when(F.col("_survival") <= 0.5 + 1e-12, F.col(time))).alias("median_time"))
 
 
 def logrank(df: DataFrame, group: str, a: str, time: str, event: str) -> DataFrame:
-    """Log-rank chi-square of group ``a`` against the rest, with observed and expected events."""
+    """Log-rank chi-square of group ``a`` against the rest, with observed and expected events
+    and p. chi2 and p are null where the variance is 0, such as with all events at the last
+    time; without an event observed and expected are null, too.
+
+    Numbers at risk are running sums over distinct times: partitions by range, and an offset
+    for each, so that no task sees all times."""
     t = df.withColumn("_a", F.col(group) == a).groupBy(time).agg(
         F.count(F.when(F.col("_a"), 1)).alias("ka"), F.count("*").alias("k"), F.sum(F.when(F.col("_a"), F.col(event).cast("int")).otherwise(0)).alias("da"), F.sum(F.col(event).cast("int")).alias("d"))
-    down = Window.orderBy(F.col(time).desc()).rowsBetween(Window.unboundedPreceding, 0)  # one row a distinct time
-    t = t.withColumns({"n": F.sum("k").over(down), "na": F.sum("ka").over(down)}).where("d > 0")
+    t = _still_there(t, time).where("d > 0")
     e = F.col("d") * F.col("na") / F.col("n")
     v = F.when(F.col("n") > 1, F.col("d") * F.col("na") / F.col("n") * (1 - F.col("na") / F.col("n")) * (F.col("n") - F.col("d")) / (F.col("n") - 1)).otherwise(0.0)
     s = t.agg(F.sum("da").alias("o"), F.sum(e).alias("e"), F.sum(v).alias("v"))
-    return s.select(F.col("o").alias("observed"), F.round("e", 4).alias("expected"), F.round((F.col("o") - F.col("e")) * (F.col("o") - F.col("e")) / F.col("v"), 4).alias("chi2"))
+    s = s.withColumn("x", F.try_divide((F.col("o") - F.col("e")) * (F.col("o") - F.col("e")), F.when(F.col("v") > 1e-12, F.col("v"))))
+    return s.select(F.col("o").alias("observed"), F.round("e", 4).alias("expected"), F.round("x", 4).alias("chi2"), _one_dof("x").alias("p"))
+
+
+def _still_there(t: DataFrame, time: str) -> DataFrame:
+    """``n`` and ``na``: sums of ``k`` and ``ka`` at this and all later times."""
+    parts = saved(t.repartitionByRange(F.col(time).desc()).withColumn("_p", F.spark_partition_id()))
+    down = Window.partitionBy("_p").orderBy(F.col(time).desc()).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
+    sizes = parts.groupBy("_p").agg(F.sum("k").alias("_k"), F.sum("ka").alias("_ka"))
+    offset = sizes.select("_p", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c) for c in ("_k", "_ka")])
+    inside = parts.withColumns({"n": F.sum("k").over(down), "na": F.sum("ka").over(down)})
+    return inside.join(F.broadcast(offset), "_p").withColumns({"n": F.col("n") + F.col("_k"), "na": F.col("na") + F.col("_ka")}).drop("_p", "_k", "_ka")
+
+
+def _one_dof(x: str) -> Column:
+    tail = F.pandas_udf(lambda v: pd.Series([None if pd.isna(a) else chi2_p(a, 1) for a in v], dtype="float64"), "double")
+    return tail(x)
 
 
 def mantel_haenszel(df: DataFrame, stratum: str, exposed: str, outcome: str, correction: float = 0.5) -> DataFrame:
     """Cochran-Mantel-Haenszel chi-square with continuity correction and pooled odds ratio
-    over 2 x 2 tables, one a stratum."""
+    over 2 x 2 tables, one a stratum, and p. chi2 and p are null where no stratum has both
+    kinds of exposure and of outcome, the odds ratio where its denominator is 0."""
     n = lambda x, y: F.count(F.when((F.col(exposed) == x) & (F.col(outcome) == y), 1)).cast("double")
-    t = df.groupBy(stratum).agg(n(True, True).alias("a"), n(True, False).alias("b"), n(False, True).alias("c"), n(False, False).alias("d"))
+    t = df.groupBy(F.col(stratum).alias("_s")).agg(n(True, True).alias("a"), n(True, False).alias("b"), n(False, True).alias("c"), n(False, False).alias("d"))
     t = t.withColumn("n", F.col("a") + F.col("b") + F.col("c") + F.col("d")).where("n > 1")
     e = (F.col("a") + F.col("b")) * (F.col("a") + F.col("c")) / F.col("n")
     v = (F.col("a") + F.col("b")) * (F.col("c") + F.col("d")) * (F.col("a") + F.col("c")) * (F.col("b") + F.col("d")) / (F.col("n") * F.col("n") * (F.col("n") - 1))
     s = t.agg(F.count("*").alias("strata"), F.sum(F.col("a") - e).alias("g"), F.sum(v).alias("v"), F.sum(F.col("a") * F.col("d") / F.col("n")).alias("r"), F.sum(F.col("b") * F.col("c") / F.col("n")).alias("q"))
     gap = F.greatest(F.lit(0.0), F.abs("g") - correction)
-    return s.select("strata", F.round(gap * gap / F.col("v"), 4).alias("chi2"), F.round(F.col("r") / F.col("q"), 4).alias("odds_ratio"))
+    s = s.withColumn("x", F.try_divide(gap * gap, "v"))
+    return s.select("strata", F.round("x", 4).alias("chi2"), F.round(F.try_divide("r", "q"), 4).alias("odds_ratio"), _one_dof("x").alias("p"))

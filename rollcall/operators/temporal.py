@@ -95,3 +95,18 @@ def cumulative(df: DataFrame, order: Sequence[str], value: str, out: str = "runn
     before = F.sum("_t").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))  # a row a partition
     offset = sums.select("_p", F.coalesce(before, F.lit(0)).alias("_o"))
     return parts.join(F.broadcast(offset), "_p").withColumn(out, F.col("_s") + F.col("_o")).drop("_p", "_s", "_o")
+
+
+def wrapped_entries(df: DataFrame, group: str, order: str, line: str, starts: str, heading: str) -> DataFrame:
+    """(group, entry, line): lines of a programme that were wrapped, put together again.
+
+    An entry begins at a line that ``starts`` matches, at a heading and after one; any other
+    line continues the entry before it. Blank and null lines are left out. A group's lines
+    are read in one order, so groups are documents, not tables.
+    """
+    w = Window.partitionBy(group).orderBy(order)
+    rows = df.where(F.trim(line) != "").withColumn("_head", F.col(line).rlike(heading))
+    first = F.col(line).rlike(starts) | F.col("_head") | F.coalesce(F.lag("_head").over(w), F.lit(True))
+    rows = rows.withColumn("_first", first).withColumn("entry", F.sum(F.col("_first").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    text = F.transform(F.array_sort(F.collect_list(F.struct(order, F.trim(line).alias("_l")))), lambda x: x["_l"])
+    return rows.groupBy(group, "entry").agg(F.array_join(text, " ").alias(line))

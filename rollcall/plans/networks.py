@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -10,19 +11,19 @@ from rollcall import sources
 from rollcall.operators import graph, quality, stats
 from rollcall.plans.data import SESSIONS, TAKING_PART, A, B
 from rollcall.plans.registry import registry
+from rollcall.session import shared_folder
 from rollcall.sources import sinks
 from rollcall.streaming import events as ev
 
 QUERIES, SQL, query = registry()
 
-#: Suppliers met in orders of early 1995: a graph small enough for exact centrality.
-PAIRS = """m as (select distinct l_orderkey as g, l_suppkey as person from lineitem join orders on l_orderkey = o_orderkey where o_orderdate < timestamp '1995-03-01'),
+#: Suppliers met in the same order.
+PAIRS = """m as (select distinct l_orderkey as g, l_suppkey as person from lineitem),
 edges as (select a.person as a, b.person as b, count(distinct a.g) as weight from m a join m b on a.g = b.g and a.person < b.person group by 1, 2)"""
 
 
 def _pairs(d):
-    rows = d.lineitem.join(d.orders.where("o_orderdate < timestamp '1995-03-01'"), F.col("l_orderkey") == F.col("o_orderkey"))
-    return graph.co_presence(rows.selectExpr("l_orderkey as g", "l_suppkey as person"), "g", "person")
+    return graph.co_presence(d.lineitem.selectExpr("l_orderkey as g", "l_suppkey as person"), "g", "person")
 
 
 SPINE = "spine as (select o_orderkey, o_custkey, c_nationkey, n_regionkey, o_orderpriority as series, cast(year(o_orderdate) as integer) as year from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey)"
@@ -150,10 +151,13 @@ def x01_chi_square_p(d):
     return stats.chi_square(d.labels, "quality", "toxic")
 
 
-@query()
+@query("""with n as (select count(case when quality = 1 and toxic = 1 then 1 end) as a, count(case when quality = 1 and toxic = 0 then 1 end) as b, count(case when quality = 0 and toxic = 1 then 1 end) as c, count(case when quality = 0 and toxic = 0 then 1 end) as d from labels),
+k as (select unnest(range(greatest(0, a + b + a + c - (a + b + c + d)), least(a + b, a + c) + 1)) as k, a + b as r, a + c as l, a + b + c + d as n from n),
+w as (select k, lgamma(r + 1.0) - lgamma(k + 1.0) - lgamma(r - k + 1.0) + lgamma(n - r + 1.0) - lgamma(l - k + 1.0) - lgamma(n - r - l + k + 1.0) - lgamma(n + 1.0) + lgamma(l + 1.0) + lgamma(n - l + 1.0) as x from k)
+select a, b, c, d, round(least(1.0, (select sum(exp(x)) from w where x <= (select x from w where k = a) + 1e-7)), 6) as p from n""")
 def x02_fisher(d):
     rows = d.labels.select((F.col("quality") == 1).alias("good"), (F.col("toxic") == 1).alias("toxic"))
-    return stats.fisher(rows, "good", "toxic")
+    return stats.fisher(rows, "good", "toxic").withColumn("p", F.round("p", 6))
 
 
 @query("""with v as (select c_acctbal as x, c_nationkey as y from customer), r as (select rank() over (order by x) + (count(*) over (partition by x) - 1) / 2.0 as rx, rank() over (order by y) + (count(*) over (partition by y) - 1) / 2.0 as ry from v) select count(*) as n, round(corr(rx, ry), 6) as rho from r""")
@@ -170,12 +174,17 @@ def x04_kruskal(d):
 
 @query()
 def x05_permutation(d):
-    return stats.overlap_permutation(d.taking_part, "person", "series", A, B, 500)
+    return stats.overlap_permutation(d.taking_part, "person", "series", A, B)
 
 
 @query()
 def x06_bootstrap(d):
-    return stats.bootstrap_mean(d.orders, "o_orderpriority", "o_totalprice", 200)
+    return stats.bootstrap_mean(d.orders, "o_orderpriority", "o_totalprice", "o_orderkey")
+
+
+@query()
+def x06_bootstrap_difference(d):
+    return stats.bootstrap_difference(d.orders, "o_orderpriority", "o_totalprice", "o_orderkey", A, B)
 
 
 KM = """t as (select c_mktsegment as grp, max(year(o_orderdate)) - min(year(o_orderdate)) as t, max(o_orderdate) < timestamp '2001-01-01' as e from orders join customer on o_custkey = c_custkey group by o_custkey, c_mktsegment)"""
@@ -190,10 +199,11 @@ def _lives(d):
 s as (select *, list(1.0 - d / n) over (partition by grp order by t) as f, sum(case when n > d then d / (n * (n - d)) else 0.0 end) over (partition by grp order by t) as v from r)
 select grp, cast(t as integer) as t, cast(n as bigint) as at_risk, cast(d as bigint) as events, round(list_product(f), 6) as survival, round(list_product(f) * sqrt(v), 6) as se from s where d > 0""")
 def x07_kaplan_meier(d):
-    return stats.kaplan_meier(_lives(d), "grp", "t", "e")
+    return stats.kaplan_meier(_lives(d), "grp", "t", "e").drop("_survival")
 
 
-@query()
+@query(f"""with {KM}, c as (select grp, t, count(*) as k, sum(case when e then 1 else 0 end) as d from t group by 1, 2), r as (select *, sum(k) over (partition by grp order by t desc) as n from c),
+s as (select *, list_product(list(1.0 - d / n) over (partition by grp order by t)) as s from r) select grp, cast(min(case when s <= 0.5 + 1e-12 and d > 0 then t end) as integer) as median_time from s group by grp having bool_or(d > 0)""")
 def x07_median_survival(d):
     return stats.median_survival(stats.kaplan_meier(_lives(d), "grp", "t", "e"), "grp", "t")
 
@@ -202,7 +212,7 @@ def x07_median_survival(d):
 r as (select *, sum(k) over (order by t desc) as n, sum(ka) over (order by t desc) as na from c), s as (select sum(da) as o, sum(d * na / n) as e, sum(case when n > 1 then d * na / n * (1 - na / n) * (n - d) / (n - 1) else 0 end) as v from r where d > 0)
 select cast(o as bigint) as observed, round(e, 4) as expected, round((o - e) * (o - e) / v, 4) as chi2 from s""")
 def x08_logrank(d):
-    return stats.logrank(_lives(d), "grp", "BUILDING", "t", "e")
+    return stats.logrank(_lives(d), "grp", "BUILDING", "t", "e").drop("p")
 
 
 @query("""with t as (select year(o_orderdate) as y, cast(count(case when o_orderpriority = '1-URGENT' and o_totalprice > 150000 then 1 end) as double) as a, count(case when o_orderpriority = '1-URGENT' and o_totalprice <= 150000 then 1 end) as b,
@@ -211,7 +221,7 @@ s as (select count(*) as strata, sum(a - (a + b) * (a + c) / n) as g, sum((a + b
 select strata, round(pow(greatest(0, abs(g) - 0.5), 2) / v, 4) as chi2, round(r / q, 4) as odds_ratio from s""")
 def x09_mantel_haenszel(d):
     rows = d.orders.select(F.year("o_orderdate").alias("y"), (F.col("o_orderpriority") == "1-URGENT").alias("urgent"), (F.col("o_totalprice") > 150000).alias("large"))
-    return stats.mantel_haenszel(rows, "y", "urgent", "large")
+    return stats.mantel_haenszel(rows, "y", "urgent", "large").drop("p")
 
 
 @query("select o_orderstatus, count(*) as n, round(median(o_totalprice), 2) as median, round(avg(o_totalprice), 2) as mean from orders group by 1")
@@ -321,12 +331,17 @@ def s01_markdown_csv(d):
     return sources.markdown_csv(d.spark.createDataFrame([(MARKDOWN,)], "value string"), "value", "places", "id string, name string, lat double")
 
 
+BLOCKED = "regexp_replace(regexp_replace(html, '(?i)</?(br|div|h1|h2|h3|h4|h5|h6|li|ol|p|td|tr|ul)([ \\t\\r\\n][^>]*)?/?>', chr(1), 'g'), '<[^>]*>', '', 'g')"
+UNESCAPED = f"replace(replace(replace(replace(replace(replace({BLOCKED}, '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#39;', chr(39)), '&nbsp;', chr(160)), '&amp;', '&')"
+PAGE_TEXT = f"select page_id, regexp_replace(regexp_replace(regexp_replace({UNESCAPED}, '^' || chr(1) || '+', ''), chr(10) || chr(1) || '+', chr(10), 'g'), chr(1) || '+', chr(10), 'g') as text from pages"
+
+
 @query()
 def s02_html_text(d):
     return d.pages.select("page_id", sources.html_text("html").alias("text"))
 
 
-@query()
+@query(PAGE_TEXT)
 def s02_html_text_native(d):
     return d.pages.select("page_id", sources.html_text_plain(F.col("html")).alias("text"))
 
@@ -361,6 +376,74 @@ def s14_seed_rows(d):
     return sources.values(d.spark, [(1, "x"), (2, "y")], "id int, place string")
 
 
+def _folder(d, name: str) -> str:
+    """A new folder where all machines can write and read."""
+    return f"{shared_folder(d.spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("select c_custkey, c_name, c_acctbal from customer")
+def k01_sorted_csv(d):
+    """Written in order with a header, and read again by schema."""
+    path = _folder(d, "csv")
+    sinks.sorted_csv(d.customer.select("c_custkey", "c_name", "c_acctbal"), path, ["c_custkey"])
+    return sources.csv(d.spark, path, "c_custkey long, c_name string, c_acctbal double")
+
+
+@query("select c_custkey, case when c_custkey % 3 > 0 then c_name end as c_name from customer where c_custkey % 4 > 0")
+def s07_commented_csv(d):
+    """Comment lines are left out, short rows are filled, a byte-order mark is no part of the header."""
+    path = _folder(d, "notes")
+    k = F.col("c_custkey")
+    line = F.when(k % 4 == 0, F.concat(F.lit("# "), "c_name")).when(k % 3 == 0, k.cast("string")).otherwise(F.concat_ws(",", k, "c_name"))
+    head = d.spark.createDataFrame([("\ufeffc_custkey,c_name",)], "value string")
+    head.coalesce(1).write.text(f"{path}/part=0")
+    d.customer.select(F.concat_ws("\n", F.lit("c_custkey,c_name"), line).alias("value")).write.text(f"{path}/part=1")
+    return sources.csv(d.spark, path, "c_custkey long, c_name string", "#").where("c_custkey is not null").select("c_custkey", "c_name")
+
+
+@query("select n_nationkey as id, n_name as name from nation where n_nationkey % 3 > 0")
+def s10_json_import(d):
+    """Arrays of a folder, an element twice, some known already."""
+    path = _folder(d, "json")
+    each = F.to_json(F.array(*[F.struct(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"))] * 2))
+    d.nation.select("n_nationkey", each.alias("value")).write.partitionBy("n_nationkey").text(path)
+    known = d.nation.where("n_nationkey % 3 = 0").selectExpr("n_nationkey as id")
+    return sources.json_new(d.spark, path, "id int, name string", "id", known).select("id", "name")
+
+
+@query("select p_partkey, unnest(list_filter([case when contains(p_type, 'STEEL') or contains(p_type, 'TIN') then 'metal' end, case when contains(p_type, 'SMALL') then 'small' end, case when regexp_matches(p_brand, '1$') then 'first' end], lambda x: x is not null)) as label from part")
+def s15_rule_table(d):
+    """Rules as rows: label and pattern."""
+    from rollcall.operators.joins import match_rules
+
+    rules = [tuple(r) for r in sources.values(d.spark, [("metal", "STEEL"), ("metal", "TIN"), ("small", "SMALL"), ("first", "1 x$")], "label string, pattern string").collect()]  # the rule table
+    return match_rules(d.part.withColumn("_text", F.concat("p_type", F.lit(" "), "p_brand", F.lit(" x"))), "_text", rules).select("p_partkey", "label")
+
+
+@query("select o_orderkey, o_custkey, cast(year(o_orderdate) as integer) as year from orders where year(o_orderdate) in (1996, 1999)")
+def k02_split_by_year(d):
+    """A folder a year; two of them read again equal their slice of the whole."""
+    path = _folder(d, "years")
+    sinks.split_json(d.orders.select("o_orderkey", "o_custkey", F.year("o_orderdate").alias("year")), path, "year")
+    return d.spark.read.schema("o_orderkey long, o_custkey long, year int").json(path).where("year in (1996, 1999)")
+
+
+@query("""with r as (select n_nationkey, coalesce(n_name, '') as n, count(c_custkey) as k from nation left join customer on c_nationkey = n_nationkey group by 1, 2)
+select 0::bigint as place, '| name | customers |' as line union all select 1, '| --- | --- |' union all select 1 + row_number() over (order by n), '| ' || n || ' | ' || k || ' |' from r""")
+def k04_markdown(d):
+    n = d.nation.join(d.customer, F.col("c_nationkey") == F.col("n_nationkey"), "left").groupBy(F.col("n_name").alias("name")).agg(F.count("c_custkey").alias("customers"))
+    return sinks.markdown_lines(n, ["name"])
+
+
+@query("""with t as (select n_regionkey, string_agg(n_name || chr(10), '' order by n_name) as t from nation group by 1) select cast(length(t) as bigint) as size, sha256(t) as sha256 from t""")
+def k10_manifest(d):
+    """A text file a region; size and digest of each."""
+    path = _folder(d, "files")
+    lines = d.nation.groupBy("n_regionkey").agg(F.array_join(F.array_sort(F.collect_list("n_name")), "\n").alias("value"))
+    lines.write.partitionBy("n_regionkey").text(path)
+    return sinks.manifest(d.spark, path).where("size > 0").select("size", "sha256")
+
+
 @query("""select o_custkey, string_agg(o_orderkey || ':' || o_orderstatus, ',' order by o_orderdate, o_orderkey) as items from orders group by 1""")
 def k02_nested(d):
     n = sinks.nested(d.orders, "o_custkey", "items", ["o_orderkey", "o_orderstatus"], ["o_orderdate", "o_orderkey"])
@@ -373,6 +456,20 @@ def k03_upsert(d):
     return sinks.upsert(old, d.customer.where("c_custkey % 2 = 0").selectExpr("c_custkey as k", "'new' as v"), ["k"])
 
 
+@query("select c_custkey as k, case when c_custkey % 2 = 0 then 'new' else c_mktsegment end as v from customer where c_custkey % 3 > 0 or c_custkey % 2 = 0 union all select c_custkey, 'more' from customer where c_custkey % 2 = 0")
+def k03_delete_insert(d):
+    old = d.customer.where("c_custkey % 3 > 0").selectExpr("c_custkey as k", "c_mktsegment as v")
+    new = d.customer.where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("k"), F.explode(F.array(F.lit("new"), F.lit("more"))).alias("v"))
+    return sinks.replaced(old, new, ["k"])
+
+
+@query("select c_custkey as k, c_name as n, case when c_custkey % 5 = 0 then null when c_custkey % 2 = 0 then 'new' else c_mktsegment end as v from customer where c_custkey % 3 > 0")
+def k03_update(d):
+    old = d.customer.where("c_custkey % 3 > 0").selectExpr("c_custkey as k", "c_name as n", "c_mktsegment as v")
+    changes = d.customer.where("c_custkey % 2 = 0 or c_custkey % 5 = 0").selectExpr("c_custkey as k", "if(c_custkey % 5 = 0, null, 'new') as v")
+    return sinks.updated(old, changes, ["k"], ["v"])
+
+
 @query("select '<c' || c_custkey || '> foaf:name \"' || c_name || '\" .' as line from customer")
 def k05_turtle(d):
     t = graph.triples(d.customer, F.concat(F.lit("c"), "c_custkey"), {"foaf:name": (F.col("c_name"), "string")})

@@ -14,11 +14,11 @@ QUERIES, SQL, query = registry()
 STOP = ("the", "and", "les", "des", "und", "que")
 #: Words of a text as SQL: letters only, three or more, no Roman numerals, no stop words.
 WORDS = "list_filter(regexp_extract_all(lower(text), '[a-zà-öø-ÿа-яё_]+'), lambda w: length(w) >= 3 and not regexp_matches(w, '^[ivxlcdm]+$') and w not in ('the', 'and', 'les', 'des', 'und', 'que'))"
-DOCS = f"docs as (select doc_id, lang, text, {WORDS} as words from documents where doc_id % 5 = 0)"
+DOCS = f"docs as (select doc_id, lang, text, {WORDS} as words from documents)"
 
 
-def _docs(d, every: int = 5):
-    return d.documents.where(F.col("doc_id") % every == 0).select("doc_id", "lang", "text", tokens(F.col("text"), stop=STOP).alias("words"))
+def _docs(d):
+    return d.documents.select("doc_id", "lang", "text", tokens(F.col("text"), stop=STOP).alias("words"))
 
 
 @query("select doc_id, lower(trim(regexp_replace(translate(text, 'ёЁ', 'еЕ'), '[ \t\r\n]+', ' ', 'g'))) as canonical from documents")
@@ -41,18 +41,24 @@ def f03_person_id(d):
     return d.customer.select("c_custkey", F.when(F.col("c_custkey") % 50 == 0, "PERS_override").otherwise(tx.prefixed_id("PERS_", [F.col("c_name")], 8)).alias("person_id"))
 
 
-NAMES = [("Ivanov, Ivan Petrovich", "ivanov i p", "Ivanov I. P."), ("Ivan Petrovich Ivanov", "ivanov i p", "Ivanov I. P."), ("Ivanov I.P.", "ivanov i p", "Ivanov I. P."), ("Ivanov I. P.", "ivanov i p", "Ivanov I. P."),
-         ("Smith", "smith", "Smith"), ("Ёлкина Анна", "анна е", "Анна Е."), ("Ёлкина, Анна", "елкина а", "Елкина А.")]
+#: Names in four layouts from two columns, and the two results.
+NAMED = """n as (select c_custkey, c_custkey % 5 as k, c_mktsegment as sur, replace(n_name, ' ', '-') as given, chr(cast(65 + c_custkey % 26 as integer)) as i from customer join nation on c_nationkey = n_nationkey),
+r as (select c_custkey, k, case k when 0 then sur || ', ' || given when 1 then given || ' ' || sur when 2 then sur || ' ' || substr(given, 1, 1) || '.' || i || '.' when 3 then sur end as name,
+lower(sur) as s, lower(substr(given, 1, 1)) as g, lower(i) as i from n)"""
 
 
-def _values(rows):
-    quote = lambda x: "null" if x is None else "'" + x.replace("'", "''") + "'" if isinstance(x, str) else str(x)
-    return ", ".join("(" + ", ".join(map(quote, r)) + ")" for r in rows)
+def _named(d):
+    n = d.customer.join(d.nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    sur, given, i = F.col("c_mktsegment"), F.replace("n_name", F.lit(" "), F.lit("-")), F.chr((65 + F.col("c_custkey") % 26).cast("int"))
+    k = F.col("c_custkey") % 5
+    name = (F.when(k == 0, F.concat(sur, F.lit(", "), given)).when(k == 1, F.concat(given, F.lit(" "), sur))
+            .when(k == 2, F.concat(sur, F.lit(" "), F.substring(given, 1, 1), F.lit("."), i, F.lit("."))).when(k == 3, sur))
+    return n.select("c_custkey", name.alias("name"))
 
 
-@query(f"select * from (values {_values([(n, k) for n, k, _ in NAMES])}) t(name, name_key)")
+@query(f"with {NAMED} select c_custkey, case k when 0 then s || ' ' || g when 1 then s || ' ' || g when 2 then s || ' ' || g || ' ' || i when 3 then s end as name_key from r")
 def f04_name_key(d):
-    return d.spark.createDataFrame([(n,) for n, _, _ in NAMES], "name string").withColumn("name_key", tx.name_key(F.col("name")))
+    return _named(d).select("c_custkey", tx.name_key(F.col("name")).alias("name_key"))
 
 
 @query("""with k as (select c_custkey, lower(c_name) as k from customer), a as (select lower(c_name) as alias, 'group' || c_custkey % 7 as target from customer where c_custkey % 4 = 0)
@@ -63,9 +69,10 @@ def f05_alias_fold(d):
     return resolve.fold_aliases(d.customer.selectExpr("c_custkey", "lower(c_name) as k"), "k", a, o).select("c_custkey", "person_key")
 
 
-@query(f"select * from (values {_values([(n, i) for n, _, i in NAMES])}) t(name, initials)")
+@query(f"""with {NAMED} select c_custkey, upper(substr(s, 1, 1)) || substr(s, 2) || case when k in (0, 1) then ' ' || upper(g) || '.' when k = 2 then ' ' || upper(g) || '. ' || upper(i) || '.' else '' end as initials from r where k < 4
+union all select c_custkey, null from r where k = 4""")
 def f06_initials(d):
-    return d.spark.createDataFrame([(n,) for n, _, _ in NAMES], "name string").withColumn("initials", tx.initials(F.col("name")))
+    return _named(d).select("c_custkey", tx.initials(F.col("name")).alias("initials"))
 
 
 @query("select p_partkey, case when ends_with(lower(p_name), '1') then 'one' when ends_with(lower(p_name), '0') then 'zero' else 'other' end as label from part")
@@ -134,12 +141,14 @@ def f18_slug(d):
     return d.part.select("p_partkey", tx.slug(F.concat(F.lit("Щука "), "p_name", F.lit("/"), "p_brand"), {"щ": "shch", "у": "u", "к": "k", "а": "a"}).alias("slug"))
 
 
-TIMES = [("15.00 – 18.30", "15:00 – 18:30"), ("10:00—12:30", "10:00 – 12:30"), ("9.05-10.00", "09:05 – 10:00"), ("noon", None)]
-
-
-@query(f"select * from (values {_values(TIMES)}) t(raw, interval)")
+@query("""with t as (select o_orderkey as k, cast(o_orderkey % 10 as varchar) as h, lpad(cast(o_orderkey % 60 as varchar), 2, '0') as m, cast(10 + o_orderkey % 14 as varchar) as z from orders)
+select k, case when k % 4 = 3 then null else '0' || h || ':' || m || ' – ' || z || ':' || m end as interval from t""")
 def f19_time_interval(d):
-    return d.spark.createDataFrame([(t,) for t, _ in TIMES], "raw string").withColumn("interval", tx.time_interval(F.col("raw")))
+    k = F.col("o_orderkey")
+    h, m, z = (k % 10).cast("string"), F.lpad((k % 60).cast("string"), 2, "0"), (10 + k % 14).cast("string")
+    raw = F.when(k % 4 == 0, F.concat(h, F.lit("."), m, F.lit(" – "), z, F.lit("."), m)).when(k % 4 == 1, F.concat(F.lit(" "), h, F.lit(":"), m, F.lit("—"), z, F.lit(":"), m))
+    raw = raw.when(k % 4 == 2, F.concat(F.lit("0"), h, F.lit("."), m, F.lit("-"), z, F.lit(":"), m, F.lit(" "))).otherwise(F.concat(F.lit("from "), h))
+    return d.orders.select(k.alias("k"), tx.time_interval(raw).alias("interval"))
 
 
 @query("select o_orderkey, case when o_orderkey % 9 = 0 then 'Not specified' else dayname(o_orderdate) end as day from orders")
@@ -155,13 +164,15 @@ def f21_dates(d):
     return d.orders.select("o_orderkey", tx.year_in(F.concat(F.lit("in "), F.date_format("o_orderdate", "yyyy"), F.lit("."))).alias("year"), got["date"].cast("string").alias("date"), got["exact"].alias("exact"))
 
 
-DAYS = [("12 мая, вторник", "2021-05-12"), ("3.06 утро", "2021-06-03"), ("без даты", None)]
-
-
-@query(f"select * from (values {_values(DAYS)}) t(line, day)")
+@query("""select o_orderkey as k, case when o_orderkey % 3 = 0 and month(o_orderdate) not in (5, 6) then null when o_orderkey % 3 = 2 then null
+else '2021-' || strftime(case when month(o_orderdate) = 2 and day(o_orderdate) = 29 then date '2021-02-28' else o_orderdate end, '%m-%d') end as day from orders""")
 def f22_calendar_date(d):
-    rows = d.spark.createDataFrame([(t,) for t, _ in DAYS], "line string")
-    return rows.withColumn("day", tx.month_day(F.col("line"), F.lit(2021), {"мая": 5, "июня": 6}).cast("string"))
+    k, day = F.col("o_orderkey"), F.date_format("o_orderdate", "d")
+    leap = (F.month("o_orderdate") == 2) & (F.dayofmonth("o_orderdate") == 29)
+    day = F.when(leap, "28").otherwise(day)
+    month = F.when(F.month("o_orderdate") == 5, "мая").when(F.month("o_orderdate") == 6, "ИЮНЯ").otherwise("другого месяца")
+    line = F.when(k % 3 == 0, F.concat(day, F.lit(" "), month, F.lit(", вторник"))).when(k % 3 == 1, F.concat(day, F.date_format("o_orderdate", ".MM"), F.lit(" утро"))).otherwise("без даты")
+    return d.orders.select(k.alias("k"), tx.month_day(line, F.lit(2021), {"мая": 5, "июня": 6}).cast("string").alias("day"))
 
 
 @query("select p_brand, count(*) as n, case when count(*) <> 0 then round(100.0 * count(case when p_size > 25 then 1 end) / count(*), 1) else 0.0 end as pct from part group by 1")
@@ -176,15 +187,16 @@ def f24_shorten(d):
     return d.documents.select("doc_id", tx.shorten(F.col("text"), 60).alias("short"))
 
 
-IDS = [("https://orcid.org/0000-0002-1825-0097", "orcid", "0000-0002-1825-0097"), ("0000-0002-1825-009", "orcid", None), ("https://www.wikidata.org/wiki/Q42", "wikidata", "Q42"), ("q42", "wikidata", "Q42"),
-       ("Q042", "wikidata", None), ("https://viaf.org/viaf/102333412", "viaf", "102333412"), ("https://ror.org/02mhbdp94", "ror", "02mhbdp94")]
-
-
-@query(f"select * from (values {_values(IDS)}) t(raw, kind, clean)")
+@query("""select c_custkey, '0000-0002-' || lpad(cast(c_custkey % 10000 as varchar), 4, '0') || '-' || case when c_custkey % 3 > 0 then '123X' end as orcid, case when c_custkey % 4 > 0 then 'Q' || c_custkey end as wikidata,
+case when c_custkey % 5 > 0 then cast(c_custkey + 10 as varchar) end as viaf, case when c_custkey % 2 > 0 then '0' || lpad(cast(c_custkey % 1000000 as varchar), 6, 'a') || '07' end as ror from customer""")
 def f25_identifiers(d):
-    rows = d.spark.createDataFrame([(a, b) for a, b, _ in IDS], "raw string, kind string")
-    clean = F.coalesce(*[F.when(F.col("kind") == k, tx.identifier(F.col("raw"), k)) for k in tx.FORMATS])
-    return rows.withColumn("clean", clean)
+    k = F.col("c_custkey")
+    orcid = F.concat(F.when(k % 2 == 0, "https://orcid.org/").otherwise(" "), F.lit("0000-0002-"), F.lpad((k % 10000).cast("string"), 4, "0"), F.when(k % 3 > 0, "-123x").otherwise("-12"))
+    wikidata = F.concat(F.when(k % 2 == 0, "https://www.wikidata.org/wiki/").otherwise(""), F.when(k % 4 > 0, "q").otherwise("Q0"), k)
+    viaf = F.concat(F.lit("https://viaf.org/viaf/"), F.when(k % 5 == 0, "0").otherwise(""), (k + 10).cast("string"))
+    ror = F.concat(F.lit("https://ror.org/0"), F.lpad((k % 1000000).cast("string"), 6, "a"), F.when(k % 2 > 0, "07").otherwise("7"))
+    raw = {"orcid": orcid, "wikidata": wikidata, "viaf": viaf, "ror": ror}
+    return d.customer.select("c_custkey", *[tx.identifier(c, kind).alias(kind) for kind, c in raw.items()])
 
 
 @query("select page_id, trim(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '[ \t\r\n]+', ' ', 'g')) as plain, replace(replace(replace(replace(url, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;') as safe from pages")
@@ -192,24 +204,52 @@ def f26_html(d):
     return d.pages.select("page_id", tx.strip_tags(F.col("html")).alias("plain"), tx.escape_html(F.col("url")).alias("safe"))
 
 
-@query("select p_partkey, 'A. One|B. Two, jr|C. Three' as names from part where p_partkey <= 20")
+@query("select p_partkey, 'A. ' || p_type || '|B. ' || p_brand || ', jr|C. ' || p_type as names from part")
 def f27_coauthors(d):
-    return d.part.where("p_partkey <= 20").select("p_partkey", F.array_join(tx.coauthors(F.lit("A. One, B. Two, jr, C. Three")), "|").alias("names"))
+    packed = F.concat(F.lit(" A. "), "p_type", F.lit(", B. "), "p_brand", F.lit(", jr , C. "), "p_type")
+    return d.part.select("p_partkey", F.array_join(tx.coauthors(packed), "|").alias("names"))
 
 
-LINES = [("Ivanov I. P., Smith J. (Riga): On the verbs", "Ivanov I. P.|Smith J.", "On the verbs"), ("Smith J. — Two texts.", "Smith J.", "Two texts"), ("opening remarks", "", "opening remarks")]
+#: Surnames and titles of letters only, from numbers.
+LETTERED = "case when true then chr(cast(65 + p_partkey % 26 as integer)) || 'en' || chr(cast(97 + p_size % 26 as integer)) || 'ov' end"
 
 
-@query(f"select * from (values {_values(LINES)}) t(line, speakers, title)")
+def _lettered():
+    return F.concat(F.chr((65 + F.col("p_partkey") % 26).cast("int")), F.lit("en"), F.chr((97 + F.col("p_size") % 26).cast("int")), F.lit("ov"))
+
+
+@query(f"""with s as (select p_partkey, p_partkey % 6 as k, {LETTERED} as s, lower(p_type) as t from part)
+select p_partkey, case k when 0 then s || ' Ivan|Petrov Oleg' when 1 then s || ' A. B.|' || s || ' C.' when 2 then 'A. B. ' || s when 3 then s || ' Ivan Petrovich' when 4 then 'A. ' || s || '|B. ' || s else '' end as speakers,
+case k when 0 then 'Riga|Kyiv' when 1 then 'Riga|Riga' when 3 then 'Riga' else '' end as places, case when k = 5 then 'opening ' || t else 'On ' || t || ' (1814–1875) of I. P. Minaev' end as title from s""")
 def f28_talk_lines(d):
-    rows = d.spark.createDataFrame([(a,) for a, _, _ in LINES], "line string").withColumn("x", tx.talk_line("line"))
-    return rows.select("line", F.array_join("x.speakers", "|").alias("speakers"), "x.title")
+    k, s, title = F.col("p_partkey") % 6, _lettered(), F.concat(F.lit("On "), F.lower("p_type"), F.lit(" (1814–1875) of I. P. Minaev."))
+    line = F.when(k == 0, F.concat(s, F.lit(" Ivan (Riga). Petrov Oleg (Kyiv). "), title)).when(k == 1, F.concat(s, F.lit(" A. B., "), s, F.lit(" C. (Riga). "), title))
+    line = line.when(k == 2, F.concat(F.lit("Prof. A. B. "), s, F.lit(". "), title)).when(k == 3, F.concat(s, F.lit(" Ivan Petrovich  (Riga) "), title))
+    line = line.when(k == 4, F.concat(F.lit("A. "), s, F.lit(", B. "), s, F.lit(". "), title)).otherwise(F.concat(F.lit("opening "), F.lower("p_type")))
+    got = d.part.select("p_partkey", tx.talk_line(line).alias("x"))
+    return got.select("p_partkey", F.array_join("x.speakers", "|").alias("speakers"), F.array_join("x.places", "|").alias("places"), "x.title")
 
 
-@query("select p_partkey, unnest(['10:00 Smith ' || p_name, '11.30 Jones ' || p_brand]) as line from part where p_partkey <= 50")
+@query(f"""with s as (select p_partkey, {LETTERED} as s, lower(p_type) as t, p_brand as b from part)
+select p_partkey, unnest(case p_partkey % 3 when 0 then ['10:00 Smith ' || t, '11.30 Jones ' || b] when 1 then [s || ' Ivan (Riga). On ' || t || '.', s || ' Oleg Petrovich (Kyiv). On ' || b]
+else ['A. B. ' || s || ' (Riga). On ' || t || ' of I. P. Minaev (MAE)', 'C. ' || s || ' (Гамбург). On ' || b] end) as line from s""")
 def f29_packed_lines(d):
-    packed = F.concat(F.lit("10:00 Smith "), "p_name", F.lit("  11.30 Jones "), "p_brand")
-    return d.part.where("p_partkey <= 50").select("p_partkey", F.explode(tx.packed_lines(packed)).alias("line"))
+    k, s, t = F.col("p_partkey") % 3, _lettered(), F.lower("p_type")
+    packed = F.when(k == 0, F.concat(F.lit("10:00 Smith "), t, F.lit("  11.30 Jones "), "p_brand"))
+    packed = packed.when(k == 1, F.concat(s, F.lit(" Ivan (Riga). On "), t, F.lit("."), s, F.lit(" Oleg Petrovich (Kyiv). On "), "p_brand"))
+    packed = packed.otherwise(F.concat(F.lit("A. B. "), s, F.lit(" (Riga). On "), t, F.lit(" of I. P. Minaev (MAE) C. "), s, F.lit(" (Гамбург). On "), "p_brand"))
+    return d.part.select("p_partkey", F.explode(tx.packed_lines(packed)).alias("line"))
+
+
+@query(f"""with s as (select p_partkey as k, {LETTERED} as s, lower(p_type) as t from part)
+select k, unnest([1, 2, 3]) as entry, unnest([s || ' Ivan (Riga). On ' || t || ' and its history.', 'Session 2', 'A. B. ' || s || ' (Kyiv). More']) as line from s""")
+def w09_wrapped_lines(d):
+    from rollcall.operators.temporal import wrapped_entries
+
+    s, t = _lettered(), F.lower("p_type")
+    lines = F.array(F.concat(s, F.lit(" Ivan")), F.concat(F.lit("(Riga). On "), t), F.lit("and its history. "), F.lit(" "), F.lit("Session 2"), F.lit("A. B."), F.concat(s, F.lit(" (Kyiv). More")))
+    rows = d.part.select(F.col("p_partkey").alias("k"), F.posexplode(lines).alias("n", "line"))
+    return wrapped_entries(rows, "k", "n", "line", tx.STARTS, tx.HEADING).select("k", F.col("entry").cast("int").alias("entry"), "line")
 
 
 @query("""select c_custkey, cast(least(1.0, (case when c_mktsegment = 'BUILDING' then 0.5 else 0.0 end) + (case when c_acctbal > 5000 then 0.4 else 0.0 end) + (case when c_nationkey < 10 then 0.3 else 0.0 end)) as double) as score,
@@ -228,7 +268,7 @@ def f31_age_proxy(d):
 def f32_sequence_ratio(d):
     from rollcall.operators.joins import ratio
 
-    return d.part.where("p_partkey <= 200").select("p_partkey", F.round(ratio(F.col("p_name"), F.col("p_type")), 6).alias("ratio"))
+    return d.part.select("p_partkey", F.round(ratio(F.col("p_name"), F.col("p_type")), 6).alias("ratio"))
 
 
 @query("select event_id, cast(json_extract_string(props, '$.k') as bigint) as k, json_extract_string(props, '$.missing') as missing from events")
@@ -274,7 +314,7 @@ s as (select lang, count(*) as nd from docs group by 1) select lang, bigram, n,
 def t04_bigram_frequencies(d):
     docs = _docs(d)
     b = docs.select("lang", F.explode(bigrams(F.col("words"))).alias("bigram")).groupBy("lang", "bigram").agg(F.count("*").alias("n")).where("n >= 2")
-    return b.join(F.broadcast(docs.groupBy("lang").agg(F.count("*").alias("nd"))), "lang").select("lang", "bigram", "n", F.round(100.0 * F.col("n") / F.col("nd"), 2).alias("per_100"))
+    return b.join(docs.groupBy("lang").agg(F.count("*").alias("nd")), "lang").select("lang", "bigram", "n", F.round(100.0 * F.col("n") / F.col("nd"), 2).alias("per_100"))
 
 
 def _contrast(side: str) -> str:
@@ -383,7 +423,9 @@ def t17_topics(d):
     from pyspark.ml.clustering import LDA
     from pyspark.ml.feature import CountVectorizer
 
-    counts = CountVectorizer(inputCol="words", outputCol="features", vocabSize=2000, minDF=2.0).fit(_docs(d, 1)).transform(_docs(d, 1))
+    docs = _docs(d)
+    terms = docs.select(F.explode(F.array_distinct("words")).alias("t")).groupBy("t").count().where("count >= 2").count()
+    counts = CountVectorizer(inputCol="words", outputCol="features", vocabSize=max(1, terms), minDF=2.0).fit(docs).transform(docs)
     model = LDA(k=6, maxIter=5, seed=42, featuresCol="features").fit(counts)
     from pyspark.ml.functions import vector_to_array
 
@@ -396,22 +438,19 @@ def t17_nmf_topics(d):
     return lexical.nmf_topics(lexical.tf_idf(_docs(d), "doc_id", "words"), "doc_id")
 
 
-@query(f"""with {DOCS}, {TFIDF}, s as (select q.doc_id as query_id, d.doc_id as doc_id, round(sum(q.weight * d.weight), 4) as score from v q join v d using (term) where q.doc_id % 100 = 0 and d.doc_id % 100 <> 0 group by 1, 2 having round(sum(q.weight * d.weight), 4) > 0),
+@query(f"""with {DOCS}, {TFIDF}, s as (select q.doc_id as query_id, d.doc_id as doc_id, round(sum(q.weight * d.weight), 4) as score from v q join v d using (term) where q.doc_id % 50 = 0 and d.doc_id <> q.doc_id group by 1, 2 having round(sum(q.weight * d.weight), 4) > 0),
 r as (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from s) select query_id, doc_id, score, cast(rank as integer) as rank from r where rank <= 3""")
 def t18_query_cosine(d):
     v = lexical.tf_idf(_docs(d), "doc_id", "words")
-    q = v.where("doc_id % 100 = 0").withColumnRenamed("doc_id", "query_id")
-    return lexical.similar(q, v.where("doc_id % 100 <> 0"), "query_id", "doc_id", 3)
+    q = v.where("doc_id % 50 = 0").withColumnRenamed("doc_id", "query_id")
+    return lexical.similar(q, v, "query_id", "doc_id", 3)
 
 
 @query("""with q as (select vec_id as query_id, embedding as a from embeddings where vec_id % 50 = 0), s as (select query_id, vec_id, round(list_inner_product(cast(a as double[]), cast(embedding as double[])), 5) as score from q join embeddings on vec_id <> query_id),
 r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s) select query_id, vec_id, score, cast(rank as integer) as rank from r where rank <= 3""")
 def t18_dense_similarity(d):
-    q = d.embeddings.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("a"))
-    dot = F.aggregate(F.zip_with(F.col("a").cast("array<double>"), F.col("embedding").cast("array<double>"), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    # a stated query set against all vectors
-    s = d.embeddings.join(F.broadcast(q), F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", F.round(dot, 5).alias("score"))
-    return select.top_per_group(s, ["query_id"], [F.col("score").desc(), F.col("vec_id")], 3)
+    q = d.embeddings.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id")
+    return lexical.nearest_vectors(q, d.embeddings, "query_id", "vec_id", "embedding", 3)
 
 
 @query()

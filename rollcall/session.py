@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,16 +15,27 @@ def session(master: str | None = None, shuffle_partitions: int | None = None, **
     if master:
         b = b.master(master)
     fixed = {"spark.sql.adaptive.enabled": "true", "spark.sql.adaptive.skewJoin.enabled": "true", "spark.sql.session.timeZone": "UTC",
-             "spark.sql.ansi.enabled": "true", "spark.ui.showConsoleProgress": "false"}
+             "spark.sql.ansi.enabled": "true", "spark.ui.showConsoleProgress": "false",
+             "spark.cleaner.referenceTracking.cleanCheckpoints": "true"}
     if shuffle_partitions:
         fixed["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     return b.config(map=fixed | conf).getOrCreate()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder, set if it is not: the one that ``spark.checkpoint.dir`` names. A
+    folder of this machine serves only where all work is on it; on a cluster it is an error."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="rollcall-"))
+    return context.getCheckpointDir()
+
+
 def saved(df: DataFrame) -> DataFrame:
     """The rows as they are now, written to the checkpoint folder: what follows may read them
     twice and, after a lost executor, again, and always sees the same partitions."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="rollcall-"))
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -66,30 +66,35 @@ def json_new(spark: SparkSession, path: str, schema: str, key: str, existing: Da
     return rows.dropDuplicates([key]).join(existing.select(key), key, "left_anti")
 
 
+#: Elements that end a line (fixed values).
+BLOCKS = ("br", "div", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ol", "p", "td", "tr", "ul")
+
+
 class _Text(HTMLParser):
-    #: Elements that break a line (fixed values).
-    BREAKS = {"address", "article", "blockquote", "br", "dd", "div", "dl", "dt", "footer", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "li", "main", "nav", "ol", "p",
-              "pre", "section", "table", "td", "th", "title", "tr", "ul"}
+    """Collects text; a block tag ends the line unless it is empty or has just ended."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.parts: list[str] = []
+        self.text = io.StringIO()
+        self.last = "\n"  # no line end before the first text
+
+    def end_line(self, tag: str) -> None:
+        if tag in BLOCKS and self.last != "\n":
+            self.handle_data("\n")
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag in self.BREAKS:
-            self.parts.append("\n")
+        self.end_line(tag)
 
-    def handle_endtag(self, tag: str) -> None:
-        if tag in self.BREAKS:
-            self.parts.append("\n")
+    handle_endtag = end_line
 
     def handle_data(self, data: str) -> None:
-        self.parts.append(data)
+        self.text.write(data)
+        self.last = data[-1:] or self.last
 
 
 @F.pandas_udf(T.StringType())
 def html_text(s: pd.Series) -> pd.Series:
-    """Text of a page, block elements as one line end each."""
+    """Text of a page: a block tag ends the line once, other white space stays as it is."""
 
     def one(page: str | None) -> str | None:
         if page is None:
@@ -97,19 +102,20 @@ def html_text(s: pd.Series) -> pd.Series:
         p = _Text()
         p.feed(page)
         p.close()
-        return "\n".join(x for x in (" ".join(line.split()) for line in "".join(p.parts).split("\n")) if x)
+        return p.text.getvalue()
 
     return s.map(one)
 
 
 def html_text_plain(c: Column) -> Column:
-    """The same by expressions alone, for pages without comments or broken tags."""
-    t = F.regexp_replace(c, r"(?i)</?(?:" + "|".join(sorted(_Text.BREAKS)) + r")(?:\s[^>]*)?/?>", "\n")
+    """The same by expressions alone, for pages without comments, scripts or broken tags."""
+    mark = "\u0001"
+    t = F.regexp_replace(c, r"(?i)</?(?:" + "|".join(BLOCKS) + r")(?:\s[^>]*)?/?>", mark)
     t = F.regexp_replace(t, r"<[^>]*>", "")
-    for a, b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
+    for a, b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", "\u00a0"), ("&amp;", "&")):
         t = F.replace(t, F.lit(a), F.lit(b))
-    lines = F.transform(F.split(t, "\n"), lambda x: F.trim(F.regexp_replace(x, r"\s+", " ")))
-    return F.array_join(F.filter(lines, lambda x: x != ""), "\n")
+    t = F.regexp_replace(F.regexp_replace(t, f"^{mark}+", ""), f"\n{mark}+", "\n")
+    return F.regexp_replace(t, f"{mark}+", "\n")
 
 
 def updated_on(c: Column) -> Column:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rollcall.operators.resolve import numbered_rows
 
 def sorted_csv(df: DataFrame, path: str, order: Sequence[str], single: bool = False) -> None:
     """CSV with a header in a global order: parts in order, or one file for small results."""
@@ -15,8 +16,9 @@ def sorted_csv(df: DataFrame, path: str, order: Sequence[str], single: bool = Fa
 
 
 def split_json(df: DataFrame, path: str, by: str) -> None:
-    """JSON lines in a folder for each value of a column; readers prune by it."""
-    df.repartition(by).write.mode("overwrite").partitionBy(by).json(path)
+    """JSON lines in a folder for each value of a column; readers prune by it. Each task
+    writes its own file of a value, so a value with many rows is not sent to one task."""
+    df.write.mode("overwrite").partitionBy(by).json(path)
 
 
 def nested(df: DataFrame, key: str, items: str, fields: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -32,11 +34,22 @@ def upsert(old: DataFrame, new: DataFrame, key: Sequence[str], replace: bool = T
     return old.unionByName(new.dropDuplicates(list(key)).join(old.select(*key), list(key), "left_anti"))
 
 
-def markdown_table(df: DataFrame, limit: int = 1000) -> str:
-    """A Markdown table of at most ``limit`` rows of an already aggregated result."""
-    rows = df.limit(limit).collect()
-    line = lambda cells: "| " + " | ".join("" if c is None else str(c).replace("|", r"\|") for c in cells) + " |"
-    return "\n".join([line(df.columns), line(["---"] * len(df.columns)), *map(line, rows)])
+def markdown_lines(df: DataFrame, order: Sequence[str]) -> DataFrame:
+    """(place, line): a Markdown table, header and rule first, then the rows in order. Null is
+    an empty cell; a bar inside a cell is escaped."""
+    cells = [F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit("|"), F.lit(r"\|")) for c in df.columns]
+    rows = numbered_rows(df, order, "_place").select((F.col("_place") + 1).cast("long").alias("place"), F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("line"))
+    head = [(0, "| " + " | ".join(df.columns) + " |"), (1, "| " + " | ".join(["---"] * len(df.columns)) + " |")]
+    return df.sparkSession.createDataFrame(head, "place long, line string").unionByName(rows)
+
+
+def markdown_table(df: DataFrame, order: Sequence[str], limit: int = 1000) -> str:
+    """The table as one text, for an aggregated result; more than ``limit`` rows are an error
+    (``markdown_lines`` writes any number)."""
+    lines = markdown_lines(df, order).orderBy("place").limit(limit + 3).collect()
+    if len(lines) > limit + 2:
+        raise ValueError(f"more than {limit} rows: write markdown_lines to files instead")
+    return "\n".join(r.line for r in lines)
 
 
 def turtle(triples: DataFrame) -> Column:
@@ -69,3 +82,17 @@ def corpus_key(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     are added up, so no row order and no gathering is needed."""
     h = F.xxhash64(*[F.col(c) for c in columns]).cast("decimal(38,0)")
     return df.agg(F.count("*").alias("rows"), F.sha2(F.concat_ws("|", F.count("*"), F.coalesce(F.sum(h), F.lit(0))).cast("binary"), 256).alias("key"))
+
+
+def replaced(old: DataFrame, new: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Delete, then insert: all old rows of a key that has new rows go, and every new row
+    enters, so that a key may have several."""
+    return old.join(new.select(*key).distinct(), list(key), "left_anti").unionByName(new)
+
+
+def updated(old: DataFrame, changes: DataFrame, key: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """Columns of known keys set to the values of ``changes`` (null included); unknown keys do
+    not enter. ``changes`` has a key once."""
+    new = changes.select(*key, F.struct(*columns).alias("_new"))
+    both = old.join(new, list(key), "left")
+    return both.select(*[F.when(F.col("_new").isNotNull(), F.col("_new")[c]).otherwise(F.col(c)).alias(c) if c in columns else F.col(c) for c in old.columns])
