@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import json
+import sqlite3
 import uuid
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from rollcall import sources
@@ -371,6 +373,21 @@ def s09_fenced_jsonl(d):
     return sources.fenced_jsonl(d.spark.createDataFrame([(text,)], "value string"), "value", "id int, name string").withColumnRenamed("_bad", "bad")
 
 
+@query("select n_nationkey as id, n_name as name from nation where n_regionkey > 0")
+def s11_sqlite(d):
+    """A database a region, packed by a function and scanned again."""
+
+    def packed(part: pd.DataFrame) -> pd.DataFrame:
+        db = sqlite3.connect(":memory:")
+        db.execute("create table nation (id integer, name text)")
+        db.executemany("insert into nation values (?, ?)", list(zip(part["n_nationkey"].tolist(), part["n_name"])))
+        db.commit()
+        return pd.DataFrame({"content": [db.serialize()]})
+
+    files = d.nation.where("n_regionkey > 0").groupBy("n_regionkey").applyInPandas(packed, "content binary")
+    return sources.sqlite_rows(files, "select id, name from nation", "id int, name string")
+
+
 @query("select * from (values (1, 'x'), (2, 'y')) t(id, place)")
 def s14_seed_rows(d):
     return sources.values(d.spark, [(1, "x"), (2, "y")], "id int, place string")

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import io
-from collections.abc import Sequence
+import sqlite3
+from collections.abc import Iterator, Sequence
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -164,3 +165,25 @@ def pdf_text(files: DataFrame) -> DataFrame:
         return contents.map(one)
 
     return files.select("path", run("content").alias("text"))
+
+
+def sqlite_rows(files: DataFrame, statement: str, schema: str, batch: int = 10_000) -> DataFrame:
+    """Rows that a SQL statement gives in each SQLite database of a ``binaryFile`` table.
+
+    A task opens the file's bytes in memory, so files may lie in any store Spark reads, and
+    many files are read in parallel; a file has to fit a worker. A file that is no database
+    ends the job. Columns follow ``schema`` by place.
+    """
+    names = T.StructType.fromDDL(schema).fieldNames()
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for content in part["content"]:
+                db = sqlite3.connect(":memory:")
+                db.deserialize(bytes(content))
+                found = db.execute(statement)
+                while rows := found.fetchmany(batch):
+                    yield pd.DataFrame(rows, columns=names)
+                db.close()
+
+    return files.select("content").mapInPandas(run, schema)
