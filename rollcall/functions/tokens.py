@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -15,6 +16,9 @@ def tokens(c: Column, phrases: Sequence[str] = (), canonical: dict[str, str] | N
     t = F.lower(c)
     for p in phrases:
         t = F.replace(t, F.lit(p), F.lit(p.replace(" ", "_")))
+    if not stems and not canonical:  # one expression finds the words that stay, without a function on each
+        gone = "|".join(["[ivxlcdm]+", *(re.escape(w) for w in stop)])
+        return F.regexp_extract_all(t, F.lit(f"(?<![{letters}_])(?!(?:{gone})(?![{letters}_]))([{letters}_]{{{least},}})"), F.lit(1))
     words = F.regexp_extract_all(t, F.lit(f"([{letters}_]+)"), F.lit(1))
     for ending in (f"(?<=.{{{least}}}){e}$" for e in stems):
         words = F.transform(words, lambda w: F.regexp_replace(w, ending, ""))
