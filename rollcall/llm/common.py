@@ -3,24 +3,23 @@
 from __future__ import annotations
 
 import gc
-import tempfile
-import time
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rollcall.session import shared_folder
+
 #: Rows in an Arrow batch; a batch of the longest texts must still fit a Python worker.
 BATCH_ROWS = 512
 BATCH_BYTES = "8m"
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Small Arrow batches, and a checkpoint folder: the cluster's shared one where it names one."""
+    """Small Arrow batches, which stay set for the session, and a checkpoint folder: the one
+    that the cluster names; a folder of this machine only where all work is on it."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
-    if spark.sparkContext.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="rollcall-"))
+    shared_folder(spark)
     return spark
 
 
@@ -31,12 +30,10 @@ def saved(df: DataFrame) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of what is saved by now. What Python gives up in the
-    first round the JVM can drop in the second; Spark's cleaner works on its own thread."""
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(1)
+    """Let Spark's cleaner delete the shuffle files of tables that are saved by now: between
+    steps of a long job, so that they need not all lie on the disks at once."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -213,12 +213,22 @@ def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
 
 def accepted(df: DataFrame, min_score: float = 0.5) -> DataFrame:
     """The rows of ``documents`` whose language is known with at least ``min_score``; a row
-    without a language gets the predicted one."""
-    model, schema = fit(df), df.schema
-    text, lang = df.columns.index("text"), df.columns.index("lang")
+    without a language gets the predicted one.
+
+    Null texts and texts without a letter go. Where nothing can be learned (no ``lang`` column,
+    or no row with one outside fold 0) only these go, since no language can be told. Repeated
+    rows are judged alike; an empty table stays empty; other columns are returned as they are.
+    """
+    prepare(df.sparkSession)
+    schema, labelled = df.schema, "lang" in df.columns
+    model = fit(df) if labelled else {"names": []}
+    text, lang = df.columns.index("text"), df.columns.index("lang") if labelled else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            if not model["names"]:
+                yield b.filter(pa.array([grams(t.as_py()) is not None for t in b.column(text)], pa.bool_()))
+                continue
             made = [classify(t.as_py(), model) for t in b.column(text)]
             cols = list(b.columns)
             cols[lang] = pa.array([old if old is not None else m[0] for old, m in zip(b.column(lang).to_pylist(), made)], b.schema.field(lang).type)

@@ -206,14 +206,3 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     member = saved(group.join(lowest, "group_fp").select("fp", "group_fp", "component_id"))
     out = rows.join(member, "fp")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "group_fp")
-
-
-def first_of_each_group(df: DataFrame) -> DataFrame:
-    """The rows of ``documents`` that stay: of each near-duplicate group the smallest doc_id.
-
-    Rows that share that doc_id all stay if it is theirs alone; a group whose ids are all
-    null keeps its rows, since nothing tells which came first.
-    """
-    classes = near_duplicates(df, "doc_id", "text").select(F.col("doc_id").alias("_id"), F.col("component_id").alias("_keep"))
-    stay = classes.where("_id = _keep").select("_id").distinct()
-    return df.join(stay, df["doc_id"] == stay["_id"], "left_semi").unionByName(df.where("doc_id is null"))
