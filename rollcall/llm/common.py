@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,9 +32,12 @@ def saved(df: DataFrame) -> DataFrame:
 
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner delete the shuffle files of tables that are saved by now: between
-    steps of a long job, so that they need not all lie on the disks at once."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    steps of a long job, so that they need not all lie on the disks at once. What Python gives
+    up in the first round the JVM can drop in the second; the cleaner has its own thread."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(1)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
