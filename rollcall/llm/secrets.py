@@ -31,7 +31,7 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 GITHUB = re.compile(r"gh[pousr]_([0-9A-Za-z]{30})([0-9A-Za-z]{6})(?![0-9A-Za-z])")
 NPM = re.compile(r"npm_([0-9A-Za-z]{30})([0-9A-Za-z]{6})(?![0-9A-Za-z])")
-GRAFANA = re.compile(r"(gl[a-z]{2}_[0-9A-Za-z]{32})_([0-9a-f]{8})(?![0-9a-f])")
+GRAFANA = re.compile(r"(glsa_[0-9A-Za-z]{32})_([0-9a-f]{8})(?![0-9a-f])")
 DIGITS = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 HEX_RUN = 24
 
@@ -69,7 +69,7 @@ RULES = (
     Kind("access", ("akia",), ACCESS, False, lambda m: len(m[0]) >= 20),
     Kind("github", ("ghp_", "gho_", "ghu_", "ghs_", "ghr_"), GITHUB, False, _crc62),
     Kind("npm", ("npm_",), NPM, False, _crc62),
-    Kind("grafana", ("glsa_", "glc_", "gldt"), GRAFANA, False, _crc_hex),
+    Kind("grafana", ("glsa_",), GRAFANA, False, _crc_hex),
 )
 
 
