@@ -25,10 +25,11 @@ EVERY = 50
 
 
 def sign_code(vector: Column) -> Column:
-    """64 bits as a long, the first component's highest: 1 where a component is above 0."""
+    """64 bits as a long, the first component's highest: 1 where a component is above 0, so a
+    null one counts as 0. Null for a null vector and for one of another length."""
     weights = F.array(*[F.lit(1 << 63 - i if i else -(1 << 63)) for i in range(64)])
     bits = F.zip_with(vector, weights, lambda x, w: F.when(x > 0, w).otherwise(F.lit(0).cast("long")))
-    return F.aggregate(bits, F.lit(0).cast("long"), lambda a, b: a.bitwiseXOR(b))
+    return F.when(F.size(vector) == 64, F.aggregate(bits, F.lit(0).cast("long"), lambda a, b: a.bitwiseXOR(b)))
 
 
 def _segment(code: Column, s: int) -> Column:
@@ -55,16 +56,16 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
 
     ``codes`` and ``queries`` are (vec_id, code). Ties go to the smaller id. A row is not its
     own neighbour; another row with its id is. Fewer than k others give fewer rows, and
-    rows without a code are neither queries nor found.
+    rows without a code or an id are neither queries nor found.
     """
     prepare(codes.sparkSession)
-    have = codes.where("code is not null")
+    have = codes.where("code is not null and vec_id is not null")
     ranked = have.withColumn("n", F.row_number().over(Window.partitionBy("code").orderBy(F.col("vec_id").asc_nulls_last()))).where(F.col("n") <= k + 1)
     entries = saved(ranked.groupBy("code").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
                     .withColumn("low", F.element_at("ids", 1)).withColumn("many", F.size("ids")))
     segments = F.array(*[F.struct(F.lit(s).alias("seg"), _segment(F.col("code"), s).alias("value")) for s in range(SEGMENTS)])
     index = saved(entries.select("code", "low", "many", F.explode(segments).alias("s")).select("s.seg", "s.value", "code", "low", "many"))
-    asked = saved(queries.where("code is not null").select("vec_id", "code"))
+    asked = saved(queries.where("code is not null and vec_id is not null").select("vec_id", "code"))
     todo = asked.select(F.col("code").alias("query")).distinct()
     best = None
     order = Window.partitionBy("query").orderBy("distance", F.col("low").asc_nulls_last(), "code")
@@ -104,7 +105,14 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
 
 
 def search_embeddings(df: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
-    """Queries are the rows whose vec_id is divisible by ``every``, against all rows."""
+    """(query_id, rank, neighbor_id, distance): queries are the rows whose vec_id is divisible
+    by ``every``, against all rows.
+
+    Rows whose vector is null or has not 64 components have no code: they are neither queries
+    nor found, and so are rows without an id, which no result could name. Repeated rows are
+    entries each; ties go to the smaller id; an empty table gives an empty result. Other
+    columns are not read.
+    """
     codes = saved(df.select(F.col("vec_id").cast("long").alias("vec_id"), sign_code(F.col("embedding")).alias("code")))
     return top_k(codes, codes.where(F.col("vec_id") % every == 0), k)
 
