@@ -4,9 +4,11 @@ Every shard has VNODES points on the ring. A row belongs to the first point at o
 own hash. A shard takes no more than its bound; rows beyond it go on clockwise to the next
 point whose shard has room, so balance is guaranteed while nearly all rows stay at home.
 
-Only counts by arc (shards times VNODES numbers) reach the driver, which works out from which
-rank on the rows of an arc move and where to. Every row then finds its shard and its place
-there from its rank within its arc, without any row meeting all others.
+A row's own hash is that of its id, checksum and size, so that many rows without an id, or with
+one id, spread over the ring; rows that are alike in all three are counted, and only their
+counts are ranked. Only counts by arc (shards times VNODES numbers) reach the driver, which
+works out from which rank on the rows of an arc move and where to. Every row then finds its
+shard and its place there from its rank within its arc, without any row meeting all others.
 """
 
 from __future__ import annotations
@@ -72,33 +74,37 @@ def assign(df: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "
     """(doc_id, size, text_crc32, shard, slot, moved): one row per input row; counts of any
     two shards differ by one at most. ``moved`` tells rows that a full shard sent on.
 
-    A null text has size 8 and the checksum of no bytes; a null doc_id hashes like any
-    value; rows that repeat an id are ordered by checksum and size and, if equal in these as
-    well, are interchangeable. Fewer rows than shards leave shards empty; an empty table
-    gives an empty result. Other columns are not read.
+    A null text has size 8 and the checksum of no bytes; rows without a doc_id, and rows that
+    repeat one, are placed by their texts; rows equal in id, size and checksum are
+    interchangeable and take neighbouring ranks. Fewer rows than shards leave shards empty;
+    an empty table gives an empty result. Other columns are not read.
     """
     spark = prepare(df.sparkSession)
     raw = filled(F.col(text_col).cast("string")).cast("binary")
-    place = F.shiftrightunsigned(F.xxhash64("doc_id"), 64 - RING)
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), (F.length(raw) + 8).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"))
+    rows = rows.groupBy("doc_id", "size", "text_crc32").agg(F.count("*").alias("many"))
+    place = F.shiftrightunsigned(F.xxhash64("doc_id", "size", "text_crc32"), 64 - RING)
     points = ring(shards, vnodes)
     table = spark.createDataFrame(arcs(points), "cell long, lo long, hi long, arc int")
     rows = rows.withColumn("place", place).withColumn("cell", F.shiftright("place", RING - CELLS))
     inside = (F.col("place") >= F.col("lo")) & (F.col("place") < F.col("hi"))
     # both tables below are bounded by the ring, shards * vnodes + 2**CELLS rows
     rows = rows.join(F.broadcast(table), "cell").where(inside).drop("cell", "lo", "hi")
-    counts = {r["arc"]: r["count"] for r in rows.groupBy("arc").count().collect()}
+    counts = {r["arc"]: r["n"] for r in rows.groupBy("arc").agg(F.sum("many").alias("n")).collect()}
     n = sum(counts.values())
     bound = [n // shards + (s < n % shards) for s in range(shards)]
     owner = [s for _, s in points]
     segments = spark.createDataFrame(flow(counts, owner, bound), "arc int, lo long, hi long, shard int, base long")
-    ordered = rows.selectExpr("*", "row_number() over (partition by arc order by place, doc_id, text_crc32, size) - 1 as rank")
+    ordered = rows.selectExpr("*", "sum(many) over (partition by arc order by place, doc_id, text_crc32, size rows unbounded preceding) - many as rank")
     home = F.element_at(F.lit(owner), F.col("arc") + 1)
-    return (ordered.join(F.broadcast(segments), "arc").where("rank >= lo and rank < hi")
-            .select("doc_id", "size", "text_crc32", "shard", (F.col("base") + F.col("rank") - F.col("lo")).cast("long").alias("slot"),
-                    (F.col("shard") != home).alias("moved")))
+    met = ordered.join(F.broadcast(segments), "arc").where("rank < hi and rank + many > lo")
+    own = F.sequence(F.greatest("rank", "lo"), F.least(F.col("rank") + F.col("many"), "hi") - 1)
+    each = met.withColumn("at", F.explode(own))
+    return each.select("doc_id", "size", "text_crc32", "shard", (F.col("base") + F.col("at") - F.col("lo")).cast("long").alias("slot"), (F.col("shard") != home).alias("moved"))
 
 
 def report(df: DataFrame, shards: int = 24) -> DataFrame:
+    """(doc_id, size, text_crc32, law, shard, slot, grown_shard) of ``assign``: one row per
+    input row, under the law of equal row counts; what it does with odd rows is said there."""
     placed = assign(df, shards)
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
