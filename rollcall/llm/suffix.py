@@ -82,7 +82,7 @@ def anchors(raw: bytes) -> np.ndarray:
     data = np.frombuffer(raw, np.uint8)
     if len(data) < LENGTH:
         return np.zeros((0, 3), np.int64)
-    grams = rolling(data, GRAM)
+    grams = (rolling(data, GRAM) >> np.uint64(32)).astype(np.uint32)
     lowest = sliding(grams, REACH + 1, np.minimum)
     starts = np.flatnonzero(np.concatenate((lowest[:1] == lowest[:1], lowest[1:] != lowest[:-1])))
     stops = np.append(starts[1:], len(lowest)) - 1
@@ -90,7 +90,10 @@ def anchors(raw: bytes) -> np.ndarray:
     def place(at: np.ndarray) -> np.ndarray:
         return at + (grams[at[:, None] + _OFFSETS] == lowest[at][:, None]).argmax(1)
 
-    out = np.stack((place(starts), starts, stops), 1)
+    at = starts + REACH  # where the smallest falls, it is that of the string just reached
+    old = np.concatenate(([True], lowest[starts[1:]] > lowest[starts[1:] - 1]))
+    at[old] = place(starts[old])
+    out = np.stack((at, starts, stops), 1)
     again = out[:, 0] < stops  # the same string again within reach: later windows have the later one
     if not again.any():
         return out
@@ -175,9 +178,12 @@ def again(doc: np.ndarray, left: np.ndarray, size: np.ndarray, data: np.ndarray)
     before its anchor. Contexts may have different leading strings.
     """
     n = len(doc)
+    by_doc = np.argsort(doc, kind="stable")  # so that of equal windows the first has the smallest
+    place = np.empty(n, np.int64)
+    place[by_doc] = np.arange(n)
     text = np.zeros((n, REACH + LENGTH), np.uint8)
-    first, many = REACH - left, size - LENGTH + 1
-    text[np.repeat(np.arange(n), size), np.repeat(first, size) + _within(size)] = data
+    text[np.repeat(place, size), np.repeat(REACH - left, size) + _within(size)] = data
+    doc, first, many = doc[by_doc], (REACH - left)[by_doc], (size - LENGTH + 1)[by_doc]
     ahead, back = text[:, REACH:], text[:, REACH - 1::-1]  # from the anchor on, and backwards from it
     by_ahead, by_back = multikey_quicksort(words(ahead)), multikey_quicksort(words(back))
     same_ahead, same_back = common(ahead[by_ahead]), common(back[by_back])
@@ -190,12 +196,12 @@ def again(doc: np.ndarray, left: np.ndarray, size: np.ndarray, data: np.ndarray)
         before = REACH - c  # bytes of the window before the anchor
         ranks[0, by_ahead], ranks[1, by_back] = np.cumsum(same_ahead < LENGTH - before), np.cumsum(same_back < before)
         key = ranks[0, rows] * (n + 1) + ranks[1, rows]
-        order = np.lexsort((doc[rows], key))
+        order = np.argsort(key, kind="stable")
         key = key[order]
         head = np.concatenate(([True], key[1:] != key[:-1]))
         held = doc[rows][order]
         out[rows[order], c] = held > held[np.flatnonzero(head)][np.cumsum(head) - 1]
-    return out
+    return out[place]
 
 
 def _u(kind: str, cell: bytes) -> np.ndarray:
