@@ -47,7 +47,7 @@ class WordEncoder:
 
     def __init__(self, path: str) -> None:
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.special = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
 
     def _ids(self, text: str) -> bytes:
@@ -60,9 +60,10 @@ class WordEncoder:
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, text: str) -> bytes:
-        if not _PLAIN.fullmatch(text):
+        low = text.lower()
+        if not _PLAIN.fullmatch(text) or any(t in low for t in self.special):
             return self._ids(text)
-        words = _WORD.findall(text.lower())
+        words = _WORD.findall(low)
         known = self.known
         if len(known) > CACHE:
             known.clear()
@@ -142,8 +143,9 @@ class Packer:
 
 
 def pack(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", prompt_col: str | None = None, limit: int = LIMIT,
-         segments: int = SEGMENTS, loss: int | None = None, pool: int = POOL, keep_ids: bool = False) -> DataFrame:
-    """Pieces (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset[, ids]).
+         segments: int = SEGMENTS, loss: int | None = None, pool: int = POOL, keep_ids: bool = False, also: str | None = None) -> DataFrame:
+    """Pieces (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset[, ids]), and
+    the number in column ``also`` where one is named.
 
     An example is the ids of ``prompt_col`` (no loss), then of ``text_col``, then END. A null
     or empty text is an example of END alone. A text of any length is cut into as many
@@ -156,30 +158,32 @@ def pack(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text
         enc, rows, kept = encoder(path), [], {}
 
         def emit(key: int, start: int, many: int, sequence: int, offset: int) -> None:
-            doc_id, raw, total, left = kept[key]
+            doc_id, more, raw, total, left = kept[key]
             ids = raw[4 * start:4 * (start + many)]
-            rows.append((doc_id, start, many, zlib.crc32(ids), total, sequence, offset, ids))
+            rows.append((doc_id, start, many, zlib.crc32(ids), total, sequence, offset, ids, more))
             if left == many:
                 del kept[key]
             else:
-                kept[key] = doc_id, raw, total, left - many
+                kept[key] = doc_id, more, raw, total, left - many
 
         packer = Packer(emit, limit, segments, loss, pool, TaskContext.get().partitionId() << 40)
 
         def batch() -> pa.RecordBatch:
-            cols = list(zip(*rows)) or [[]] * 8
+            cols = list(zip(*rows)) or [[]] * 9
             out = [pa.array(c, pa.int64()) for c in cols[:7]]
             if keep_ids:
                 out.append(pa.array([np.frombuffer(i, "<u4").astype(np.int32) for i in cols[7]], pa.list_(pa.int32())))
+            if also:
+                out.append(pa.array(cols[8], pa.int64()))
             rows.clear()
             return pa.RecordBatch.from_arrays(out, names)
 
         key, last = 0, END.to_bytes(4, "little")
         for b in batches:
-            for doc_id, prompt, text in zip(*(c.to_pylist() for c in b.columns)):
+            for doc_id, more, prompt, text in zip(*(c.to_pylist() for c in b.columns)):
                 silent = enc.encode(prompt or "")
                 raw = silent + enc.encode(text or "") + last
-                kept[key] = doc_id, raw, len(raw) // 4, len(raw) // 4
+                kept[key] = doc_id, more, raw, len(raw) // 4, len(raw) // 4
                 packer.add(key, len(raw) // 4, len(silent) // 4)
                 key += 1
             yield batch()
@@ -187,8 +191,31 @@ def pack(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text
         yield batch()
 
     prepare(df.sparkSession)
-    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * keep_ids
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * keep_ids + [also] * bool(also)
     schema = ", ".join(f"{n} {'array<int>' if n == 'ids' else 'long'}" for n in names)
     prompt = F.col(prompt_col).cast("string") if prompt_col else F.lit(None).cast("string")
-    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), prompt.alias("prompt"), F.col(text_col).cast("string").alias("text"))
+    more = F.col(also).cast("long") if also else F.lit(None).cast("long")
+    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), more.alias("more"), prompt.alias("prompt"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, schema)
+
+
+#: Limits for instruction data: pieces of a sequence, and ids in it that bear loss.
+CHAT_SEGMENTS, CHAT_LOSS = 24, 3072
+
+
+def pack_conversations(turns: DataFrame, path: str, limit: int = LIMIT, segments: int = CHAT_SEGMENTS, loss: int = CHAT_LOSS, pool: int = POOL) -> DataFrame:
+    """Instruction examples of (conv_id, turn, role, text), packed: conv_id, turn and the
+    columns of ``pack`` but doc_id.
+
+    Every turn of the assistant is an example: its text bears loss, its prompt, the turn before
+    it in its conversation, bears none. Where several rows have that turn, the smallest text
+    is the prompt; where none has, there is no prompt. All three limits hold at once. Rows
+    without a conversation or a turn have no prompt; repeated rows are separate examples; an
+    empty table gives no pieces.
+    """
+    key = [F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn")]
+    said = turns.where("role = 'assistant'").select(*key, F.col("text").cast("string").alias("text"))
+    before = turns.where("conv_id is not null and turn is not null").select(F.col("conv_id").cast("long").alias("_conv"), (F.col("turn").cast("long") + 1).alias("_turn"), F.col("text").cast("string").alias("prompt"))
+    before = before.groupBy("_conv", "_turn").agg(F.min("prompt").alias("prompt"))
+    examples = said.join(before, (F.col("conv_id") == F.col("_conv")) & (F.col("turn") == F.col("_turn")), "left")
+    return pack(examples, path, "conv_id", "text", "prompt", limit, segments, loss, pool, also="turn").withColumnRenamed("doc_id", "conv_id")

@@ -35,6 +35,15 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def instruction_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 4 over instruction data, where all three limits count."""
+    import public_tokenizers
+
+    from rollcall.llm.packing import pack_conversations
+
+    return pack_conversations(prepare(spark).read.parquet(f"{sf_dir}/conversations.parquet"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op5_hamming_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     from rollcall.llm.hamming import search_embeddings
 
@@ -80,5 +89,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_secret_scan, op3_language_id, op4_packing, op5_hamming_top_k,
-                                  op6_exact_dedup, op7_byte_bpe, op8_sentence_spans, op9_sharding, op10_suffix_dedup, pipeline)}
+                                  op6_exact_dedup, op7_byte_bpe, op8_sentence_spans, op9_sharding, op10_suffix_dedup, pipeline, instruction_packing)}
 ORACLE_SQL: dict[str, str] = {"op5_hamming_top_k": HAMMING_SQL, "op6_exact_dedup": EXACT_SQL}
