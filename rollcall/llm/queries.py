@@ -1,4 +1,4 @@
-"""The queries op1 to op10 over the driver's tables, and SQL for those that SQL can express."""
+"""The queries op1 to op13 over the driver's tables, and SQL for those that SQL can express."""
 
 from __future__ import annotations
 
@@ -7,6 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from rollcall.llm.common import documents, prepare
 from rollcall.llm.exact import ORACLE as EXACT_SQL
 from rollcall.llm.hamming import ORACLE as HAMMING_SQL
+from rollcall.llm.merkle import ORACLE as MERKLE_SQL
+from rollcall.llm.mixing import ORACLE as MIXING_SQL
+from rollcall.llm.negatives import ORACLE as NEGATIVES_SQL
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,6 +85,24 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(documents(spark, sf_dir))
 
 
+def op11_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rollcall.llm.mixing import report
+
+    return report(documents(spark, sf_dir))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rollcall.llm.negatives import report
+
+    return report(prepare(spark).read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rollcall.llm.merkle import report
+
+    return report(documents(spark, sf_dir))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -89,5 +110,6 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_secret_scan, op3_language_id, op4_packing, op5_hamming_top_k,
-                                  op6_exact_dedup, op7_byte_bpe, op8_sentence_spans, op9_sharding, op10_suffix_dedup, pipeline, instruction_packing)}
-ORACLE_SQL: dict[str, str] = {"op5_hamming_top_k": HAMMING_SQL, "op6_exact_dedup": EXACT_SQL}
+                                  op6_exact_dedup, op7_byte_bpe, op8_sentence_spans, op9_sharding, op10_suffix_dedup, op11_source_mix, op12_hard_negatives, op13_merkle_manifest, pipeline, instruction_packing)}
+ORACLE_SQL: dict[str, str] = {"op5_hamming_top_k": HAMMING_SQL, "op6_exact_dedup": EXACT_SQL, "op11_source_mix": MIXING_SQL, "op12_hard_negatives": NEGATIVES_SQL,
+                             "op13_merkle_manifest": MERKLE_SQL}
