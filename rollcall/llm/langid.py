@@ -2,7 +2,7 @@
 
 Three passes. Document frequencies of hashed n-grams and the counts of languages come from
 all labelled rows that may be learned from. Weights are learned from a bounded sample of
-them, PER_LANGUAGE rows of each language at about most, by follow-the-regularised-leader
+them, PER_LANGUAGE rows of each of MOST_LANGUAGES languages at most, by follow-the-regularised-leader
 (FTRL-proximal), whose L1 part leaves most weights zero; a temperature is then fitted on a
 part of the sample that the weights have not seen. Last, every text is scored whole.
 """
@@ -15,12 +15,14 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rollcall.llm.common import prepare
 
 BUCKET_BITS, GRAMS, PER_LANGUAGE, EPOCHS = 15, 3, 1500, 4
+#: Languages that one model tells apart at most; its weights fit a worker.
+MOST_LANGUAGES = 200
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.02, 0.01
 FOLDS = 5
 UNKNOWN = "und"
@@ -110,8 +112,8 @@ def _rows(df: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame
                      F.col(lang_col).cast("string").alias("lang"), fold(id_col).alias("fold"))
 
 
-def _document_frequencies(rows: DataFrame) -> tuple[np.ndarray, dict[str, int]]:
-    """Of all rows given. The driver gets a number for each hash bucket and each language."""
+def _document_frequencies(rows: DataFrame) -> np.ndarray:
+    """Of all rows given, with their number last. The driver gets a number a hash bucket."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, n = np.zeros(1 << BUCKET_BITS, np.int64), 0
@@ -126,26 +128,39 @@ def _document_frequencies(rows: DataFrame) -> tuple[np.ndarray, dict[str, int]]:
     counts = rows.select("text").mapInArrow(count, "bucket int, df long").groupBy("bucket").agg(F.sum("df")).toPandas().to_numpy()
     out = np.zeros((1 << BUCKET_BITS) + 1, np.int64)
     out[counts[:, 0]] = counts[:, 1]  # the number of documents is last, at -1
-    langs = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
-    return out, langs
-
-
-def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> dict:
+    return out
+
+
+def _sample(rows: DataFrame, per_language: int, most: int) -> tuple[list[str], DataFrame]:
+    """Languages to learn, and for each of them at most ``per_language`` rows that differ in
+    id or text, those of smallest hash. Rows that repeat count once, however many they are."""
+    keyed = rows.withColumn("_h", F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 1))
+    sizes = keyed.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("_h").alias("unlike"))
+    found = {r.lang: r.unlike for r in sizes.orderBy(F.col("n").desc(), "lang").limit(most).collect()}
+    if not found:
+        return [], rows.limit(0)
+    # a threshold on the hash leaves few rows too many, which only then are ranked
+    share = F.element_at(F.create_map(*[F.lit(v) for k, n in found.items() for v in (k, min(1.0, 1.3 * per_language / max(n, 1)))]), F.col("lang"))
+    few = keyed.where(F.col("lang").isin(*found)).where(F.col("_h") / F.lit(float(1 << 63)) <= share)
+    few = few.groupBy("lang", "_h", "doc_id", "fold", "text").agg(F.count("*").alias("_n"))
+    ranked = few.withColumn("_r", F.row_number().over(Window.partitionBy("lang").orderBy("_h", "doc_id", "text"))).where(F.col("_r") <= per_language)
+    return sorted(found), ranked.select("doc_id", "text", "lang", F.col("fold").cast("long").alias("fold"))
+
+
+def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, most: int = MOST_LANGUAGES) -> dict:
     """A model from the rows outside fold 0 that have a text, an id and a language.
 
-    The weights see at most about ``per_language`` rows of each language, those whose hashed
-    id is smallest; the frequencies see all rows. Fold 1 of the sample fits the temperature.
+    The frequencies see all rows, the weights at most ``per_language`` different rows of each
+    language. Fold 1 of the sample fits the temperature; it stays 1 if the sample has none in
+    that fold, or no other, which then is learned from. Of more than ``most`` languages those
+    with the most rows are learned, ties by name. A sample without a letter is no sample: then,
+    as without a labelled row, the model knows no language.
     """
     prepare(df.sparkSession)
     rows = _rows(df, id_col, text_col, lang_col).where("fold <> 0 and text is not null and lang is not null")
-    freq, langs = _document_frequencies(rows)
-    names = sorted(langs)
+    freq = _document_frequencies(rows)
     idf = np.log((1 + freq[-1]) / (1 + freq[:-1])) + 1
-    if not names:
-        return {"names": [], "idf": idf, "weights": np.zeros((1 << BUCKET_BITS, 0), np.float32), "temperature": 1.0}
-    # sampling by a threshold on the hashed id needs no sort and treats every row alike
-    share = F.element_at(F.create_map(*[F.lit(v) for k in names for v in (k, min(1.0, per_language / langs[k]))]), F.col("lang"))
-    drawn = rows.where(F.shiftrightunsigned(F.xxhash64("doc_id"), 1) / F.lit(float(1 << 63)) < share)
+    names, sample = _sample(rows, per_language, most)
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = {k: i for i, k in enumerate(names)}
@@ -153,22 +168,25 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
         for b in batches:
             for i, t, k, part in zip(*(c.to_pylist() for c in b.columns)):
                 if (found := grams(t)) is not None:
-                    seen.append((i, part, place[k], found[0], _tf_idf(found, idf).astype(np.float32)))
-        seen.sort(key=lambda s: (s[0], s[2], len(s[3])))
+                    seen.append((i, part, place[k], found[0], _tf_idf(found, idf).astype(np.float32), t))
+        if not seen:
+            return
+        seen.sort(key=lambda s: (s[0], s[2], s[5]))
         model, order = Ftrl(len(names)), np.random.default_rng(7)
         learn = [s for s in seen if s[1] != 1]
+        held = [s for s in seen if s[1] == 1] if learn else []
+        learn = learn or seen
         for _ in range(EPOCHS):
             for j in order.permutation(len(learn)):
-                _, _, label, at, x = learn[j]
-                model.learn(at, x, label)
+                model.learn(learn[j][3], learn[j][4], learn[j][2])
         w = model.weights(slice(None)).astype(np.float32)
-        held = [(s[4] @ w[s[3]], s[2]) for s in seen if s[1] == 1]
-        t = temperature(np.array([h[0] for h in held]).reshape(len(held), -1), np.array([h[1] for h in held], int))
+        t = temperature(np.array([s[4] @ w[s[3]] for s in held]), np.array([s[2] for s in held], int))
         yield pa.RecordBatch.from_arrays([pa.array([w.tobytes()], pa.binary()), pa.array([t])], ["weights", "temperature"])
 
     # the scan stays spread over tasks; only the bounded sample meets in one
-    sample = drawn.select("doc_id", "text", "lang", F.col("fold").cast("long").alias("fold"))
-    made = sample.repartition(1).mapInArrow(train, "weights binary, temperature double").first()
+    made = sample.repartition(1).mapInArrow(train, "weights binary, temperature double").first() if names else None
+    if made is None:
+        return {"names": [], "idf": idf, "weights": np.zeros((1 << BUCKET_BITS, 0), np.float32), "temperature": 1.0}
     w = np.frombuffer(bytes(made["weights"]), np.float32).reshape(1 << BUCKET_BITS, len(names))
     return {"names": names, "idf": idf, "weights": w, "temperature": made["temperature"]}
 
@@ -203,7 +221,7 @@ def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
 
     Null texts and texts without a letter are ``und`` with score 0; a row without an id is
     not held out and not learned from; rows that repeat are each predicted; texts are read
-    whole; without any labelled row all are ``und``; an empty table gives an empty result.
+    whole; without any labelled row with a letter all are ``und``; an empty table gives an empty result.
     No column but the text has a part in a prediction.
     """
     model = fit(df, id_col, text_col, lang_col)
