@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from rollcall import sources
+from rollcall.functions.json_schema import failures
 from rollcall.operators import graph, quality, stats
 from rollcall.plans.data import SESSIONS, TAKING_PART, A, B
 from rollcall.plans.registry import registry
@@ -260,6 +261,27 @@ def q05_rules(d):
     return quality.rule_failures(d.pages, "page_id", {"url": ("url", "^https?://[a-z0-9.-]+/[0-9a-f]*1"), "html": ("html", "^<")})
 
 
+#: What a turn of a conversation has to look like, once it is a document.
+TURN = {
+    "type": "object", "required": ["conv_id", "message"], "additionalProperties": False,
+    "properties": {"conv_id": {"type": "integer", "minimum": 2}, "turn": {"$ref": "#/definitions/turn"}, "message": {
+        "type": "object", "patternProperties": {"^role$": {"enum": ["user", "assistant"]}, "^t(ext|ags)$": {"anyOf": [{"type": "string", "maxLength": 400}, {"type": "array", "items": {"pattern": "^[A-Za-z]+$"}}]}}}},
+    "definitions": {"turn": {"type": "integer", "maximum": 5}}}
+
+
+@query("""with t as (select conv_id, turn, role, text, string_split(text, ' ')[1:3] as tags from conversations)
+select conv_id, turn, '/conv_id' as path, 'minimum' as rule from t where conv_id < 2
+union all select conv_id, turn, '/turn', 'maximum' from t where turn > 5
+union all select conv_id, turn, '/message/role', 'enum' from t where role not in ('user', 'assistant')
+union all select conv_id, turn, '/message/text', 'anyOf' from t where length(text) > 400
+union all select conv_id, turn, '/message/tags', 'anyOf' from t where len(list_filter(tags, lambda x: not regexp_matches(x, '^[A-Za-z]+$'))) > 0
+union all select conv_id, turn, '/start', 'additionalProperties' from t where turn = 0""")
+def q05_json_schema(d):
+    message = F.struct("role", "text", F.slice(F.split("text", " "), 1, 3).alias("tags"))
+    document = F.to_json(F.struct("conv_id", "turn", message.alias("message"), F.when(F.col("turn") == 0, True).alias("start")))
+    return d.conversations.select("conv_id", "turn", F.explode(failures(TURN, document)).alias("x")).select("conv_id", "turn", "x.path", "x.rule")
+
+
 @query("""with c as (select 'empty_text' as id, 'error' as severity, (select count(*) from documents where trim(text) = '') as count union all select 'copies', 'warning', (select count(*) from (select text from documents group by 1 having count(*) > 1)) union all select 'unlabelled', 'info', (select count(*) from documents where doc_id not in (select doc_id from labels)))
 select *, case when count = 0 then 'pass' else 'fail' end as status from c""")
 def q06_report(d):
