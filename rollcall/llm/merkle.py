@@ -127,7 +127,7 @@ def plant(leaves: DataFrame, *by: str, fanout: int = FANOUT, parts: int | None =
     made = placed.select("part", "pos", "tree", "leaf").groupBy("part").cogroup(spans.groupBy("part")).applyInArrow(stacked, NODES)
     made = saved(made)
     nodes = [made.where("digest is not null")]
-    peaks, many = nodes[0].where("not top"), parts
+    peaks, many = nodes[0].where("not top"), (spans.agg(F.max("part")).first()[0] or 0) + 1
     while many > 1:
         merged = saved(peaks.withColumn("part", F.floor(F.col("part") / GATHER).cast("int")).groupBy("part").applyInArrow(_merger(fanout), f"{NODES}, fresh boolean"))
         nodes.append(merged.where("fresh").drop("fresh"))
