@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from rollcall.operators import joins, select
+from rollcall.operators import joins, select, similarity
 from rollcall.operators.aggregates import listed
 from rollcall.plans.data import SESSIONS, TAKING_PART, A, B
 from rollcall.plans.registry import registry
@@ -197,11 +197,18 @@ def j11_id_or_key(d):
     return joins.first_of(o, [(r, ["o_orderkey"], "o_orderpriority"), (k, ["o_custkey", "y"], "code")], "code").select("o_orderkey", "code")
 
 
-@query()
+@query("""with t as (select doc_id, source as block, trim(substr(regexp_extract(text, '^[^.]*'), 1, 80)) as title from documents),
+g as (select doc_id, block, unnest(list_distinct(list_transform(range(1, greatest(length(title) - 2, 1) + 1), lambda i: substr(lower(title), i, 3)))) as gram from t where title <> ''),
+n as (select doc_id, count(*) as n from g group by 1),
+o as (select a.doc_id as a, b.doc_id as b, a.block = b.block as near, count(*) as o from g a join g b on a.gram = b.gram and a.doc_id <> b.doc_id group by 1, 2, 3),
+s as (select a, b, near, 2.0::double * o / (x.n + y.n) as score from o join n x on x.doc_id = a join n y on y.doc_id = b where 2.0::double * o / (x.n + y.n) >= 0.7),
+r as (select *, row_number() over (partition by a order by near desc, score desc, b) as k from s)
+select a as doc_id, b as other, round(score, 6) as score, case when near then 'block' else 'all' end as stage from r where k = 1""")
 def j12_fuzzy_best_match(d):
-    short = d.benchmark.selectExpr("item_id", "text as claim", "item_id % 5 as block")
-    other = d.benchmark.selectExpr("item_id as other", "concat(substring(text, 2), 'x') as seen", "item_id % 5 as block")
-    return joins.best_match(short, other, "block", "item_id", "other", "claim", "seen").withColumn("score", F.round("score", 6))
+    title = F.trim(F.substring(F.regexp_extract("text", "^[^.]*", 0), 1, 80))
+    left = d.documents.select("doc_id", "source", title.alias("title"))
+    right = left.withColumnRenamed("doc_id", "other")
+    return similarity.best_match(left, right, "doc_id", "other", "title", "title", "source", 0.7).withColumn("score", F.round("score", 6))
 
 
 @query("""with a as (select c_custkey as alias, c_nationkey as block, c_mktsegment as seg, c_acctbal as bal from customer where c_custkey % 10 = 0),
