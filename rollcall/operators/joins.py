@@ -39,17 +39,56 @@ def first_of(df: DataFrame, lookups: Sequence[tuple[DataFrame, Sequence[str], st
     return df.withColumn(out, F.coalesce(*found, F.lit(default))).drop(*[f"_found{i}" for i in range(len(lookups))])
 
 
-def valid_at(df: DataFrame, spans: DataFrame, key: str, when: str, value: str, order: str) -> DataFrame:
-    """Left join to the first span (by ``order``) of the same key with start <= when <= end.
+def _on_axis(c: Column, kind: str) -> Column:
+    return F.unix_date(c) if kind == "date" else F.unix_micros(c) if kind == "timestamp" else c.cast("long")
 
-    ``spans(key, start, end, value, order)``; null bounds are open. The key makes it an
-    equi-join; spans of a key are few, so no range expansion is needed.
+
+def _cover(low: Column, high: Column, levels: int) -> Column:
+    """The fewest dyadic bins (level, bin) that together are the numbers from low to high: at
+    each level at most one at either end, where the range does not fill its parent."""
+    bins = "array<struct<level: int, bin: bigint>>"
+    start = F.struct(low.cast("long").alias("a"), high.cast("long").alias("b"), F.expr(f"cast(array() as {bins})").alias("bins"))
+
+    def step(x: Column, level: Column) -> Column:
+        def bin_if(take: Column, at: Column) -> Column:
+            return F.when(take, F.array(F.struct(level.cast("int").alias("level"), at.alias("bin")))).otherwise(F.expr(f"cast(array() as {bins})"))
+
+        left = (x["a"] <= x["b"]) & (x["a"].bitwiseAND(1) == 1)
+        a = x["a"] + F.when(left, 1).otherwise(0)
+        right = (a <= x["b"]) & (x["b"].bitwiseAND(1) == 0)
+        b = x["b"] - F.when(right, 1).otherwise(0)
+        done = a > b  # and stays so: halved, the two could meet again
+        return F.struct(F.when(done, 0).otherwise(F.shiftright(a, 1)).alias("a"), F.when(done, -1).otherwise(F.shiftright(b, 1)).alias("b"), F.concat(x["bins"], bin_if(left, x["a"]), bin_if(right, x["b"])).alias("bins"))
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(levels)), start, step, lambda x: x["bins"])
+
+
+def valid_at(df: DataFrame, spans: DataFrame, key: str | None, when: str, value: str, order: str) -> DataFrame:
+    """Left join to the first span (by ``order``, then value) with start <= when <= end, of the
+    same key where one is named: adds ``value``, ``span_start`` and ``span_end``.
+
+    ``spans(key, start, end, value, order)``; null bounds are open; ``when`` is an integer, a
+    date or a timestamp. Spans are cut into bins that double in size from level to level, so a
+    long one is a few coarse bins. All points in a bin lie in each of its spans, so a bin keeps
+    only its first one, and a point looks into one bin a level: no pair of a point and a span
+    is ever made that does not stand for a bin, with one hot key, or none, as with many.
     """
-    s = spans.select(F.col(key).alias("_key"), F.col("start").alias("_start"), F.col("end").alias("_end"), F.col(value).alias(value), F.col(order).alias("_order"))
-    rows = df.withColumn("_row", F.monotonically_increasing_id())
-    inside = (F.col(key) == F.col("_key")) & (F.coalesce("_start", F.col(when)) <= F.col(when)) & (F.col(when) <= F.coalesce("_end", F.col(when)))
-    ranked = rows.join(s, inside, "left").withColumn("_n", F.row_number().over(Window.partitionBy("_row").orderBy("_order")))
-    return ranked.where("_n = 1").drop("_row", "_key", "_start", "_order", "_n").withColumnRenamed("_end", "span_end")
+    kind = df.schema[when].dataType.typeName()
+    at = df.select(*([F.col(key).alias("_key")] if key else [F.lit(0).alias("_key")]), F.col(when).alias("_when")).where("_key is not null and _when is not null").distinct()
+    at = at.withColumn("_at", _on_axis(F.col("_when"), kind))
+    low, high = at.agg(F.min("_at"), F.max("_at")).first()
+    low, high = (0, -1) if low is None else (low, high)
+    levels = max(0, high - low).bit_length()
+    s = spans.select(*([F.col(key).alias("_key")] if key else [F.lit(0).alias("_key")]), F.struct(F.col(order).alias("order"), F.col(value).alias("value"), F.col("start").alias("start"), F.col("end").alias("end")).alias("_first"))
+    a, b = (F.coalesce(_on_axis(F.col(f"_first.{c}"), kind), F.lit(d)) for c, d in (("start", low), ("end", high)))
+    cut = s.withColumns({"_a": F.greatest(a, F.lit(low)) - F.lit(low), "_b": F.least(b, F.lit(high)) - F.lit(low)}).where("_a <= _b")
+    bins = cut.withColumn("_bin", F.explode(_cover(F.col("_a"), F.col("_b"), levels))).groupBy("_key", F.col("_bin.level").alias("_level"), F.col("_bin.bin").alias("_bin")).agg(F.min("_first").alias("_first"))
+    level = F.explode(F.sequence(F.lit(0), F.lit(levels)))
+    asked = at.withColumn("_level", level).withColumn("_bin", F.expr("shiftright(_at - %d, _level)" % low))
+    found = asked.join(bins, ["_key", "_level", "_bin"]).groupBy("_key", "_when").agg(F.min("_first").alias("_first"))
+    same = F.col(when) == F.col("_when")
+    joined = df.join(found, (F.col(key) == F.col("_key")) & same if key else same, "left")
+    return joined.select(*df.columns, F.col("_first.value").alias(value), F.col("_first.start").alias("span_start"), F.col("_first.end").alias("span_end"))
 
 
 def public_value(df: DataFrame, observed: str, verified: str, span_start: str, span_end: str, when: str) -> DataFrame:

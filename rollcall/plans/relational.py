@@ -165,10 +165,18 @@ def _spans(d):
 select item, case when observed is not null then observed when org is not null and e is null and year > s then org || ' (?)' else org end as value,
   case when observed is not null then 'programme' when org is not null and e is null and year > s then 'inferred_continuation' when org is not null then 'verified' end as basis from m where n = 1""")
 def j08_interval(d):
-    rows = d.taking_part.withColumn("observed", F.when(F.col("item") % 5 == 0, "given")).withColumn("span_start", F.lit(1996))
+    rows = d.taking_part.withColumn("observed", F.when(F.col("item") % 5 == 0, "given"))
     at = joins.valid_at(rows, _spans(d), "person", "year", "org", "o")
-    starts = at.withColumn("span_start", F.when(F.col("org").startswith("away"), 1997).otherwise(1996))
-    return joins.public_value(starts, "observed", "org", "span_start", "span_end", "year").select("item", "value", "basis")
+    return joins.public_value(at, "observed", "org", "span_start", "span_end", "year").select("item", "value", "basis")
+
+
+@query("""with s as (select c_custkey as name, date '1995-01-01' + cast(c_custkey * 7 % 2500 as integer) as s, case when c_custkey % 5 > 0 then date '1995-01-01' + cast(c_custkey * 7 % 2500 + c_custkey % 90 as integer) end as e, c_custkey % 101 as o from customer),
+w as (select distinct cast(o_orderdate as date) as day from orders), f as (select day, arg_min(name, o * 1000000000 + name) as name from w join s on s <= day and day <= coalesce(e, day) group by 1)
+select o_orderkey, name from orders left join f on cast(o_orderdate as date) = day""")
+def j08_interval_without_key(d):
+    span = d.customer.selectExpr("c_custkey as name", "date_add(date'1995-01-01', cast(c_custkey * 7 % 2500 as int)) as start",
+                                 "if(c_custkey % 5 > 0, date_add(date'1995-01-01', cast(c_custkey * 7 % 2500 + c_custkey % 90 as int)), null) as end", "c_custkey % 101 as o")
+    return joins.valid_at(d.orders.withColumn("day", F.to_date("o_orderdate")), span, None, "day", "name", "o").select("o_orderkey", "name")
 
 
 RULES = [("en_like", "[ .]the "), ("en_like", "[ .]and "), ("fr_like", "[ .]les "), ("de_like", "[ .]und "), ("marks", "[%#&]{3}")]

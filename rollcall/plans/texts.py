@@ -343,8 +343,12 @@ def t07_co_occurrence(d):
 
 @query(f"""with {DOCS}, w as (select lang, unnest(words) as term from docs), c as (select lang, term, count(*) as n from w group by 1, 2 having count(*) >= 2), r as (select *, row_number() over (partition by lang order by n desc, term) as rank from c) select lang, term, n, cast(rank as integer) as rank from r where rank <= 12""")
 def t08_top_terms(d):
-    c = _docs(d).select("lang", F.explode("words").alias("term")).groupBy("lang", "term").agg(F.count("*").alias("n")).where("n >= 2")
-    return select.top_per_group(c, ["lang"], [F.col("n").desc(), F.col("term")], 12)
+    return _top_terms(d.documents, 12)
+
+
+def _top_terms(documents, n):
+    c = documents.select("doc_id", "lang", "text", tokens(F.col("text"), stop=STOP).alias("words")).select("lang", F.explode("words").alias("term")).groupBy("lang", "term").agg(F.count("*").alias("n")).where("n >= 2")
+    return select.top_per_group(c, ["lang"], [F.col("n").desc(), F.col("term")], n)
 
 
 @query(f"""with {DOCS}, s as (select doc_id, len(list_intersect(words, ['for', 'that', 'with'])) + case when regexp_matches(lower(text), 'tion') then 2 else 0 end as x, len(list_intersect(words, ['pour', 'est', 'pas'])) + case when regexp_matches(lower(text), 'eau') then 2 else 0 end as y from docs)
@@ -466,3 +470,10 @@ def t19_corpus_key(d):
     from rollcall.sources.sinks import corpus_key
 
     return corpus_key(d.documents, ["doc_id", "text"])
+
+
+@query(SQL["t08_top_terms"])
+def t19_result_cache(d):
+    from rollcall.store import Store
+
+    return Store(d.spark).get("top_terms", {"documents": d.documents.select("doc_id", "lang", "text")}, _top_terms, {"n": 12})
