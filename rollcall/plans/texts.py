@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from rollcall.functions import stems
 from rollcall.functions import text as tx
 from rollcall.functions.tokens import bigrams, tokens
 from rollcall.operators import lexical, resolve, select, similarity
@@ -296,6 +297,25 @@ def t01_tokens(d):
     return d.documents.select("doc_id", F.array_join(tokens(F.col("text"), stop=STOP), " ").alias("words"))
 
 
+def _stem_sql() -> str:
+    """DISTINCT words of ``docs`` with their stems, as SQL."""
+    found = " ".join(f"when '{k}' then regexp_extract(term, '{stems.pattern(k)}', 1)" for k in stems.ENDINGS)
+    new = " ".join(f"when lang = '{k}' and ending = '{a}' then '{b}'" for k in stems.ENDINGS for a, b in stems.endings(k).items() if b)
+    return f"""terms as (select distinct lang, unnest(words) as term from docs where lang is not null), ends as (select *, coalesce(case lang {found} end, '') as ending from terms),
+stems as (select lang, term, substr(term, 1, length(term) - length(ending)) || case {new} else '' end as stem from ends)"""
+
+
+@query(f"with {DOCS}, {_stem_sql()} select lang, term, stem from stems")
+def t01_stems(d):
+    return stems.stem_table(_docs(d).where("lang is not null").select("lang", F.explode("words").alias("term")), "lang", "term")
+
+
+@query(f"""with {DOCS}, {_stem_sql()}, k as (select lang, doc_id, unnest(words) as term from docs), c as (select lang, stem, doc_id, count(*) as k from k join stems using (lang, term) group by 1, 2, 3),
+w as (select lang, stem, count(*) as words from stems group by 1, 2) select lang, stem, cast(sum(k) as bigint) as tf, count(*) as df, any_value(words) as words from c join w using (lang, stem) group by 1, 2""")
+def t03_stem_frequencies(d):
+    return lexical.stem_frequencies(_docs(d), "doc_id", "lang", "words")
+
+
 @query(f"""with {DOCS}, p as (select doc_id, unnest(range(1, len(words))) as i, words from docs where len(words) > 1) select doc_id, words[i] || ' ' || words[i + 1] as bigram, count(*) as n from p where words[i] <> words[i + 1] group by 1, 2""")
 def t02_bigrams(d):
     return _docs(d).select("doc_id", F.explode(bigrams(F.col("words"))).alias("bigram")).groupBy("doc_id", "bigram").agg(F.count("*").alias("n"))
