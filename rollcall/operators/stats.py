@@ -74,12 +74,39 @@ def chi_square(df: DataFrame, row: str, column: str, yates: bool = True) -> Data
 
 
 def fisher_exact(a: int, b: int, c: int, d: int) -> float:
-    """Two-sided p of a 2 x 2 table: tables no more likely than the one seen, same margins."""
+    """Two-sided p of a 2 x 2 table: tables no more likely than the one seen, same margins.
+
+    Likelihoods rise to the mode and fall beyond it, so both tails are summed from where they
+    start outwards, each term from the one before, until terms no longer count.
+    """
     n, row, col = a + b + c + d, a + b, a + c
+    low, high = max(0, row + col - n), min(row, col)
     log = lambda k: (math.lgamma(row + 1) - math.lgamma(k + 1) - math.lgamma(row - k + 1) + math.lgamma(n - row + 1)
                      - math.lgamma(col - k + 1) - math.lgamma(n - row - col + k + 1) - math.lgamma(n + 1) + math.lgamma(col + 1) + math.lgamma(n - col + 1))
-    seen = log(a)
-    return min(1.0, math.fsum(math.exp(x) for k in range(max(0, row + col - n), min(row, col) + 1) if (x := log(k)) <= seen + 1e-7))
+    up = lambda k: (row - k) * (col - k) / ((k + 1) * (n - row - col + k + 1))  # noqa: E731  # term k + 1 by term k
+    seen, mode = log(a) + 1e-7, min(high, max(low, (row + 1) * (col + 1) // (n + 2)))
+    if log(mode) <= seen:
+        return 1.0
+    left, right = low - 1, mode  # the last place of the left tail, and the first before the right one
+    top = mode
+    while top - left > 1:
+        mid = (left + top) // 2
+        left, top = (mid, top) if log(mid) <= seen else (left, mid)
+    end = high + 1
+    while end - right > 1:
+        mid = (right + end) // 2
+        right, end = (mid, end) if log(mid) > seen else (right, mid)
+    terms = []
+    for k, step, ratio in ((left, -1, lambda k: 1 / up(k - 1)), (end, 1, up)):
+        term = math.exp(log(k)) if low <= k <= high else 0.0
+        first = term
+        while term > first * 1e-18:
+            terms.append(term)
+            if not low <= k + step <= high:
+                break
+            term *= ratio(k)
+            k += step
+    return min(1.0, math.fsum(terms))
 
 
 def fisher(df: DataFrame, row: str, column: str) -> DataFrame:
@@ -125,60 +152,136 @@ def kruskal(df: DataFrame, group: str, value: str) -> DataFrame:
     return h.withColumn("_h", stat).select(F.round("_h", 4).alias("h"), "groups", "n", tail("_h", F.col("groups")).alias("p"))
 
 
-def _bucketed(df: DataFrame, person: str, size: int = 50_000) -> tuple[DataFrame, dict[int, int]]:
-    """Rows by (person, bucket) with their number, and the rows of each bucket. Buckets hold
-    some ``size`` persons, so their number, which is all that the driver sees, stays small."""
+#: NumPy draws from populations smaller than this.
+NUMPY_ROWS = 10**9
+
+
+def hypergeometric(rng: np.random.Generator, left: int, right: int, labels: np.ndarray) -> np.ndarray:
+    """How many of ``labels`` go left when they are dealt to left + right rows, for each entry.
+
+    NumPy's own draw ends at 10^9 rows. Beyond, a ratio of uniforms (Stadlober, 1990) accepts
+    values by their likelihood against the mode's, worked out from differences alone, so that
+    nothing is lost to the size of the logarithms; where one cell is small, its labels are dealt
+    one by one.
+    """
+    if left + right < NUMPY_ROWS:
+        return rng.hypergeometric(left, right, labels)
+    out = np.zeros(len(labels), np.int64)
+    total = left + right
+    for m in np.unique(labels):  # replicates mostly differ, so this is a loop over them
+        at = np.flatnonzero(labels == m)
+        mode = (int(m) + 1) * (left + 1) // (total + 2)
+        cells = (mode, left - mode, int(m) - mode, right - int(m) + mode)
+        if min(cells) < 1000:
+            out[at] = _dealt(rng, left, right, int(m), len(at))
+            continue
+        sd = math.sqrt(m * (left / total) * (right / total) * ((total - m) / (total - 1)))
+        tilt = math.log1p((cells[0] * cells[3] - cells[1] * cells[2]) / (cells[1] * cells[2]))
+        wide, need = 1.7155277699214135 * math.sqrt(sd * sd + 0.5) + 0.8989161620588988, len(at)
+        got: list[np.ndarray] = []
+        while need > 0:
+            u, v = rng.random(2 * need + 8), rng.random(2 * need + 8)
+            shift = np.floor(0.5 + wide * (v - 0.5) / np.maximum(u, 1e-300))
+            fits = (np.abs(shift) < min(cells)) & (np.abs(shift) < 40 * sd)
+            x = np.where(fits, shift, 0.0)
+            change = sum(_log_factorial_change(c, sign * x) for c, sign in zip(cells, (1, -1, -1, 1)))
+            fine = x[fits & (2 * np.log(np.maximum(u, 1e-300)) <= -change - x * tilt)][:need]
+            got.append(fine)
+            need -= len(fine)
+        out[at] = mode + np.concatenate(got).astype(np.int64)
+    return out
+
+
+def _log_factorial_change(n: int, by: np.ndarray) -> np.ndarray:
+    """log (n + by)! - log n! - by log n, by Stirling's series, for a large n."""
+    return (n + by + 0.5) * np.log1p(by / n) - by + 1 / (12 * (n + by)) - 1 / (12 * n)
+
+
+def _dealt(rng: np.random.Generator, left: int, right: int, m: int, times: int) -> np.ndarray:
+    """The smallest cell is filled one by one: either few labels, few rows on a side, or few rows without a label."""
+    total = left + right
+    if min(left, right) < min(m, total - m):  # labels and sides may change places
+        return _dealt(rng, m, total - m, left, times) if left <= right else m - _dealt(rng, m, total - m, right, times)
+    if m > total - m:
+        return left - _dealt(rng, left, right, total - m, times)
+    got = np.zeros(times, np.int64)
+    for i in range(m):
+        got += rng.random(times) * (total - i) < left - got
+    return got
+
+
+def _bucketed(df: DataFrame, person: str, size: int = 50_000) -> tuple[DataFrame, int]:
+    """Rows by (person, bucket) with their number, and how often the number of buckets, with
+    some ``size`` persons in each, halves."""
     each = saved(df.where(F.col(person).isNotNull()).groupBy(person).agg(F.count("*").alias("k"), F.count(F.when(F.col("_a"), 1)).alias("a")))
-    many = max(16, each.count() // size)
-    each = each.withColumn("bucket", F.pmod(F.xxhash64(F.col(person)), F.lit(many)).cast("int"))
-    return each, {r.bucket: r.n for r in each.groupBy("bucket").agg(F.sum("k").alias("n")).collect()}
+    halvings = max(4, (each.count() // size).bit_length())
+    return each.withColumn("bucket", F.pmod(F.xxhash64(F.col(person)), F.lit(1 << halvings)).cast("int")), halvings
+
+
+def _paths(each: DataFrame, halvings: int) -> DataFrame:
+    """(bucket, level, here, left): for each bucket, level by level down a binary tree, the rows
+    below the node on its way and below that node's left half."""
+    leaf = F.col("bucket") + (1 << halvings)
+    node = each.select("k", F.explode(F.transform(F.sequence(F.lit(0), F.lit(halvings)), lambda j: F.call_function("shiftright", leaf, j))).alias("node"))
+    sizes = saved(node.groupBy("node").agg(F.sum("k").alias("rows")))
+    way = each.select("bucket").distinct().select("bucket", F.explode(F.sequence(F.lit(0), F.lit(halvings - 1))).alias("level"))
+    way = way.withColumn("node", F.call_function("shiftright", leaf, F.lit(halvings) - F.col("level")))
+    half = sizes.select((F.col("node") / 2).cast("int").alias("node"), F.col("rows").alias("left"), (F.col("node") % 2).alias("odd")).where("odd = 0").drop("odd")
+    return way.join(sizes.withColumnRenamed("rows", "here"), "node").join(half, "node", "left").select("bucket", "level", "node", "here", F.coalesce("left", F.lit(0)).alias("left"))
 
 
 def overlap_permutation(df: DataFrame, person: str, series: str, a: str, b: str, times: int = 20_000, seed: int = 20240101) -> DataFrame:
     """Persons in both series against ``times`` shuffles of the series labels over rows:
-    (observed, null_mean, null_sd, p_lower).
-
-    Shuffled exactly, but bucket by bucket: how many labels of ``a`` fall into each bucket of
-    persons is a draw from the multivariate hypergeometric distribution, the same in every
-    task because it is seeded by the replicate; inside a bucket the labels fall on persons by
-    the same law. A person counts with the number of their rows, so a busy person is one
-    entry; those with one row can never be in both and are drawn as one. Without rows of
-    either series the result is one row of zero and nulls.
+    (observed, null_mean, null_sd, z, p_lower).
+
+    Shuffled exactly, but bucket by bucket: the labels of ``a`` are split down a binary tree of
+    buckets, at each node by a hypergeometric draw seeded by the node and the replicate. A task
+    follows only the way to its own bucket, so what it holds grows with the tree's depth; tasks
+    that pass the same node draw the same. Inside a bucket the labels fall on persons by the
+    same law. A person counts with the number of their rows, so a busy person is one entry;
+    those with one row can never be in both and are drawn as one. Without rows of either series
+    the result is one row of zero and nulls; z is null where the shuffles do not vary.
     """
     rows = df.where(F.col(series).isin(a, b)).select(person, (F.col(series) == a).alias("_a"))
-    each, size = _bucketed(rows, person)
-    order = sorted(size)
-    sizes, labels = np.array([size[i] for i in order], np.int64), each.agg(F.coalesce(F.sum("a"), F.lit(0)).alias("n")).first().n
-    block = 64
+    each, halvings = _bucketed(rows, person)
+    labels, block = int(each.agg(F.coalesce(F.sum("a"), F.lit(0)).alias("n")).first().n), 64
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        here, k = order.index(int(part["bucket"].iloc[0])), np.sort(part["k"].to_numpy(np.int64))
+    def run(part: pd.DataFrame, way: pd.DataFrame) -> pd.DataFrame:
+        bucket, k = int(part["bucket"].iloc[0]), np.sort(part["k"].to_numpy(np.int64))
         own = np.concatenate(([np.int64((k == 1).sum())], k[k > 1]))
         most, out = own[1:], np.zeros(times, np.int64)
+        nodes = way.sort_values("level")[["node", "here", "left"]].to_numpy(np.int64).tolist()
         for lo in range(0, times, block):
-            n = min(block, times - lo)
-            share = np.random.default_rng([seed, lo]).multivariate_hypergeometric(sizes, labels, n, method="marginals")[:, here]
-            inside = np.random.default_rng([seed, lo, here])
+            share = np.full(min(block, times - lo), labels, np.int64)
+            for level, (node, here, left) in enumerate(nodes):
+                goes = hypergeometric(np.random.default_rng([seed, lo, node]), left, here - left, share)
+                share = share - goes if bucket >> halvings - 1 - level & 1 else goes
+            inside = np.random.default_rng([seed, lo, bucket + (1 << halvings)])
             for i, m in enumerate(share.tolist()):
                 got = inside.multivariate_hypergeometric(own, m, method="marginals")[1:]
                 out[lo + i] = ((got > 0) & (got < most)).sum()
         return pd.DataFrame({"replicate": np.arange(times), "overlap": out})
 
-    null = each.select("bucket", "k").groupBy("bucket").applyInPandas(run, "replicate int, overlap long").groupBy("replicate").agg(F.sum("overlap").alias("overlap"))
+    ways = _paths(each, halvings).select(*[F.col(c).alias(c) for c in ("bucket", "level", "node", "here", "left")])
+    null = each.select("bucket", "k").groupBy("bucket").cogroup(ways.groupBy("bucket")).applyInPandas(run, "replicate int, overlap long").groupBy("replicate").agg(F.sum("overlap").alias("overlap"))
     seen = each.agg(F.count(F.when((F.col("a") > 0) & (F.col("a") < F.col("k")), 1)).alias("observed"))
     low = F.count(F.when(F.col("overlap") <= F.col("observed"), 1))
-    return null.crossJoin(F.broadcast(seen)).agg(F.coalesce(F.max("observed"), F.lit(0)).alias("observed"), F.avg("overlap").alias("null_mean"), F.stddev_samp("overlap").alias("null_sd"),
+    mean, sd = F.avg("overlap"), F.stddev_samp("overlap")
+    return null.crossJoin(F.broadcast(seen)).agg(F.coalesce(F.max("observed"), F.lit(0)).alias("observed"), mean.alias("null_mean"), sd.alias("null_sd"), F.when(sd > 0, (F.max("observed") - mean) / sd).alias("z"),
                                                  F.when(F.count("*") > 0, (low + 1) / F.lit(times + 1.0)).alias("p_lower"))  # seen is one row
 
 
-def bootstrap_sums(df: DataFrame, group: str, value: str, key: str, times: int, seed: int = 1) -> DataFrame:
+def bootstrap_sums(df: DataFrame, group: str, value: str, times: int, seed: int = 1) -> DataFrame:
     """(g, replicate, w, s): weights and weighted sums of a Poisson bootstrap, by group.
 
-    Every row draws its weights from a generator seeded by ``key``, so replicates need no
-    shared sample, do not depend on the partitions, and only sums by (group, replicate) are
-    shuffled. A worker holds one row's draws at a time and the sums of the groups it has seen.
+    Equal values of a group are counted first: their Poisson(1) weights add up to one Poisson
+    draw of that mean, so the cost follows distinct values, not rows. A value's draws come from
+    a generator that group, value and ``seed`` fix, so replicates need no shared sample, do not
+    depend on the partitions, and only sums by (group, replicate) are shuffled. A worker holds
+    one value's draws at a time and the sums of the groups it has seen.
     """
-    each = df.where(F.col(value).isNotNull() & F.col(group).isNotNull()).select(F.col(group).alias("g"), F.col(value).cast("double").alias("v"), F.xxhash64(key).alias("k"))
+    rows = df.where(F.col(value).isNotNull() & F.col(group).isNotNull()).select(F.col(group).alias("g"), F.col(value).cast("double").alias("v"))
+    each = rows.groupBy("g", "v").agg(F.count("*").alias("n")).select("g", "v", "n", F.xxhash64("g", "v").alias("k"))
     many = 256  # groups whose sums a worker keeps at once
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -191,8 +294,8 @@ def bootstrap_sums(df: DataFrame, group: str, value: str, key: str, times: int,
             return made
 
         for part in parts:
-            for g, v, k in part.itertuples(index=False):
-                w = np.random.Generator(np.random.Philox(key=[seed, k & 0xFFFFFFFFFFFFFFFF])).poisson(1.0, times)
+            for g, v, n, k in part.itertuples(index=False):
+                w = np.random.Generator(np.random.Philox(key=[seed, k & 0xFFFFFFFFFFFFFFFF])).poisson(float(n), times)
                 if g not in sums and len(sums) == many:
                     yield out()
                 held = sums.setdefault(g, np.zeros((2, times)))
@@ -205,21 +308,21 @@ def bootstrap_sums(df: DataFrame, group: str, value: str, key: str, times: int,
     return each.mapInPandas(run, f"g {kind}, replicate int, w double, s double").groupBy("g", "replicate").agg(F.sum("w").alias("w"), F.sum("s").alias("s")).where("w > 0")
 
 
-def bootstrap_mean(df: DataFrame, group: str, value: str, key: str, times: int = 10_000, seed: int = 1) -> DataFrame:
+def bootstrap_mean(df: DataFrame, group: str, value: str, times: int = 10_000, seed: int = 1) -> DataFrame:
     """(group, n, mean, lo, hi): percentile interval of each group's mean. Rows without a
-    value or a group are left out; ``key`` names a column that tells rows apart."""
-    ci = bootstrap_sums(df, group, value, key, times, seed).groupBy("g").agg(F.expr("percentile(s / w, array(0.025, 0.975))").alias("ci"))
+    value or a group are left out."""
+    ci = bootstrap_sums(df, group, value, times, seed).groupBy(F.col("g").alias("_g")).agg(F.expr("percentile(s / w, array(0.025, 0.975))").alias("ci"))
     means = df.where(F.col(value).isNotNull()).groupBy(group).agg(F.count("*").alias("n"), F.avg(F.col(value).cast("double")).alias("mean"))
-    return means.join(ci, F.col(group) == F.col("g")).select(group, "n", "mean", F.col("ci")[0].alias("lo"), F.col("ci")[1].alias("hi"))
+    return means.join(ci, F.col(group) == F.col("_g")).select(group, "n", "mean", F.col("ci")[0].alias("lo"), F.col("ci")[1].alias("hi"))
 
 
-def bootstrap_difference(df: DataFrame, group: str, value: str, key: str, a: object, b: object, times: int = 10_000, seed: int = 1) -> DataFrame:
+def bootstrap_difference(df: DataFrame, group: str, value: str, a: object, b: object, times: int = 10_000, seed: int = 1) -> DataFrame:
     """(difference, lo, hi, p): mean of group ``a`` less that of ``b``, its percentile interval
     and the two-sided p, twice the smaller share of replicates on either side of zero, at most
     1. Nulls where a group has no rows."""
     two = df.where(F.col(group).isin(a, b))
     mean = lambda x: F.sum(F.when(F.col("g") == x, F.col("s") / F.col("w")))
-    each = bootstrap_sums(two, group, value, key, times, seed).groupBy("replicate").agg((mean(a) - mean(b)).alias("d")).where("d is not null")
+    each = bootstrap_sums(two, group, value, times, seed).groupBy("replicate").agg((mean(a) - mean(b)).alias("d")).where("d is not null")
     p = F.least(F.lit(1.0), 2 * F.least(F.avg((F.col("d") <= 0).cast("double")), F.avg((F.col("d") >= 0).cast("double"))))
     found = each.agg(F.expr("percentile(d, array(0.025, 0.975))").alias("ci"), p.alias("p"))
     seen = two.agg((F.avg(F.when(F.col(group) == a, F.col(value))) - F.avg(F.when(F.col(group) == b, F.col(value)))).alias("difference"))

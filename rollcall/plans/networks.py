@@ -182,12 +182,12 @@ def x05_permutation(d):
 
 @query()
 def x06_bootstrap(d):
-    return stats.bootstrap_mean(d.orders, "o_orderpriority", "o_totalprice", "o_orderkey")
+    return stats.bootstrap_mean(d.orders, "o_orderpriority", "o_totalprice")
 
 
 @query()
 def x06_bootstrap_difference(d):
-    return stats.bootstrap_difference(d.orders, "o_orderpriority", "o_totalprice", "o_orderkey", A, B)
+    return stats.bootstrap_difference(d.orders, "o_orderpriority", "o_totalprice", A, B)
 
 
 KM = """t as (select c_mktsegment as grp, max(year(o_orderdate)) - min(year(o_orderdate)) as t, max(o_orderdate) < timestamp '2001-01-01' as e from orders join customer on o_custkey = c_custkey group by o_custkey, c_mktsegment)"""

@@ -108,9 +108,9 @@ def test_resampling_repeats(spark):
     df = spark.createDataFrame([(i % 40, "A" if i % 3 else "B", float(i)) for i in range(200)], "p long, s string, v double")
     a, b = (stats.overlap_permutation(df, "p", "s", "A", "B", 50).first() for _ in range(2))
     assert a == b and 0 < a.p_lower <= 1
-    ci = sorted(tuple(r) for r in stats.bootstrap_mean(df, "s", "v", "v", 100).collect())
+    ci = sorted(tuple(r) for r in stats.bootstrap_mean(df, "s", "v", 100).collect())
     assert all(lo < mean < hi for _, _, mean, lo, hi in ci)
-    assert ci == sorted(tuple(r) for r in stats.bootstrap_mean(df.repartition(5), "s", "v", "v", 100).collect())
+    assert ci == sorted(tuple(r) for r in stats.bootstrap_mean(df.repartition(5), "s", "v", 100).collect())
 
 
 def test_permutation_against_plain_shuffles(spark):
@@ -131,11 +131,11 @@ def test_permutation_against_plain_shuffles(spark):
 def test_bootstrap_difference(spark):
     rows = [(i, "x", 10.0 + i % 7) for i in range(200)] + [(1000 + i, "y", 12.0 + i % 5) for i in range(150)]
     df = spark.createDataFrame(rows, "k long, g string, v double")
-    got = stats.bootstrap_difference(df, "g", "v", "k", "x", "y", 500).first()
+    got = stats.bootstrap_difference(df, "g", "v", "x", "y", 500).first()
     assert got.lo < got.difference < got.hi < 0 and got.p < 0.01
-    same = stats.bootstrap_difference(df.where("g = 'x'").withColumn("g", F.when(F.col("k") % 2 == 0, "x").otherwise("y")), "g", "v", "k", "x", "y", 500).first()
+    same = stats.bootstrap_difference(df.where("g = 'x'").withColumn("g", F.when(F.col("k") % 2 == 0, "x").otherwise("y")), "g", "v", "x", "y", 500).first()
     assert same.lo < 0 < same.hi and same.p > 0.05
-    assert stats.bootstrap_difference(df.where("g = 'x'"), "g", "v", "k", "x", "y", 20).first().difference is None
+    assert stats.bootstrap_difference(df.where("g = 'x'"), "g", "v", "x", "y", 20).first().difference is None
 
 
 def test_degenerate_statistics(spark):
