@@ -28,17 +28,16 @@ def typed_edges(df: DataFrame, kinds: dict[str, tuple[str, str]], also: Sequence
     return reduce(DataFrame.unionByName, parts)
 
 
-def co_presence(df: DataFrame, group: str, person: str, period: str | None = None, item: str | None = None) -> DataFrame:
+def co_presence(df: DataFrame, group: str, person: str, period: str | None = None, item: str | None = None, block: int = 2000) -> DataFrame:
     """Pairs a < b present in a group: distinct groups, and distinct periods as a list.
 
     With ``item``, only pairs through different items count (different talks of a session).
-    Pairs are made by key within a group; members are made distinct first.
+    Pairs are made by key within a group, in blocks where a group is large; members are made
+    distinct first, and pairs of a task are summed before they are shuffled.
     """
     extra = [c for c in (period, item) if c]
     rows = df.select(group, person, *extra).distinct()
-    a = rows.select(group, F.col(person).alias("a"), *[F.col(c).alias(f"a_{c}") for c in extra])
-    b = rows.select(group, F.col(person).alias("b"), *[F.col(c).alias(f"b_{c}") for c in extra])
-    pairs = a.join(b, group).where("a < b")
+    pairs = _pairs(rows, group, person, extra, block).where("a < b")
     if item:
         pairs = pairs.where(F.col(f"a_{item}") != F.col(f"b_{item}"))
     years = [F.array_join(F.array_sort(F.collect_set(f"a_{period}")), ",").alias("periods")] if period else []
@@ -46,6 +45,23 @@ def co_presence(df: DataFrame, group: str, person: str, period: str | None = Non
     return pairs.groupBy("a", "b").agg(once.alias("weight"), *years)
 
 
+def _pairs(rows: DataFrame, group: str, person: str, extra: Sequence[str], block: int) -> DataFrame:
+    """Ordered pairs of a group's rows with each other, all of them.
+
+    A group of more than ``block`` rows is cut into blocks by hash of the person; its pairs are
+    a triangle of pairs of blocks, each joined under its own key, so that no task gets all pairs
+    of a hot group. Which group has how many blocks is one row a group.
+    """
+    blocks = rows.groupBy(F.col(group).alias("_g")).agg(F.ceil(F.count("*") / block).cast("int").alias("_many"))
+    sized = rows.join(blocks, F.col(group).eqNullSafe(F.col("_g"))).drop("_g").withColumn("_own", F.pmod(F.xxhash64(person), F.col("_many")).cast("int"))
+    # a row stands in the cells (own, j) and (i, own); with a in the first place and b in the second
+    other = F.explode(F.sequence(F.lit(0), F.col("_many") - 1))
+    cells = lambda first: sized.withColumn("_other", other).withColumns({"_i": F.col("_own") if first else F.col("_other"), "_j": F.col("_other") if first else F.col("_own")})
+    a = cells(True).select(group, "_i", "_j", F.col(person).alias("a"), *[F.col(c).alias(f"a_{c}") for c in extra])
+    b = cells(False).select(group, "_i", "_j", F.col(person).alias("b"), *[F.col(c).alias(f"b_{c}") for c in extra])
+    return a.join(b, [group, "_i", "_j"]).drop("_i", "_j")
+
+
 def pruned(edges: DataFrame, least: int, enough: int) -> DataFrame:
     """Edges of at least ``least`` weight if ``enough`` of them are, else all."""
     n = F.broadcast(edges.agg(F.count(F.when(F.col("weight") >= least, 1)).alias("_n")))  # one row

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import sqlite3
 import uuid
 
@@ -16,7 +15,10 @@ from rollcall.plans.data import SESSIONS, TAKING_PART, A, B
 from rollcall.plans.registry import registry
 from rollcall.session import shared_folder
 from rollcall.sources import sinks
+from rollcall.sources.formats import register_formats
+from rollcall.store import Store
 from rollcall.streaming import events as ev
+from rollcall.streaming import ingest
 
 QUERIES, SQL, query = registry()
 
@@ -347,14 +349,6 @@ def q13_patched(d):
     return quality.patched(o, n, "k", ["name", "seg"])
 
 
-MARKDOWN = "# Seeds\n\n### places\n```csv\nid,name,lat\nriga,Riga,56.9\nkyiv,Kyiv,50.4\n```\n\n### venues\n```csv\nid,name\nv1,Hall\n```\n"
-
-
-@query("select * from (values ('riga', 'Riga', 56.9::double), ('kyiv', 'Kyiv', 50.4)) t(id, name, lat)")
-def s01_markdown_csv(d):
-    return sources.markdown_csv(d.spark.createDataFrame([(MARKDOWN,)], "value string"), "value", "places", "id string, name string, lat double")
-
-
 BLOCKED = "regexp_replace(regexp_replace(html, '(?i)</?(br|div|h1|h2|h3|h4|h5|h6|li|ol|p|td|tr|ul)([ \\t\\r\\n][^>]*)?/?>', chr(1), 'g'), '<[^>]*>', '', 'g')"
 UNESCAPED = f"replace(replace(replace(replace(replace(replace({BLOCKED}, '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#39;', chr(39)), '&nbsp;', chr(160)), '&amp;', '&')"
 PAGE_TEXT = f"select page_id, regexp_replace(regexp_replace(regexp_replace({UNESCAPED}, '^' || chr(1) || '+', ''), chr(10) || chr(1) || '+', chr(10), 'g'), chr(1) || '+', chr(10), 'g') as text from pages"
@@ -382,42 +376,91 @@ def s05_updated_on(d):
     return d.pages.select("page_id", sources.updated_on(F.concat(F.lit("Page (Last updated: "), 1 + F.col("page_id") % 28, F.lit(".5.2021)"))).cast("string").alias("updated"))
 
 
-@query("select * from (values (1, 'a'), (2, 'b')) t(id, name)")
+def _folder(d, name: str) -> str:
+    """A new folder where all machines can write and read."""
+    return f"{shared_folder(d.spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _read(d, name: str, schema: str, path: str, **options: str):
+    register_formats(d.spark)
+    return d.spark.read.format(name).schema(schema).options(**options).load(path)
+
+
+def _written(d, texts, name: str) -> str:
+    """The folder to which one text column is written, over several files."""
+    path = _folder(d, name)
+    texts.repartition(6).write.text(path)
+    return path
+
+
+def _lines(of, order: str, line):
+    """A group's lines in one text. Groups are some twenty rows by construction."""
+    return of.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), line.alias("l")))), lambda x: x["l"]), "\n").alias("lines"))
+
+
+@query("select c_custkey, c_name, c_acctbal from customer")
+def s01_markdown_csv(d):
+    """Seed tables inside Markdown pages, twenty rows a page, another table beside them."""
+    line = F.concat_ws(",", F.col("c_acctbal").cast("string"), F.concat(F.lit('"'), "c_name", F.lit('"')), F.col("c_custkey").cast("string"))
+    pages = _lines(d.customer.groupBy(F.floor(F.col("c_custkey") / 20).alias("page")), "c_custkey", line)
+    text = F.concat(F.lit("# Seeds\n\n### people\nBy name.\n\n```csv\nc_acctbal,c_name,c_custkey\n"), "lines", F.lit("\n```\n\n### venues\n```csv\nid\n7\n```\n"))
+    return _read(d, "markdown_csv", "c_custkey long, c_name string, c_acctbal double", _written(d, pages.select(text.alias("value")), "markdown"), block="people")
+
+
+@query("select page_id, url from pages")
 def s08_wrapped_json(d):
-    text = "const SITE = " + json.dumps([{"id": 1, "name": "a"}, {"id": 2, "name": "b"}]) + ";\n"
-    rows = d.spark.createDataFrame([(text,)], "value string")
-    return rows.select(F.inline(sources.unwrapped("value", "array<struct<id:int,name:string>>")))
+    """Arrays that scripts assign to names, several in a file; the pages' HTML is not asked for."""
+    each = _lines(d.pages.groupBy(F.floor(F.col("page_id") / 20).alias("part")), "page_id", F.to_json(F.struct("page_id", "url", "html")))
+    text = F.concat(F.lit("const PART_"), F.col("part").cast("string"), F.lit(" = ["), F.replace("lines", F.lit("\n"), F.lit(",")), F.lit("];"))
+    return _read(d, "wrapped_json", "page_id long, url string", _written(d, each.select(text.alias("value")), "scripts"))
 
 
-@query("select * from (values (1, 'a', null), (null, null, '{bad'), (3, 'c', null)) t(id, name, bad)")
+@query("""select conv_id, turn, role, null as bad from conversations union all select null, null, null, '{bad ' || conv_id from conversations where turn = 0""")
 def s09_fenced_jsonl(d):
-    text = 'intro\n```jsonl\n// note\n{"id": 1, "name": "a"}\n{bad\n\n{"id": 3, "name": "c"}\n```\n'
-    return sources.fenced_jsonl(d.spark.createDataFrame([(text,)], "value string"), "value", "id int, name string").withColumnRenamed("_bad", "bad")
+    """Records in fenced blocks, with remarks and lines that are no JSON."""
+    good = F.to_json(F.struct("role", "conv_id", "turn", "text"))
+    line = F.when(F.col("turn") == 0, F.concat(good, F.lit("\n{bad "), F.col("conv_id").cast("string"))).otherwise(F.concat(F.lit("// note\n"), good))
+    each = _lines(d.conversations.groupBy(F.floor(F.col("conv_id") / 20).alias("part"), "turn"), "conv_id", line)
+    text = F.concat(F.lit("intro {\n```jsonl\n"), "lines", F.lit("\n\n```\nend"))
+    return _read(d, "fenced_jsonl", "conv_id long, turn long, role string, _bad string", _written(d, each.select(text.alias("value")), "notes")).withColumnRenamed("_bad", "bad")
 
 
-@query("select n_nationkey as id, n_name as name from nation where n_regionkey > 0")
+@query("select c_custkey as id, c_name as name from customer where c_nationkey > 3")
 def s11_sqlite(d):
-    """A database a region, packed by a function and scanned again."""
+    """Databases of a hundred rows, written by tasks and read by tasks; one column is not asked for."""
 
     def packed(part: pd.DataFrame) -> pd.DataFrame:
         db = sqlite3.connect(":memory:")
-        db.execute("create table nation (id integer, name text)")
-        db.executemany("insert into nation values (?, ?)", list(zip(part["n_nationkey"].tolist(), part["n_name"])))
+        db.execute("create table people (id integer, balance real, name text)")
+        db.executemany("insert into people values (?, ?, ?)", list(zip(part["c_custkey"].tolist(), part["c_acctbal"].tolist(), part["c_name"])))
         db.commit()
-        return pd.DataFrame({"content": [db.serialize()]})
+        return pd.DataFrame({"name": [f"{part['part'].iloc[0]}.db"], "content": [db.serialize()]})
 
-    files = d.nation.where("n_regionkey > 0").groupBy("n_regionkey").applyInPandas(packed, "content binary")
-    return sources.sqlite_rows(files, "select id, name from nation", "id int, name string")
+    rows = d.customer.where("c_nationkey > 3").withColumn("part", F.floor(F.col("c_custkey") / 100))
+    path = _folder(d, "databases")
+    sinks.write_files(rows.groupBy("part").applyInPandas(packed, "name string, content binary"), path)
+    return _read(d, "sqlite", "id long, name string", path, table="people")
 
 
-@query("select * from (values (1, 'x'), (2, 'y')) t(id, place)")
+@query("select s.lang, s.name, count(doc_id) as n from (values ('en', 'English'), ('fr', 'French'), ('la', 'Latin')) s(lang, name) left join documents using (lang) group by 1, 2")
 def s14_seed_rows(d):
-    return sources.values(d.spark, [(1, "x"), (2, "y")], "id int, place string")
-
-
-def _folder(d, name: str) -> str:
-    """A new folder where all machines can write and read."""
-    return f"{shared_folder(d.spark)}/{name}-{uuid.uuid4().hex}"
+    """Seed rows that name what a table has, or lacks."""
+    seeds = sources.values(d.spark, [("en", "English"), ("fr", "French"), ("la", "Latin")], "lang string, name string")
+    return seeds.join(d.documents.groupBy("lang").agg(F.count("doc_id").alias("n")), "lang", "left").select("lang", "name", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+@query("select doc_id, case when doc_id % 10 = 0 then upper(lang) else lang end as lang, n_chars from documents")
+def k03_stream_upsert(d):
+    """All documents arrive as a stream, some again with a correction; a replayed run adds nothing."""
+    root, store = _folder(d, "ingest"), Store(d.spark, _folder(d, "tables"))
+    docs = d.documents.select("doc_id", "lang", "n_chars")
+    docs.repartition(3).write.parquet(f"{root}/a")
+    docs.where("doc_id % 10 = 0").withColumn("lang", F.upper("lang")).write.parquet(f"{root}/b")
+    table = ingest.Ledger(store, "documents", ["doc_id"])
+    for source in ("a", "b", "b"):
+        stream = d.spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 2).parquet(f"{root}/{source}")
+        table.upsert(stream, source, f"{root}/checkpoint-{source}").awaitTermination()
+    return table.current()
 
 
 @query("select c_custkey, c_name, c_acctbal from customer")

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import uuid
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rollcall.operators.resolve import numbered_rows
 
+
 def sorted_csv(df: DataFrame, path: str, order: Sequence[str], single: bool = False) -> None:
     """CSV with a header in a global order: parts in order, or one file for small results."""
     out = df.orderBy(*order)
@@ -96,3 +99,22 @@ def updated(old: DataFrame, changes: DataFrame, key: Sequence[str], columns: Seq
     new = changes.select(*key, F.struct(*columns).alias("_new"))
     both = old.join(new, list(key), "left")
     return both.select(*[F.when(F.col("_new").isNotNull(), F.col("_new")[c]).otherwise(F.col(c)).alias(c) if c in columns else F.col(c) for c in old.columns])
+
+
+def write_files(files: DataFrame, folder: str) -> None:
+    """Writes each (name, content binary) row as a file of a shared folder, from its task. A
+    file appears by a rename when it is whole, so a task that runs again does no harm."""
+    from rollcall.sources.formats import opened
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, root = opened(folder)
+        store.create_dir(root, recursive=True)
+        for part in parts:
+            for name, content in part[["name", "content"]].itertuples(index=False):
+                work = f"{root}/_{uuid.uuid4().hex}"
+                with store.open_output_stream(work) as f:
+                    f.write(content)
+                store.move(work, f"{root}/{name}")
+            yield pd.DataFrame({"n": [len(part)]})
+
+    files.mapInPandas(run, "n long").agg(F.sum("n")).collect()

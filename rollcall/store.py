@@ -68,6 +68,13 @@ class Store:
             files.delete(self._path(work), True)
             return False
 
+    def replace(self, name: str, key: str, made: DataFrame) -> None:
+        """Puts other rows in an entry, for a caller that keeps its meaning (a compaction)."""
+        held = self._path(f"{self.root}/_work/{uuid.uuid4().hex}")
+        made.write.parquet(str(held))
+        self._files().delete(self._path(f"{self.root}/{name}/{key}"), True)
+        self._files().rename(held, self._path(f"{self.root}/{name}/{key}"))
+
     def read(self, name: str, key: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/{name}/{key}")
 
