@@ -30,6 +30,19 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def placed(df: DataFrame, key: str, partitions: int) -> DataFrame:
+    """``df`` saved in partitions by ``key``, which later steps by that key find as they are and
+    do not shuffle again. Only a plan that is fixed beforehand tells how its rows lie, so
+    adaptive execution is off while this one is made."""
+    conf, name = prepare(df.sparkSession).conf, "spark.sql.adaptive.enabled"
+    before = conf.get(name)
+    conf.set(name, "false")
+    try:
+        return saved(df.repartition(partitions, key))
+    finally:
+        conf.set(name, before)
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner delete the shuffle files of tables that are saved by now: between
     steps of a long job, so that they need not all lie on the disks at once. What Python gives

@@ -31,12 +31,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rollcall.llm.common import filled, prepare
+from rollcall.llm.common import filled, placed, prepare
 
 LENGTH, GRAM = 50, 16
 REACH = LENGTH - GRAM
-#: Rows of a part, parts a bucket, splitters at most, and documents sampled for splitters.
-PART_ROWS, WIDE, RANGES, SAMPLE = 256, 6, 4096, 2000
+#: Bytes of text of a part and of a bucket, about; documents sampled for splitters at least,
+#: and more of them for each range.
+PART_BYTES, BUCKET_BYTES, SAMPLE, SAMPLE_RANGE = 16 << 20, 8 << 20, 2000, 3
 #: Times the suffixes of a bucket that parts may send of one leading string before its windows
 #: are dealt by themselves.
 HOT = 1.0
@@ -239,7 +240,7 @@ class Part:
     """The rows of a part in a fixed order, their anchors, and the leading strings of these in
     byte order, each once, with their buckets."""
 
-    def __init__(self, rows: pa.Table, splitters: np.ndarray, salt: int) -> None:
+    def __init__(self, rows: pa.Table, splitters: np.ndarray) -> None:
         doc, body = (rows.column(c).to_numpy() for c in ("doc", "body"))
         self.order = np.lexsort((body, doc))
         self.doc, raw = doc[self.order], rows.column("raw").to_pylist()
@@ -257,11 +258,8 @@ class Part:
         self.gram[order] = np.cumsum(head) - 1
         held, at = self.doc[self.row[order]], np.flatnonzero(head)
         self.many = np.minimum.reduceat(held, at) != np.maximum.reduceat(held, at) if len(at) else np.zeros(0, bool)
-        bucket = np.searchsorted(splitters, self.grams[:, 0], "right") * salt
-        if salt > 1:  # more buckets than splitters: equal strings still meet
-            bucket += (_mixed(self.grams[:, 0] * np.uint64(_A) + self.grams[:, 1]) % np.uint64(salt)).astype(np.int64)
-        self.bucket = bucket
-        self.by_bucket = np.argsort(bucket, kind="stable")
+        self.bucket = np.searchsorted(splitters, self.grams[:, 0], "right")  # equal strings fall into one
+        self.by_bucket = np.argsort(self.bucket, kind="stable")
 
 
 def _cuts(a: np.ndarray) -> list[tuple[int, int]]:
@@ -270,9 +268,9 @@ def _cuts(a: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(at[:-1].tolist(), at[1:].tolist()))
 
 
-def _send_grams(splitters: np.ndarray, salt: int) -> Callable[[pa.Table], pa.Table]:
+def _send_grams(splitters: np.ndarray) -> Callable[[pa.Table], pa.Table]:
     def run(rows: pa.Table) -> pa.Table:
-        p, number = Part(rows, splitters, salt), rows.column("part")[0].as_py()
+        p, number = Part(rows, splitters), rows.column("part")[0].as_py()
         bucket, grams, many = (x[p.by_bucket] for x in (p.bucket, p.grams, p.many))
         return _table(_GRAMS, [(int(bucket[a]), number, _shrunk(grams[a:z].astype(">u8").tobytes()), np.packbits(many[a:z]).tobytes()) for a, z in _cuts(bucket)])
 
@@ -301,14 +299,14 @@ def _find_ties(hot: int) -> Callable[[pa.Table], pa.Table]:
     return run
 
 
-def _send_contexts(splitters: np.ndarray, salt: int, parts: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+def _send_contexts(splitters: np.ndarray, parts: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
     """Contexts of tied suffixes, by bucket, each with its smallest document and the (row, start)
     where that has it; a bucket below zero is a part's own and holds the runs of later ones."""
 
     def run(rows: pa.Table, ties: pa.Table) -> pa.Table:
         if not rows.num_rows:
             return _table(_CONTEXTS, [])
-        p, number = Part(rows, splitters, salt), rows.column("part")[0].as_py()
+        p, number = Part(rows, splitters), rows.column("part")[0].as_py()
         told = dict(zip(ties.column("bucket").to_pylist(), ties.column("bits").to_pylist()))
         bucket = p.bucket[p.by_bucket]
         bits = [np.unpackbits(_u("u1", told[int(bucket[a])]), count=2 * (z - a)).reshape(-1, 2) for a, z in _cuts(bucket)]
@@ -424,7 +422,7 @@ def _splitters(rows: DataFrame, many: int, share: int) -> np.ndarray:
     return np.unique(found[np.linspace(0, len(found), many, endpoint=False)[1:].astype(int)])
 
 
-def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: float = HOT, part_rows: int = PART_ROWS, keep_text: bool = False) -> DataFrame:
+def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: float = HOT, part_bytes: int = PART_BYTES, bucket_bytes: int = BUCKET_BYTES, keep_text: bool = False) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept binary]): one row per input row.
 
     Texts are UTF-8 bytes, null is empty; a text under LENGTH bytes keeps all of them; texts
@@ -432,21 +430,26 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     are one document and do not remove from each other; a row without one comes after all
     others. An empty table gives an empty result; other columns are not read.
 
-    ``part_rows`` is about how many rows a part holds. A leading string counts as too hot for
-    a bucket if more parts hold it than ``hot`` times the suffixes of a bucket.
+    Parts and buckets hold about ``part_bytes`` and ``bucket_bytes`` of text, so their numbers
+    grow with the table; a text longer than that is a part by itself. A row of the shuffle
+    takes all that a part has for a bucket, so there are never more of them than leading
+    strings, and far fewer while parts are few. A leading string counts as too hot for a bucket
+    if more parts hold it than ``hot`` times the suffixes of a bucket.
+
+    Texts are shuffled once; the parts are saved and read again by the three steps that need
+    them, where they lie.
     """
     prepare(df.sparkSession)
     text = filled(F.col(text_col).cast("string"))
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc"), F.xxhash64(text).alias("body"), text.cast("binary").alias("raw"))
     size = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("raw")), F.lit(0)).alias("bytes")).first()
-    parts = max(1, -(-size.n // part_rows))
-    buckets = max(1, parts // WIDE)
-    ranges = min(buckets, RANGES)
-    splitters, salt = _splitters(rows, ranges, max(1, size.n // SAMPLE)), -(-buckets // ranges)
+    parts, buckets = max(1, -(-size.bytes // part_bytes)), max(1, -(-size.bytes // bucket_bytes))
+    splitters = _splitters(rows, buckets, max(1, size.n // (SAMPLE + SAMPLE_RANGE * buckets)))
     most = max(2, int(hot * 2 * size.bytes / (REACH + 2) / buckets))  # two anchors in REACH + 2 bytes
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("doc", "body"), F.lit(parts)))
-    grams = rows.groupBy("part").applyInArrow(_send_grams(splitters, salt), _ddl(_GRAMS))
+    dealt = F.pmod(F.xxhash64("doc", "body", F.monotonically_increasing_id()), F.lit(parts))  # rows that repeat are spread
+    rows = placed(rows.withColumn("part", dealt), "part", max(parts, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    grams = rows.groupBy("part").applyInArrow(_send_grams(splitters), _ddl(_GRAMS))
     ties = grams.groupBy("bucket").applyInArrow(_find_ties(most), _ddl(_TIES))
-    contexts = rows.groupBy("part").cogroup(ties.groupBy("part")).applyInArrow(_send_contexts(splitters, salt, parts), _ddl(_CONTEXTS))
+    contexts = rows.groupBy("part").cogroup(ties.groupBy("part")).applyInArrow(_send_contexts(splitters, parts), _ddl(_CONTEXTS))
     found = contexts.groupBy("bucket").applyInArrow(_compare, _ddl(_RUNS))
     return rows.groupBy("part").cogroup(found.groupBy("part")).applyInArrow(_cut(keep_text), _ddl(_OUT + [("kept", _BIN)] * keep_text))

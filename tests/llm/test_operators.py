@@ -450,14 +450,14 @@ def repeats(docs):
     return want
 
 
-@pytest.mark.parametrize("hot, part_rows", [(1.0, 512), (1.0, 7), (0.0, 5), (0.001, 1)])
-def test_suffix(spark, hot, part_rows):
+@pytest.mark.parametrize("hot, part_bytes, bucket_bytes", [(1.0, 1 << 20, 1 << 20), (1.0, 4000, 700), (0.0, 3000, 2000), (0.001, 900, 300)])
+def test_suffix(spark, hot, part_bytes, bucket_bytes):
     r = random.Random(3)
     docs = [(i, "".join(r.choice(["ab", "ba", "x", "é"]) for _ in range(r.randrange(20, 90))) + "q" * r.randrange(200) + "".join(r.choice("ab") for _ in range(60))) for i in range(50)]
     common = "".join(r.choice("abcdefgh ") for _ in range(90))
     docs += [(60 + i, "".join(r.choice("xyz ") for _ in range(r.randrange(60))) + common[r.randrange(20):70 + r.randrange(20)] + "".join(r.choice("xyz ") for _ in range(r.randrange(60)))) for i in range(30)]
     docs += [(100, docs[3][1]), (101, None), (102, "short"), (103, "z" * 49), (104, "z" * 50), (105, "z" * 51), (105, "z" * 51), (106, "\0" * 60), (107, "a" + "\0" * 60)]
-    rows = suffix.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string"), hot=hot, part_rows=part_rows).collect()
+    rows = suffix.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string"), hot=hot, part_bytes=part_bytes, bucket_bytes=bucket_bytes).collect()
     assert len(rows) == len(docs)
     assert {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in rows} == repeats(docs)
 
@@ -492,3 +492,20 @@ def test_suffix_odd(odd):
     got = {r.doc_id: r for r in suffix.remove_repeats(odd).collect()}
     assert len(got) == 10 and got[2].n_bytes == 0 and got[6].n_removed == 51 and got[7].n_removed == 0
     assert suffix.remove_repeats(no_rows(odd)).count() == 0
+
+
+def test_suffix_of_long_and_repeated_rows(spark):
+    r = random.Random(4)
+    letters = bytes(range(97, 123))
+    some = lambda n: bytes(r.choices(letters, k=n)).decode()
+    shared = some(200)
+    long = some(3_000_000) + shared + some(1000)
+    docs = [(1, shared), (2, long), (3, some(500) + shared[20:150]), (3, some(500) + shared[20:150])] + [(None, shared + "x" * 60)] * 40 + [(9, "y" * 300)] * 200
+    got = suffix.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string"), part_bytes=20_000, bucket_bytes=5_000).groupBy("doc_id", "n_removed", "n_spans").count().collect()
+    assert {(x.doc_id, x.n_removed, x.n_spans): x["count"] for x in got} == {(1, 0, 0): 1, (2, 200, 1): 1, (3, 130, 1): 2, (None, 200, 1): 40, (9, 0, 0): 200}
+
+
+def test_texts_are_shuffled_once(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    plan = suffix.remove_repeats(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "raw" in plan and not [line for line in plan.splitlines() if "Exchange" in line and "rangepartitioning" not in line and line.lstrip(" :+-*(0123456789)").startswith("Exchange") and "raw" in line]
