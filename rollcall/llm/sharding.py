@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rollcall.llm.common import filled, prepare
+from rollcall.llm.ranges import each_of
 
 VNODES = 128
 RING, CELLS = 52, 12
@@ -98,8 +99,9 @@ def assign(df: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "
     ordered = rows.selectExpr("*", "sum(many) over (partition by arc order by place, doc_id, text_crc32, size rows unbounded preceding) - many as rank")
     home = F.element_at(F.lit(owner), F.col("arc") + 1)
     met = ordered.join(F.broadcast(segments), "arc").where("rank < hi and rank + many > lo")
-    own = F.sequence(F.greatest("rank", "lo"), F.least(F.col("rank") + F.col("many"), "hi") - 1)
-    each = met.withColumn("at", F.explode(own))
+    # a group of equal rows may be as large as a shard, so it is spread in two steps
+    met = met.withColumns({"_low": F.greatest("rank", "lo"), "_high": F.least(F.col("rank") + F.col("many"), F.col("hi"))})
+    each = each_of(met, "_low", "_high", "at")
     return each.select("doc_id", "size", "text_crc32", "shard", (F.col("base") + F.col("at") - F.col("lo")).cast("long").alias("slot"), (F.col("shard") != home).alias("moved"))
 
 

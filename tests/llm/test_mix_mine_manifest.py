@@ -48,6 +48,19 @@ def test_each_number_without_long_arrays(spark):
     assert {k: sorted(v) for k, v in got.items()} == {1: list(range(10)), 3: list(range(7, 107))}
 
 
+def test_no_array_is_as_long_as_a_group(spark):
+    df = spark.createDataFrame([(0, 1_000_000)], "a long, b long")
+    from rollcall.llm.ranges import each_of
+
+    got = each_of(df, "a", "b", "n").agg(F.count("*").alias("c"), F.countDistinct("n").alias("d"), F.min("n").alias("lo"), F.max("n").alias("hi")).first()
+    assert tuple(got) == (1_000_000, 1_000_000, 0, 999_999)
+    from rollcall.llm.sharding import report as shards
+
+    same = spark.range(20_000).selectExpr("cast(null as long) as doc_id", "'' as text").unionByName(spark.range(3000).selectExpr("id as doc_id", "'x' as text"))
+    rows = shards(same).groupBy("shard").agg(F.count("*").alias("n"), F.countDistinct("slot").alias("d"), F.max("slot").alias("hi")).collect()
+    assert len(rows) == 24 and max(r.n for r in rows) - min(r.n for r in rows) <= 1 and all(r.n == r.d == r.hi + 1 for r in rows)
+
+
 # Merkle manifest
 
 
