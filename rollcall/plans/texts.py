@@ -445,11 +445,10 @@ def t16_tf_idf_top3(d):
 @query()
 def t17_topics(d):
     from pyspark.ml.clustering import LDA
-    from pyspark.ml.feature import CountVectorizer
+    from pyspark.ml.feature import HashingTF
 
-    docs = _docs(d)
-    terms = docs.select(F.explode(F.array_distinct("words")).alias("t")).groupBy("t").count().where("count >= 2").count()
-    counts = CountVectorizer(inputCol="words", outputCol="features", vocabSize=max(1, terms), minDF=2.0).fit(docs).transform(docs)
+    # words are hashed to so many features, so what the driver holds does not grow with the words
+    counts = HashingTF(inputCol="words", outputCol="features", numFeatures=1 << 14).transform(_docs(d))
     model = LDA(k=6, maxIter=5, seed=42, featuresCol="features").fit(counts)
     from pyspark.ml.functions import vector_to_array
 
