@@ -199,10 +199,23 @@ def coauthors(c: Column) -> Column:
 
 
 _UP, _LOW = "A-ZА-ЯЁ", "a-zа-яё"
-_WORD = f"[{_UP}][{_LOW}-]+"
-#: "Given Second Surname", "G. S. Surname" or "Surname G. S.".
-AUTHOR = rf"(?:(?:[{_UP}]\.\s*){{1,2}}{_WORD}|{_WORD}\s+(?:[{_UP}]\.\s*){{1,2}}|{_WORD}(?:\s+{_WORD}){{1,3}})"
-INITIALLED = rf"(?:(?:[{_UP}]\.\s*){{1,2}}{_WORD}|{_WORD}\s+(?:[{_UP}]\.\s*){{1,2}})"
+#: Tokens of a line: a capital word, an initial; what may follow each before the next one.
+_TOKENS = {"W": (f"[{_UP}][{_LOW}-]+", r"\s+"), "I": (rf"[{_UP}]\.", r"\s*")}
+
+
+def _names(*layouts: str) -> str:
+    """Expression for names laid out as one of these rows of tokens, the longest first."""
+    def one(layout: str) -> str:
+        ends = "" if layout[-1] == "W" else _TOKENS["I"][1]
+        return "".join(_TOKENS[t][0] + _TOKENS[t][1] for t in layout[:-1]) + _TOKENS[layout[-1]][0] + ends
+
+    return "(?:" + "|".join(map(one, sorted(layouts, key=len, reverse=True))) + ")"
+
+
+_BY_INITIALS = ("IW", "IIW", "WI", "WII")
+#: "G. S. Surname" or "Surname G. S."; an author may also be "Given Second Surname".
+INITIALLED = _names(*_BY_INITIALS)
+AUTHOR = _names(*_BY_INITIALS, "WW", "WWW", "WWWW")
 #: A bracket after a name that says where someone is from: not the years of a life.
 PLACE = r"\((?!\s*\d{4}\s*[–—-])[^()]+\)"
 #: Parts of place names (fixed values): such a bracket makes initials before it a speaker
