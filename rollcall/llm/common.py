@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import time
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,17 +31,18 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def placed(df: DataFrame, key: str, partitions: int) -> DataFrame:
-    """``df`` saved in partitions by ``key``, which later steps by that key find as they are and
-    do not shuffle again. Only a plan that is fixed beforehand tells how its rows lie, so
-    adaptive execution is off while this one is made."""
-    conf, name = prepare(df.sparkSession).conf, "spark.sql.adaptive.enabled"
-    before = conf.get(name)
-    conf.set(name, "false")
+def placed(df: DataFrame, key: str, buckets: int) -> DataFrame:
+    """``df`` saved as a table bucketed by ``key`` in the checkpoint folder. Tasks write the
+    buckets' files themselves, so nothing is shuffled; steps that group by the key find each
+    bucket in one task and do not shuffle it either. The name in the catalog is only needed to
+    open the files and is gone afterwards."""
+    spark = prepare(df.sparkSession)
+    name = f"rollcall_{uuid.uuid4().hex}"
+    df.write.bucketBy(buckets, key).option("path", f"{spark.sparkContext.getCheckpointDir()}/{name}").saveAsTable(name)
     try:
-        return saved(df.repartition(partitions, key))
+        return spark.table(name)
     finally:
-        conf.set(name, before)
+        spark.sql(f"drop table {name}")
 
 
 def release(spark: SparkSession) -> None:

@@ -37,7 +37,7 @@ LENGTH, GRAM = 50, 16
 REACH = LENGTH - GRAM
 #: Bytes of text of a part and of a bucket, about; documents sampled for splitters at least,
 #: and more of them for each range.
-PART_BYTES, BUCKET_BYTES, SAMPLE, SAMPLE_RANGE = 16 << 20, 8 << 20, 2000, 3
+PART_BYTES, BUCKET_BYTES, SAMPLE, SAMPLE_RANGE = 8 << 20, 8 << 20, 2000, 3
 #: Times the suffixes of a bucket that parts may send of one leading string before its windows
 #: are dealt by themselves.
 HOT = 1.0
@@ -436,8 +436,8 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     strings, and far fewer while parts are few. A leading string counts as too hot for a bucket
     if more parts hold it than ``hot`` times the suffixes of a bucket.
 
-    Texts are shuffled once; the parts are saved and read again by the three steps that need
-    them, where they lie.
+    Texts are not shuffled: parts are saved by the tasks that read them, in buckets, and read
+    again by the three steps that need them, where they lie.
     """
     prepare(df.sparkSession)
     text = filled(F.col(text_col).cast("string"))
@@ -446,7 +446,11 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     parts, buckets = max(1, -(-size.bytes // part_bytes)), max(1, -(-size.bytes // bucket_bytes))
     splitters = _splitters(rows, buckets, max(1, size.n // (SAMPLE + SAMPLE_RANGE * buckets)))
     most = max(2, int(hot * 2 * size.bytes / (REACH + 2) / buckets))  # two anchors in REACH + 2 bytes
-    dealt = F.pmod(F.xxhash64("doc", "body", F.monotonically_increasing_id()), F.lit(parts))  # rows that repeat are spread
+    # rows are parts as they come: so many neighbours of a task, long texts by themselves
+    place = F.monotonically_increasing_id()
+    task, at = F.shiftright(place, 33), place.bitwiseAND((1 << 33) - 1)
+    many = max(1, size.n * part_bytes // max(1, size.bytes))
+    dealt = F.when(F.length("raw") * 4 > part_bytes, place + F.lit(1 << 61)).otherwise(F.shiftleft(task, 33) + F.floor(at / many))
     rows = placed(rows.withColumn("part", dealt), "part", max(parts, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     grams = rows.groupBy("part").applyInArrow(_send_grams(splitters), _ddl(_GRAMS))
     ties = grams.groupBy("bucket").applyInArrow(_find_ties(most), _ddl(_TIES))
