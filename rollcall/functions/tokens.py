@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -35,3 +35,20 @@ def bigrams(words: Column) -> Column:
     pairs = F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))),
                        lambda a, b: F.when(a != b, F.concat_ws(" ", a, b)))
     return F.filter(pairs, lambda p: p.isNotNull())
+
+
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once: a lambda's argument, unlike an expression
+    that is put in its place, is not evaluated again for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def counted(words: Column) -> Column:
+    """(term, n) of each distinct word of an array, counted inside the row: equal words stand
+    together once sorted, so a count is the way to where the next word begins."""
+
+    def runs(w: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: (i == 0) | (F.get(w, i) != F.get(w, i - 1)))
+        return _bound(starts, lambda s: F.transform(s, lambda a, k: F.struct(F.get(w, a).alias("term"), (F.coalesce(F.get(s, k + 1), F.size(w)) - a).cast("long").alias("n"))))
+
+    return _bound(F.array_sort(words), lambda w: F.when(F.size(w) > 0, runs(w)).otherwise(F.expr("cast(array() as array<struct<term: string, n: bigint>>)")))
