@@ -198,9 +198,13 @@ def first_of_each_group(df: DataFrame) -> DataFrame:
     """The rows of ``documents`` that stay, one of each group of near copies: the smallest
     doc_id (rows without one come last), then the smallest hash of the text; of rows that are
     alike in both, one. All columns are returned as they are; an empty table stays empty."""
-    ident = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
-    parts = near_copies(df).withColumn("doc_id", ident)
-    stay = parts.groupBy("part").agg(F.min(F.struct("doc_id", "body")).alias("x")).select(F.col("x.doc_id").alias("_id"), F.col("x.body").alias("_body"))
+    key, ident = ["_id", "_body"], F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
+    parts = saved(near_copies(df).select(F.col("part"), ident.alias("_id"), F.col("body").alias("_body")))
+    stay = parts.groupBy("part").agg(F.min(F.struct(*key)).alias("x")).select("x.*", F.lit(True).alias("stays"))
+    judged = parts.groupBy(*key).agg(F.count("*").alias("n")).join(stay, key, "left")
+    # only keys meet: those that go, and those that several rows share, of which one stays
+    gone = saved(judged.where("stays is null or n > 1").select(*key, F.coalesce("stays", F.lit(False)).alias("again")))
     row = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")
-    one = df.select(row, ident.alias("_id"), F.xxhash64(filled(F.col("text").cast("string"))).alias("_body")).dropDuplicates(["_id", "_body"])
-    return one.join(stay, ["_id", "_body"], "left_semi").select("row.*")
+    rows = df.select(row, ident.alias("_id"), F.xxhash64(filled(F.col("text").cast("string"))).alias("_body"))
+    out, again = rows.join(gone.select(*key), key, "left_anti").select("row.*"), gone.where("again").select(*key)
+    return out if again.isEmpty() else out.union(rows.join(again, key, "left_semi").dropDuplicates(key).select("row.*"))
