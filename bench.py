@@ -10,7 +10,8 @@ from rollcall.plans.all import QUERIES
 from rollcall.session import session
 
 HEADLINE = ("j01_spine", "a01_membership_summary", "a04_distribution", "a07_gini", "a10_cohort_survival", "a17_fractional", "j07_self_join", "j14_related", "w03_running_top5",
-            "g04_session_links", "t03_term_frequencies", "t07_co_occurrence", "t16_tf_idf_top3", "t12_rule_coding", "x03_spearman", "x07_kaplan_meier", "q06_report", "stream_sessions")
+            "g04_session_links", "t03_term_frequencies", "t07_co_occurrence", "t16_tf_idf_top3", "t12_rule_coding", "x03_spearman", "x07_kaplan_meier", "q06_report", "stream_sessions",
+            "q05_json_schema", "j08_interval_without_key", "j12_fuzzy_best_match", "t03_stem_frequencies", "t18_close_documents", "x05_permutation", "x06_bootstrap")
 
 
 def main() -> None:
