@@ -15,7 +15,13 @@ Equal sets are one node. A bucket of a band yields a forest of likely links from
 and bytes alone; components of these are gathered with their sets, each node once, and
 searched breadth first, so that a family of copies yields a forest, never all its pairs.
 Components of more than LIMIT shingles are searched bucket by bucket instead, each pair in
-the first band that it shares. A bucket is held by one task.
+the first band that it shares.
+
+No task holds more of a bucket than MOST nodes (with sets, LIMIT shingles). A larger bucket
+is dealt into blocks by hash, with one node of it in each; what links there gives components
+for the time being. A pair inside the bucket's largest one needs no link any more. Every other
+node meets the whole bucket, block by block, so no link is lost, and a family of copies, which
+is one component at once, costs what it would in a single task.
 """
 
 from __future__ import annotations
@@ -32,7 +38,7 @@ from rollcall.llm.common import filled, id_text, prepare, release, saved
 from rollcall.llm.graph import components
 from rollcall.llm.simhash import BITS_OF, BYTE_AT, pivots
 
-WORDS, BANDS, MINIMA, LIKELY, LIMIT, RADIUS = 5, 32, 128, 80, 1 << 22, 26
+WORDS, BANDS, MINIMA, LIKELY, LIMIT, MOST, RADIUS = 5, 32, 128, 80, 1 << 22, 1 << 14, 26
 CHUNK = 1 << 11
 LAST = (1 << 63) - 1
 _R = np.random.default_rng(20240229)
@@ -103,7 +109,7 @@ def _edges(rows: list[tuple], band: int) -> list[tuple[int, int]]:
 
 
 def _links(grouped: DataFrame) -> DataFrame:
-    """(src, dst) from rows (band, part, node, n, fp, sketch[, hashes])."""
+    """(src, dst) from rows (band, part, cell, node, n, fp, sketch[, hashes])."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
@@ -112,19 +118,53 @@ def _links(grouped: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], ["src", "dst"])
 
         for b in batches:
-            for band, part, *row in zip(*(c.to_pylist() for c in b.columns)):
-                if (band, part) != now:
+            for *at, node, n, fp, sketch, hashes in zip(*(c.to_pylist() for c in b.columns)):
+                if at != now:
                     if len(held) > 1:
                         yield out(_edges(held, now[0]))
-                    now, held = (band, part), []
-                held.append(tuple(row))
+                    now, held = at, []
+                held.append((node, n, fp, sketch) if hashes is None else (node, n, fp, sketch, hashes))
         if len(held) > 1:
             yield out(_edges(held, now[0]))
 
-    at = grouped.repartition("band", "part").sortWithinPartitions("band", "part")
+    cell = ("band", "part", "cell")
+    hashes = "hashes" if "hashes" in grouped.columns else F.lit(None).cast("binary").alias("hashes")
+    at = grouped.select(*cell, "node", "n", "fp", "sketch", hashes).repartition(*cell).sortWithinPartitions(*cell)
     return at.mapInArrow(run, "src long, dst long").where("src <> dst").distinct()
 
 
+def _linked(rows: DataFrame, sizes: DataFrame, most: int) -> DataFrame:
+    """(src, dst): links that join what is linked inside each bucket (band, part) of ``rows``.
+
+    ``sizes(band, part, lead, weight)`` lists the buckets that weigh more than ``most``, with
+    one node of each. Only those are cut: first into blocks, then whatever lies outside the
+    bucket's largest component so far against all of it, a cell for each pair of blocks.
+    """
+    bucket, whole = ["band", "part"], F.lit("").alias("cell")
+    sizes = saved(sizes)
+    if sizes.isEmpty():
+        return _links(rows.select("*", whole))
+    many = F.ceil(F.col("weight") / most).cast("int")
+    hot = rows.join(sizes.select(*bucket, "lead", many.alias("many")), bucket).withColumn("block", F.pmod(F.xxhash64("node"), F.col("many")).cast("int"))
+    everywhere = F.explode(F.sequence(F.lit(0), F.col("many") - 1))
+    dealt = hot.where("node <> lead").unionByName(hot.where("node = lead").withColumn("block", everywhere))
+    first = rows.join(sizes.select(*bucket), bucket, "left_anti").select("*", whole)
+    links = saved(_links(first.unionByName(dealt.select(*rows.columns, F.col("block").cast("string").alias("cell")))))
+    known = components(links).select("node", F.col("label").alias("own"))
+    tagged = hot.join(known, "node", "left").withColumn("own", F.coalesce("own", "node"))
+    main = tagged.groupBy(*bucket, "own").agg(F.count("*").alias("held")).groupBy(*bucket).agg(F.max_by("own", F.struct("held", "own")).alias("main"))
+    rest = saved(tagged.join(main, bucket).where("own <> main").select(*bucket, "node", "many"))
+    # as many blocks of the rest as its share of the bucket
+    parts = rest.groupBy(*bucket).agg(F.count("*").alias("left")).join(hot.groupBy(*bucket).agg(F.count("*").alias("held"), F.first("many").alias("many")), bucket)
+    parts = saved(parts.select(*bucket, F.ceil(F.col("left") * F.col("many") / F.col("held")).cast("int").alias("parts")))
+    i, j = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("i"), everywhere.alias("block")
+    cell = F.concat_ws(":", "i", "block").alias("cell")
+    some = hot.join(parts, bucket).join(rest.select(*bucket, "node"), [*bucket, "node"]).select(*rows.columns, "many", F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts")).cast("int").alias("i"))
+    every = hot.join(parts, bucket).select(*rows.columns, "block", i)
+    met = some.select(*rows.columns, "i", j).select(*rows.columns, cell).unionByName(every.select(*rows.columns, cell))
+    return links.unionByName(_links(met.dropDuplicates([*bucket, "cell", "node"]))).distinct()
+
+
 def _signed(df: DataFrame) -> DataFrame:
     """(doc_id, body, node, n, fp, sketch): ``body`` hashes the text, ``node`` its set."""
 
@@ -169,27 +209,31 @@ def _sets(df: DataFrame, rows: DataFrame, wanted: DataFrame) -> DataFrame:
     return found.select("node", "text").mapInArrow(run, "node long, hashes binary").groupBy("node").agg(F.first("hashes").alias("hashes"))
 
 
-def near_copies(df: DataFrame, limit: int = LIMIT) -> DataFrame:
+def near_copies(df: DataFrame, limit: int = LIMIT, most: int = MOST, room: int = LIMIT) -> DataFrame:
     """(doc_id, body, part): one row per input row; rows of one part are linked near copies.
 
     Null or wordless texts have the empty set and are one part. An empty table gives an empty
-    result. Columns but ``doc_id`` and ``text`` are not read.
+    result. Columns but ``doc_id`` and ``text`` are not read. A task holds a component of
+    at most ``limit`` shingles, and of a bucket blocks of ``most`` nodes or, with sets, ``room``
+    shingles; the result is the same for any.
     """
     rows = saved(_signed(df))
     nodes = saved(rows.select("node", "n", "fp", "sketch").dropDuplicates(["node"]))
     keys = _keys(nodes)
-    shared = keys.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key")
-    member = saved(keys.join(shared, "key"))
+    shared = saved(keys.groupBy("key").agg(F.min("node").alias("lead"), F.max("node").alias("high"), F.count("*").alias("weight")).where("lead < high").drop("high"))
+    member = saved(keys.join(shared.select("key"), "key"))
     release(df.sparkSession)
-    likely = _links(member.join(nodes, "node").select(F.shiftright("key", 32).cast("int").alias("band"), F.col("key").alias("part"), "node", "n", "fp", "sketch"))
+    bucket = [F.shiftright("key", 32).cast("int").alias("band"), F.col("key").alias("part")]
+    likely = _linked(member.join(nodes, "node").select(*bucket, "node", "n", "fp", "sketch"), shared.where(F.col("weight") > most).select(*bucket, "lead", "weight"), most)
     near = components(likely).join(nodes, "node")
     size = near.groupBy("label").agg((F.sum("n") > limit).alias("large"))
     near = saved(near.join(size, "label"))
     small = near.where("not large").select(F.lit(-1).alias("band"), F.col("label").alias("part"), "node", "n", "fp", "sketch")
-    large = near.where("large").join(member, "node").select(F.shiftright("key", 32).cast("int").alias("band"), F.col("key").alias("part"), "node", "n", "fp", "sketch")
+    large = near.where("large").join(member, "node").select(*bucket, "node", "n", "fp", "sketch")
+    heavy = large.groupBy("band", "part").agg(F.min("node").alias("lead"), F.sum("n").alias("weight")).where(F.col("weight") > room)
     sets = saved(_sets(df, rows, near))
     release(df.sparkSession)
-    label = components(_links(small.unionByName(large).join(sets, "node").select("band", "part", "node", "n", "fp", "sketch", "hashes")))
+    label = components(_linked(small.unionByName(large).join(sets, "node").select("band", "part", "node", "n", "fp", "sketch", "hashes"), heavy, room))
     parts = rows.join(label, "node", "left")
     return parts.select("doc_id", "body", F.coalesce("label", "node").alias("part"))
 

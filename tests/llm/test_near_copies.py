@@ -48,14 +48,35 @@ def test_stage_catches_every_planted_near_copy(spark):
     assert kept == set(want)
 
 
-@pytest.mark.parametrize("limit", [nearcopies.LIMIT, 0])
-def test_groups_equal_all_pairs(spark, limit):
+@pytest.mark.parametrize("limit,most,room", [(nearcopies.LIMIT, nearcopies.MOST, nearcopies.LIMIT), (0, nearcopies.MOST, nearcopies.LIMIT), (0, 3, 900)])
+def test_groups_equal_all_pairs(spark, limit, most, room):
     texts = planted()
-    got = {r.doc_id: r.part for r in nearcopies.near_copies(frame(spark, list(enumerate(texts))), limit).collect()}
+    got = {r.doc_id: r.part for r in nearcopies.near_copies(frame(spark, list(enumerate(texts))), limit, most, room).collect()}
     want = brute(texts)
     assert len({(got[i], want[i]) for i in range(len(texts))}) == len(set(want)) == len(set(got.values()))
 
 
+def test_no_cell_holds_a_whole_bucket(spark, monkeypatch):
+    """One family of 400 texts and blocks of 50: cells stay near two blocks, the parts right."""
+    r = random.Random(3)
+    base = [f"w{i}" for i in range(300)]
+    texts = []
+    for k in range(400):
+        copy = list(base)
+        for _ in range(3):
+            copy[r.randrange(len(copy))] = f"x{k}-{r.randrange(999)}"
+        texts.append(" ".join(copy))
+    held, plain = [], nearcopies._links
+
+    def watched(grouped):
+        held.append(grouped.where("band >= 0").groupBy("band", "part", "cell").count().agg({"count": "max"}).first()[0] or 0)
+        return plain(grouped)
+
+    monkeypatch.setattr(nearcopies, "_links", watched)
+    parts = {x.part for x in nearcopies.near_copies(frame(spark, list(enumerate(texts))), most=50).collect()}
+    assert len(parts) == 1 and 50 < max(held) <= 150
+
+
 def test_odd_rows(spark):
     a = " ".join(f"w{i}" for i in range(100))
     rows = [(1, a), (1, a), (2, a + " end"), (2, "another text of some words"), (None, a), (None, "only here"), (None, "only here"), (3, None), (4, "")]
