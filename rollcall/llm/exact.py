@@ -27,7 +27,7 @@ from itertools import accumulate
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rollcall.llm.common import filled, id_text, prepare
+from rollcall.llm.common import filled, id_text, prepare, saved
 
 CAPACITY, MOST = 1 << 14, 1 << 13
 #: Levels of splits that one count settles.
@@ -138,8 +138,11 @@ def build_index(rows: DataFrame, capacity: int = CAPACITY, bits: int = 64) -> tu
         return {r.p & (1 << depth) - 1: (r.n, r.same) for r in by.agg(F.count("*").alias("n"), (F.min("key") == F.max("key")).alias("same")).collect()}
 
     directory = grown(count, max(capacity, entries.count() // MOST))
-    chains = entries.groupBy("key").agg(F.count("*").alias("chain")).where("chain > 1")
-    each = entries.join(chains, "key", "left").select("key", F.coalesce("chain", F.lit(1)).alias("chain"), F.when(F.col("chain").isNotNull(), F.col("norm")).alias("norm"), "sha", "size", "best")
+    chains = saved(entries.groupBy("key").agg(F.count("*").alias("chain")).where("chain > 1"))
+    alone = entries.select("key", F.lit(1).cast("long").alias("chain"), F.lit(None).cast("string").alias("norm"), "sha", "size", "best")
+    each = alone
+    if not chains.isEmpty():  # only then are texts read again, to stand in their chains
+        each = alone.join(chains.select("key"), "key", "left_anti").unionByName(entries.join(chains, "key"))
     owned = each.withColumn("bucket", directory.lookup(F.col("key"))).repartitionByRange("bucket", "key").sortWithinPartitions("bucket", "key", "sha")
     owned.write.partitionBy("bucket").parquet(f"{root}/index")
     return spark.read.schema(f"{_ENTRY}, bucket int").parquet(f"{root}/index"), directory
