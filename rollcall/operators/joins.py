@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from difflib import SequenceMatcher
+from functools import reduce
+from itertools import combinations
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -149,6 +151,61 @@ def candidates(aliases: DataFrame, targets: DataFrame, block: str, alias: str, t
     return out.where(F.col("rank") <= n)
 
 
+def _first(df: DataFrame, keys: Sequence[str], by: str, n: int) -> DataFrame:
+    """The first n rows of a key; each task keeps no more of it before the shuffle."""
+    return df.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(by))).where(F.col("_r") <= n).drop("_r")
+
+
+def rule_pairs(aliases: DataFrame, targets: DataFrame, block: str, alias: str, target: str, same: Mapping[tuple[str, str], int], near: tuple[str, str, float, int], n: int = 5, levels: int = 10) -> DataFrame:
+    """The pairs among which ``rule_candidates`` finds the best n of an alias, with scores.
+
+    A target that is among the best is also, of those that meet the same rules at least, among
+    the first n by id: whatever comes before it there scores as much or more. So each set of
+    rules asks for n + 1 targets by id (one more shows a shared score), never for all. Equal
+    columns are a key. The band is cut into cells, 2^levels to a width; dyadic bins of cells keep
+    their first n + 1 targets, and an alias looks into the bins that cover the cells wholly
+    within its band. Cells at the rim are looked through by distinct value and checked.
+    """
+    a_col, t_col, width, points = near
+    reach, keep = 1 << levels, n + 1
+    cell = lambda c: F.floor(F.col(c) / F.lit(width / reach)).cast("long")
+    close = F.abs(F.col(a_col) - F.col(t_col)) < width
+    a_all, t_all = aliases.where(F.col(block).isNotNull()), targets.where(F.col(block).isNotNull())
+    columns = [*aliases.columns, *[c for c in targets.columns if c != block]]
+    found = []
+    for size in range(len(same) + 1):
+        for chosen in combinations(same, size):
+            key = lambda df, side: df.dropna(subset=[c[side] for c in chosen] or [block]).withColumn("_k", F.struct(F.col(block).alias("b"), *[F.col(c[side]).alias(f"c{i}") for i, c in enumerate(chosen)]))  # noqa: E731, B023
+            a, t = key(a_all, 0), key(t_all, 1).drop(block)
+            if chosen:
+                found.append(a.join(_first(t, ["_k"], target, keep), "_k").select(*columns))
+            a, t = (x.where(F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))).withColumn("_u", cell(c)) for x, c in ((a, a_col), (t, t_col)))
+            at = F.explode(F.sequence(F.lit(0), F.lit(levels + 1)))
+            bins = _first(t.withColumn("_level", at).withColumn("_bin", F.expr("shiftright(_u, _level)")), ["_k", "_level", "_bin"], target, keep).drop("_u")
+            asked = a.withColumn("_c", F.explode(_cover(F.col("_u") - (reach - 2), F.col("_u") + (reach - 2), levels + 1)))
+            asked = asked.withColumns({"_level": F.col("_c.level"), "_bin": F.col("_c.bin")})
+            found.append(asked.join(bins, ["_k", "_level", "_bin"]).select(*columns))
+            rim = F.explode(F.array(*[F.col("_u") + side * (reach + d) for side in (-1, 1) for d in (-1, 0, 1)]))
+            values = _first(t, ["_k", "_u", t_col], target, keep)
+            found.append(a.withColumn("_u", rim).join(values, ["_k", "_u"]).where(close).select(*columns))
+    score = sum((F.when(F.col(x) == F.col(y), p).otherwise(0) for (x, y), p in same.items()), F.when(close, points).otherwise(0))
+    return reduce(DataFrame.unionByName, found).dropDuplicates([alias, target]).withColumn("score", score)
+
+
+def rule_candidates(aliases: DataFrame, targets: DataFrame, block: str, alias: str, target: str, same: Mapping[tuple[str, str], int], near: tuple[str, str, float, int], n: int = 5, levels: int = 10) -> DataFrame:
+    """The rows that ``candidates`` gives where the score adds positive points of rules, without
+    the pairs of a block: what is looked at for an alias does not grow with its block.
+
+    ``same`` maps pairs of columns (alias', target's) to the points for equal values, ``near``
+    is (alias' number, target's, width, points) for a difference under the width. Ids are
+    unique a side, and only ``block`` is a column of both. Nulls and NaN meet no rule.
+    """
+    pairs = rule_pairs(aliases, targets, block, alias, target, same, near, n, levels)
+    w = Window.partitionBy(alias).orderBy(F.col("score").desc(), F.col(target))
+    out = pairs.withColumn("rank", F.row_number().over(w)).withColumn("ambiguous", F.count("*").over(Window.partitionBy(alias, "score")) > 1)
+    return out.where(F.col("rank") <= n)
+
+
 def related(features: DataFrame, item: str, feature: str, weight: str, k: int) -> DataFrame:
     """Top k others by summed weight of shared features, through the features, not all pairs.
 

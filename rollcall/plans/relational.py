@@ -228,8 +228,7 @@ def j13_candidates(d):
     c = d.customer
     a = c.where("c_custkey % 10 = 0").selectExpr("c_custkey as alias", "c_nationkey as block", "c_mktsegment as seg", "c_acctbal as bal")
     t = c.where("c_custkey % 10 <> 0").selectExpr("c_custkey as target", "c_nationkey as block", "c_mktsegment as tseg", "c_acctbal as tbal")
-    score = F.when(F.col("seg") == F.col("tseg"), 60).otherwise(0) + F.when(F.abs(F.col("bal") - F.col("tbal")) < 500, 30).otherwise(0)
-    return joins.candidates(a, t, "block", "alias", "target", score).select("alias", "target", "score", "rank", "ambiguous")
+    return joins.rule_candidates(a, t, "block", "alias", "target", {("seg", "tseg"): 60}, ("bal", "tbal", 500.0, 30)).select("alias", "target", "score", "rank", "ambiguous")
 
 
 @query("""with f as (select distinct l_suppkey as item, l_partkey as feature, 1 + l_partkey % 3 as w from lineitem),
