@@ -36,3 +36,18 @@ def test_tasks_follow_the_number_of_pairs(spark, monkeypatch):
     each = got.withColumn("t", F.spark_partition_id()).groupBy("t").count().collect()
     assert len(each) >= 12 and max(x["count"] for x in each) < 150  # 1200 pairs over 24 tasks
     assert {(x.a, x.b): x.weight for x in got.collect()} == brute(rows)
+
+
+def test_betweenness_of_a_dense_graph_is_quick(spark):
+    import time
+
+    import numpy as np
+
+    n = 200
+    first = np.arange(0, n * (n - 1) + 1, n - 1)
+    target = np.concatenate([np.delete(np.arange(n), v) for v in range(n)])
+    start = time.perf_counter()
+    assert all(not graph._dependencies(s, n, first, target).any() for s in range(20))  # no one stands between
+    assert time.perf_counter() - start < 5
+    line = np.array([1, 0, 2, 1, 3, 2])
+    assert graph._dependencies(0, 4, np.array([0, 1, 3, 5, 6]), line).tolist() == [0, 2, 1, 0]
