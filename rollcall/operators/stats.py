@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -271,6 +272,41 @@ def overlap_permutation(df: DataFrame, person: str, series: str, a: str, b: str,
                                                  F.when(F.count("*") > 0, (low + 1) / F.lit(times + 1.0)).alias("p_lower"))  # seen is one row
 
 
+def spread(df: DataFrame, cost: int, least: int = 50_000_000) -> DataFrame:
+    """Rows of ``cost`` each, dealt by all columns to as many tasks as that makes, of ``least``
+    or more: adaptive execution would put what is small but much work into one."""
+    df = saved(df)
+    many = -(-df.count() * max(1, cost) // least)
+    return df.repartition(min(10_000, max(1, many)), *df.columns)
+
+
+@cache
+def _poisson_table(mean: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Cumulative probabilities, and for each 16 leading bits of a uniform number the value, or
+    -1 where the bits that follow decide."""
+    k = np.arange(mean + 20 + int(20 * mean**0.5))
+    log = np.array([i * math.log(mean) - mean - math.lgamma(i + 1) for i in k.tolist()])
+    upto = np.cumsum(np.exp(log))
+    at = np.searchsorted(upto, np.arange((1 << 16) + 1) / (1 << 16), side="right")
+    clear = at[:-1] == np.searchsorted(upto, np.arange(1, (1 << 16) + 1) / (1 << 16), side="left")
+    return upto, np.where(clear, at[:-1], -1).astype(np.int16), k
+
+
+def poisson(bits: np.random.BitGenerator, mean: int, times: int) -> np.ndarray:
+    """``times`` Poisson draws. For a small mean the cumulative probabilities are inverted: 16
+    bits decide nearly always, else 53 more do; NumPy draws those of a large one."""
+    if mean > 64:
+        return np.random.Generator(bits).poisson(float(mean), times).astype(np.float64)
+    upto, value, k = _poisson_table(mean)
+    lead = bits.random_raw(-(-times // 4)).view(np.uint16)[:times]
+    out = value.take(lead)
+    open_ = np.flatnonzero(out < 0)
+    if len(open_):
+        u = (lead[open_] + np.random.Generator(bits).random(len(open_))) / (1 << 16)
+        out[open_] = k[np.minimum(np.searchsorted(upto, u, side="right"), len(k) - 1)]
+    return out.astype(np.float64)
+
+
 def bootstrap_sums(df: DataFrame, group: str, value: str, times: int, seed: int = 1) -> DataFrame:
     """(g, replicate, w, s): weights and weighted sums of a Poisson bootstrap, by group.
 
@@ -283,9 +319,12 @@ def bootstrap_sums(df: DataFrame, group: str, value: str, times: int, seed: int
     rows = df.where(F.col(value).isNotNull() & F.col(group).isNotNull()).select(F.col(group).alias("g"), F.col(value).cast("double").alias("v"))
     each = rows.groupBy("g", "v").agg(F.count("*").alias("n")).select("g", "v", "n", F.xxhash64("g", "v").alias("k"))
     many = 256  # groups whose sums a worker keeps at once
+    tasks = spread(each, times)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[object, np.ndarray] = {}
+        bits = np.random.Philox(key=[seed, 0])
+        fresh = bits.state
 
         def out() -> pd.DataFrame:
             made = pd.DataFrame({"g": np.repeat(np.array(list(sums), object), times), "replicate": np.tile(np.arange(times), len(sums)),
@@ -295,7 +334,9 @@ def bootstrap_sums(df: DataFrame, group: str, value: str, times: int, seed: int
 
         for part in parts:
             for g, v, n, k in part.itertuples(index=False):
-                w = np.random.Generator(np.random.Philox(key=[seed, k & 0xFFFFFFFFFFFFFFFF])).poisson(float(n), times)
+                fresh["state"]["key"][1] = k & 0xFFFFFFFFFFFFFFFF
+                bits.state = fresh  # as a new generator with this key, which takes longer to make
+                w = poisson(bits, int(n), times)
                 if g not in sums and len(sums) == many:
                     yield out()
                 held = sums.setdefault(g, np.zeros((2, times)))
@@ -305,7 +346,7 @@ def bootstrap_sums(df: DataFrame, group: str, value: str, times: int, seed: int
             yield out()
 
     kind = df.schema[group].dataType.simpleString()
-    return each.mapInPandas(run, f"g {kind}, replicate int, w double, s double").groupBy("g", "replicate").agg(F.sum("w").alias("w"), F.sum("s").alias("s")).where("w > 0")
+    return tasks.mapInPandas(run, f"g {kind}, replicate int, w double, s double").groupBy("g", "replicate").agg(F.sum("w").alias("w"), F.sum("s").alias("s")).where("w > 0")
 
 
 def bootstrap_mean(df: DataFrame, group: str, value: str, times: int = 10_000, seed: int = 1) -> DataFrame:

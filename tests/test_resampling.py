@@ -72,3 +72,20 @@ def test_fisher_equals_all_tables(table):
 
 def test_fisher_of_a_large_table_is_quick():
     assert stats.fisher_exact(10**9, 10**9 + 50_000, 10**9 + 20_000, 10**9) == pytest.approx(0.2684, abs=2e-3)
+
+
+@pytest.mark.parametrize("mean", [1, 3, 60, 200])
+def test_poisson_draws_follow_the_law(mean):
+    n = 200_000
+    got = np.bincount(stats.poisson(np.random.Philox(key=np.array([3, 2**64 - 5], np.uint64)), mean, n).astype(int), minlength=mean * 3)
+    want = [n * math.exp(k * math.log(mean) - mean - math.lgamma(k + 1)) for k in range(len(got))]
+    cells = [k for k, e in enumerate(want) if e >= 8]
+    chi2 = sum((got[k] - want[k]) ** 2 / want[k] for k in cells)
+    assert got.sum() == n and stats.gamma_tail((len(cells) - 1) / 2, chi2 / 2) > 1e-4
+
+
+def test_much_work_on_few_rows_is_dealt(spark):
+    df = spark.range(400).withColumn("v", F.col("id") * 0.5)
+    dealt = stats.spread(df, 10, 100)
+    assert len({r.p for r in dealt.select(F.spark_partition_id().alias("p")).distinct().collect()}) > 20
+    assert dealt.count() == 400
