@@ -264,7 +264,8 @@ def overlap_permutation(df: DataFrame, person: str, series: str, a: str, b: str,
         return pd.DataFrame({"replicate": np.arange(times), "overlap": out})
 
     ways = _paths(each, halvings).select(*[F.col(c).alias(c) for c in ("bucket", "level", "node", "here", "left")])
-    null = each.select("bucket", "k").groupBy("bucket").cogroup(ways.groupBy("bucket")).applyInPandas(run, "replicate int, overlap long").groupBy("replicate").agg(F.sum("overlap").alias("overlap"))
+    many = 1 << min(halvings, 13)  # a bucket is much work for few rows: each to a task, never merged
+    null = each.select("bucket", "k").repartition(many, "bucket").groupBy("bucket").cogroup(ways.repartition(many, "bucket").groupBy("bucket")).applyInPandas(run, "replicate int, overlap long").groupBy("replicate").agg(F.sum("overlap").alias("overlap"))
     seen = each.agg(F.count(F.when((F.col("a") > 0) & (F.col("a") < F.col("k")), 1)).alias("observed"))
     low = F.count(F.when(F.col("overlap") <= F.col("observed"), 1))
     mean, sd = F.avg("overlap"), F.stddev_samp("overlap")
