@@ -5,7 +5,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from rollcall.operators import graph
+from rollcall.operators import graph, joins
+from rollcall.plans.all import QUERIES
+from tests.conftest import SMALL
 
 
 def brute(rows):
@@ -51,3 +53,26 @@ def test_betweenness_of_a_dense_graph_is_quick(spark):
     assert time.perf_counter() - start < 5
     line = np.array([1, 0, 2, 1, 3, 2])
     assert graph._dependencies(0, 4, np.array([0, 1, 3, 5, 6]), line).tolist() == [0, 2, 1, 0]
+
+
+def test_related_items_by_tasks(spark, monkeypatch):
+    monkeypatch.setattr(joins, "TASK_SUMS", 40)
+    r = random.Random(6)
+    rows = list({(r.randrange(30), f, 1 + f % 3) for f in [0] * 25 + [r.randrange(20) for _ in range(150)]})
+    got = {(x.item, x.other, x.score, x["rank"]) for x in joins.related(spark.createDataFrame(rows, "item int, feature int, w int"), "item", "feature", "w", 4).collect()}
+    score = {}
+    for a, f, w in rows:
+        for b, g, _ in rows:
+            if f == g and a != b:
+                score[a, b] = score.get((a, b), 0) + w
+    want = {(a, -s, b) for (a, b), s in score.items()}
+    assert got == {(a, b, -s, i + 1) for a in range(30) for i, (_, s, b) in enumerate(sorted(x for x in want if x[0] == a)[:4])}
+
+
+@pytest.mark.parametrize("name", ["f01_nfkc", "s02_html_text"])
+def test_texts_go_to_python_in_small_batches(spark, name):
+    sizes = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch")
+    for x in sizes:
+        spark.conf.unset(x)
+    QUERIES[name](spark, SMALL)
+    assert [spark.conf.get(x) for x in sizes] == ["512", "8m"]
