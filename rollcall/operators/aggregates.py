@@ -112,14 +112,25 @@ def in_scopes(df: DataFrame, scopes: dict[str, Column]) -> DataFrame:
     return df.withColumn("scope", F.explode(F.array_compact(F.array(*[F.when(c, k) for k, c in scopes.items()]))))
 
 
+#: Rows that a task of ``fractional`` holds.
+TASK_ROWS = 1_000_000
+
+
 def fractional(df: DataFrame, item: str, author: str, org: str, group: Sequence[str] = ()) -> DataFrame:
     """Simple and fractional counts by organisation: an item gives 1 / (authors x the author's
-    organisations) to each (author, organisation); the fractions of an item add up to 1."""
-    rows = df.select(item, author, org, *group).distinct()
-    authors = rows.groupBy(item).agg(F.countDistinct(author).alias("_k"))
-    orgs = rows.groupBy(item, author).agg(F.count("*").alias("_m"))
-    joined = rows.join(orgs, [item, author]).join(authors, item)
-    return joined.groupBy(org, *group).agg(F.countDistinct(item).alias("simple_count"), F.round(F.sum(1.0 / (F.col("_k") * F.col("_m"))), 4).alias("fractional_count"))
+    organisations) to each (author, organisation); the fractions of an item add up to 1.
+
+    Rows of an item are brought together once, over as many tasks as the rows ask for, and are
+    counted there, so what a task holds does not grow with the table; after that only sums by
+    organisation move. Rows without an item or an author count for nothing.
+    """
+    given = df.where(F.col(item).isNotNull() & F.col(author).isNotNull()).select(item, author, org, *group)
+    rows = given.repartition(max(8, -(-given.count() // TASK_ROWS)), item).distinct()
+    one = F.row_number().over(Window.partitionBy(item, author).orderBy(org, *group)) == 1
+    counted = rows.withColumn("_one", F.when(one, 1).otherwise(0)).withColumn("_m", F.count("*").over(Window.partitionBy(item, author)))
+    counted = counted.withColumn("_k", F.sum("_one").over(Window.partitionBy(item)))
+    each = counted.groupBy(item, org, *group).agg(F.sum(1.0 / (F.col("_k") * F.col("_m"))).alias("_f"))
+    return each.groupBy(org, *group).agg(F.count("*").alias("simple_count"), F.round(F.sum("_f"), 4).alias("fractional_count"))
 
 
 def listed(order: Sequence[str], value: str, sep: str) -> Column:

@@ -279,3 +279,12 @@ def test_pdf_is_optional(spark, tmp_path):
     (tmp_path / "a.pdf").write_bytes(b"no pdf")
     files = spark.read.format("binaryFile").load(str(tmp_path))
     assert [r.text for r in sources.pdf_text(files).collect()] == [None]
+
+
+def test_fractions_of_an_item_need_one_shuffle(spark):
+    """Authors, their organisations and the item are counted where its rows are; nulls and repeats as by joins."""
+    rows = [(1, "a", "x"), (1, "a", "x"), (1, "b", "y"), (1, "b", None), (2, "c", "x"), (None, "c", "x"), (3, None, "x")]
+    out = aggregates.fractional(spark.createDataFrame(rows, "item int, author string, org string"), "item", "author", "org")
+    assert {(r.org, r.simple_count, r.fractional_count) for r in out.collect()} == {("x", 2, 1.5), ("y", 1, 0.25), (None, 1, 0.25)}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
