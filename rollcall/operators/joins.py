@@ -153,6 +153,15 @@ def candidates(aliases: DataFrame, targets: DataFrame, block: str, alias: str, t
     return out.where(F.col("rank") <= n)
 
 
+#: Rows of a side that a task of ``rule_pairs`` cuts into bins.
+TASK_TARGETS = 50_000
+
+
+def _dealt(df: DataFrame, by: str) -> DataFrame:
+    """The rows over as many tasks as they ask for: a small file of many rows is one task."""
+    return df.repartition(max(1, -(-df.count() // TASK_TARGETS)), by)
+
+
 def _first(df: DataFrame, keys: Sequence[str], by: str, n: int) -> DataFrame:
     """The first n rows of a key; each task keeps no more of it before the shuffle."""
     return df.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(by))).where(F.col("_r") <= n).drop("_r")
@@ -166,13 +175,14 @@ def rule_pairs(aliases: DataFrame, targets: DataFrame, block: str, alias: str, t
     rules asks for n + 1 targets by id (one more shows a shared score), never for all. Equal
     columns are a key. The band is cut into cells, 2^levels to a width; dyadic bins of cells keep
     their first n + 1 targets, and an alias looks into the bins that cover the cells wholly
-    within its band. Cells at the rim are looked through by distinct value and checked.
+    within its band. Cells at the rim are looked through by distinct value and checked. Rows are
+    dealt over tasks by their number first, since each gives a row a level.
     """
     a_col, t_col, width, points = near
     reach, keep = 1 << levels, n + 1
     cell = lambda c: F.floor(F.col(c) / F.lit(width / reach)).cast("long")
     close = F.abs(F.col(a_col) - F.col(t_col)) < width
-    a_all, t_all = aliases.where(F.col(block).isNotNull()), targets.where(F.col(block).isNotNull())
+    a_all, t_all = _dealt(aliases.where(F.col(block).isNotNull()), alias), _dealt(targets.where(F.col(block).isNotNull()), target)
     columns = [*aliases.columns, *[c for c in targets.columns if c != block]]
     found = []
     for size in range(len(same) + 1):

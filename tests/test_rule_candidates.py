@@ -50,3 +50,11 @@ def test_pairs_do_not_grow_with_the_block(spark):
     more = t.unionByName(t.withColumn("tid", F.col("tid") + 1000)).unionByName(t.withColumn("tid", F.col("tid") + 2000))
     each = [joins.rule_pairs(a, x, "block", "aid", "tid", {("seg", "tseg"): 60}, NEAR, 1, 4).count() for x in (t, more, more.unionByName(more.withColumn("tid", F.col("tid") + 3000)))]
     assert each[2] <= 1.1 * each[1] <= 2.2 * each[0]
+
+
+def test_tasks_by_the_number_of_rows(spark, monkeypatch):
+    """A side that comes in one piece is dealt: no task cuts all its rows into bins."""
+    monkeypatch.setattr(joins, "TASK_TARGETS", 10)
+    a, t = sides(spark, 95, 2)
+    assert joins._dealt(t.coalesce(1), "tid").rdd.getNumPartitions() == 10
+    assert rows(joins.rule_candidates(a.coalesce(1), t.coalesce(1), "block", "aid", "tid", SAME, NEAR, 2, 3)) == rows(plain(a, t, 2))
