@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import gc
-import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rollcall.session import shared_folder
+from rollcall.session import release, shared_folder  # noqa: F401
 
 #: Rows in an Arrow batch; a batch of the longest texts must still fit a Python worker.
 BATCH_ROWS = 512
@@ -45,16 +43,6 @@ def placed(df: DataFrame, key: str, buckets: int) -> DataFrame:
         spark.sql(f"drop table {name}")
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner delete the shuffle files of tables that are saved by now: between
-    steps of a long job, so that they need not all lie on the disks at once. What Python gives
-    up in the first round the JVM can drop in the second; the cleaner has its own thread."""
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(1)
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/documents.parquet")
 
