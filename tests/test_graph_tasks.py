@@ -76,3 +76,47 @@ def test_texts_go_to_python_in_small_batches(spark, name):
         spark.conf.unset(x)
     QUERIES[name](spark, SMALL)
     assert [spark.conf.get(x) for x in sizes] == ["512", "8m"]
+
+
+def straight(pairs):
+    """Brandes by plain loops, unscaled."""
+    near = {}
+    for a, b in pairs:
+        if a != b:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+    total = dict.fromkeys(near, 0.0)
+    for s in near:
+        away, paths, order = {s: 0}, {s: 1.0}, [s]
+        for v in order:
+            for w in near[v]:
+                if w not in away:
+                    away[w], paths[w] = away[v] + 1, 0.0
+                    order.append(w)
+                if away[w] == away[v] + 1:
+                    paths[w] += paths[v]
+        share = dict.fromkeys(order, 0.0)
+        for w in reversed(order):
+            for v in near[w]:
+                if away[v] == away[w] - 1:
+                    share[v] += paths[v] / paths[w] * (1 + share[w])
+            if w != s:
+                total[w] += share[w]
+    scale = (len(near) - 1) * (len(near) - 2)
+    return {v: round(x / scale, 8) for v, x in total.items()}
+
+
+@pytest.mark.parametrize("kind,limit,at_once", [("long", 1000, 1e11), ("string", 1000, 0), ("long", 60, 0)])
+def test_betweenness_by_components(spark, kind, limit, at_once):
+    r = random.Random(8)
+    rows = [(r.randrange(30), r.randrange(30)) for _ in range(90)] + [(i, i + 1) for i in range(100, 118)] + [(200, 201), (300, 300)]
+    edges = spark.createDataFrame(rows, "a long, b long").select(F.col("a").cast(kind), F.col("b").cast(kind))
+    got = {x.node: x.betweenness for x in graph.betweenness(edges, limit, 7, at_once).collect()}
+    want = straight(rows)
+    assert got.keys() == {str(v) if kind == "string" else v for v in want} and all(abs(got[str(v) if kind == "string" else v] - x) < 2e-8 for v, x in want.items())
+
+
+def test_many_components_are_more_than_the_limit(spark, monkeypatch):
+    rows = [(10 * c + i, 10 * c + j) for c in range(6) for i in range(5) for j in range(i)]
+    monkeypatch.setattr(graph, "_searched_by_joins", None)  # each component is under the limit
+    assert {x.betweenness for x in graph.betweenness(spark.createDataFrame(rows, "a long, b long"), 12).collect()} == {0.0}
