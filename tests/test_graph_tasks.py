@@ -120,3 +120,17 @@ def test_many_components_are_more_than_the_limit(spark, monkeypatch):
     rows = [(10 * c + i, 10 * c + j) for c in range(6) for i in range(5) for j in range(i)]
     monkeypatch.setattr(graph, "_searched_by_joins", None)  # each component is under the limit
     assert {x.betweenness for x in graph.betweenness(spark.createDataFrame(rows, "a long, b long"), 12).collect()} == {0.0}
+
+
+def test_blocks_of_persons_are_not_repeated_for_each_other_block(spark):
+    def shuffled():
+        each = spark.sparkContext._jsc.sc().statusStore().executorList(False)
+        return sum(each.apply(i).totalShuffleWrite() for i in range(each.size()))
+
+    sent = []
+    for n in (200, 800):
+        rows = spark.range(n * 4).selectExpr(f"id div {n} as g", f"id % {n} as p")
+        before = shuffled()
+        graph.co_presence(rows, "g", "p", block=4).write.format("noop").mode("overwrite").save()  # 50 and 200 blocks
+        sent.append(shuffled() - before)
+    assert sent[1] < 8 * sent[0]  # 16 times as many pairs of blocks
