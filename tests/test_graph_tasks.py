@@ -134,3 +134,22 @@ def test_blocks_of_persons_are_not_repeated_for_each_other_block(spark):
         graph.co_presence(rows, "g", "p", block=4).write.format("noop").mode("overwrite").save()  # 50 and 200 blocks
         sent.append(shuffled() - before)
     assert sent[1] < 8 * sent[0]  # 16 times as many pairs of blocks
+
+
+@pytest.mark.parametrize("kind,block", [("int", 1000), ("int", 20), ("string", 20)])
+def test_related_items_in_blocks(spark, kind, block):
+    r = random.Random(6)
+    rows = list({(r.randrange(30), f, 1 + f % 3) for f in [0] * 25 + [r.randrange(20) for _ in range(150)]})
+    df = spark.createDataFrame(rows + rows[:9] + [(None, 1, 1), (4, None, 1)], "item int, feature int, w int").withColumn("item", F.col("item").cast(kind))
+    found = joins.related(df, "item", "feature", "w", 4, block)
+    plan = found._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "mapinarrow" in plan and "sum(" not in plan  # no pair is shuffled
+    cast = str if kind == "string" else int
+    score = {}
+    for a, f, w in rows:
+        for b, g, _ in rows:
+            if f == g and a != b:
+                score[cast(a), cast(b)] = score.get((cast(a), cast(b)), 0) + w
+    want = {(a, b, -s, i + 1) for x in {a for a, _ in score} for i, (s, b, a) in enumerate(sorted((-s, b, a) for (a, b), s in score.items() if a == x)[:4])}
+    assert {(x.item, x.other, x.score, x["rank"]) for x in found.collect()} == want
+    assert joins.related(df.limit(0), "item", "feature", "w", 4).count() == 0
