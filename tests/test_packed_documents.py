@@ -58,3 +58,19 @@ def test_cells_are_not_shuffled_as_rows(spark, name):
     before = shuffled(spark)
     QUERIES[name](spark, SF).write.format("noop").mode("overwrite").save()
     assert shuffled(spark) - before < 3 * os.path.getsize(f"{SF}/documents.parquet")
+
+
+@pytest.mark.parametrize("block,part,iterations", [(8_000_000, 2_000_000, 3), (150, 40, 3), (60, 20, 7)])
+def test_topics_of_documents_are_those_of_their_cells(docs, block, part, iterations):
+    want = lexical.nmf_topics(lexical.tf_idf(docs, "doc", "words"), "doc", rank=3, top=4, iterations=iterations)
+    got = lexical.document_topics(docs, "doc", "words", rank=3, top=4, iterations=iterations, block=block, part=part)
+    rows = [sorted(((x.topic, x["rank"], x.term), x.share) for x in df.collect()) for df in (got, want)]
+    assert [k for k, _ in rows[0]] == [k for k, _ in rows[1]] and len(rows[0]) == 12
+    assert np.allclose([s for _, s in rows[0]], [s for _, s in rows[1]], atol=1.5e-4)
+
+
+def test_files_of_earlier_steps_go(spark, docs, monkeypatch):
+    gone = []
+    monkeypatch.setattr(lexical, "release", lambda s: gone.append(s))
+    lexical.document_topics(docs, "doc", "words", rank=2, iterations=20, block=150, part=40).collect()
+    assert len(gone) == 3
